@@ -146,24 +146,30 @@ def fit_momentum(
 def input_rank_correlations(
     rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
 ) -> DataFrame:
-    """Spearman correlation of each input with the label, per window and role."""
+    """Spearman correlation of each input with the label, per window and role.
+
+    Window, role and input travel as small numbers through the sort, and get their names after it.
+    """
+    names = [f.window for f in distinct_windows(folds)]
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("window")).cast("int")
     flagged = window_rows(rows, folds, inputs, study).where(F.col("refit"))
-    roles = F.when(F.col("train"), F.array(F.lit("inner"), F.lit("refit"))).otherwise(
-        F.array(F.lit("refit"))
+    roles = F.when(F.col("train"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    keys = ["coin", "horizon", "_window", "_role"]
+    fitting = flagged.select(
+        "coin", "horizon", number.alias("_window"), F.explode(roles).alias("_role"), "y", *inputs
     )
-    keys = [*MODEL_KEYS, "role"]
-    fitting = flagged.select(*MODEL_KEYS, F.explode(roles).alias("role"), "y", *inputs)
     ranked = standardised_ranks(fitting, keys, "y", "_zy")
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("place"), F.lit(n).alias("input"), F.col(n).alias("x"))
-            for i, n in enumerate(inputs)
-        ]
-    )
-    long = ranked.select(*keys, "_zy", F.explode(entries).alias("_e")).select(
-        *keys, "_zy", "_e.place", "_e.input", "_e.x"
+    long = ranked.select(*keys, "_zy", F.posexplode(F.array(*inputs)).alias("place", "x"))
+    table = rank_products_sum(long, [*keys, "place"], "x", "_zy", "spearman")
+    return table.select(
+        "coin",
+        "horizon",
+        F.array(*[F.lit(n) for n in names])[F.col("_window") - 1].alias("window"),
+        F.array(*[F.lit(r) for r in ROLES])[F.col("_role") - 1].alias("role"),
+        "place",
+        F.array(*[F.lit(n) for n in inputs])[F.col("place")].alias("input"),
+        "spearman",
     )
-    return rank_products_sum(long, [*keys, "place", "input"], "x", "_zy", "spearman")
 
 
 def most_correlated_input(correlations: DataFrame) -> DataFrame:
@@ -297,22 +303,27 @@ def training_means(
 def role_rows(
     rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
 ) -> DataFrame:
-    """Fitting rows, one copy per part (``train``, ``valid``, ``refit``) that uses them."""
+    """Fitting rows, one copy per part (``train``, ``valid``, ``refit``), inputs as array ``x``."""
     flagged = window_rows(rows, folds, inputs, study).where(F.col("refit"))
     parts = F.array(F.when(F.col("train"), "train").otherwise("valid"), F.lit("refit"))
     return flagged.select(
-        *MODEL_KEYS, F.explode(parts).alias("part"), "pos", "y", "fwd_logret", *inputs
+        *MODEL_KEYS,
+        F.explode(parts).alias("part"),
+        "pos",
+        "y",
+        "fwd_logret",
+        F.array(*inputs).alias("x"),
     )
 
 
-def input_moments(parts: DataFrame, keys: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+def input_moments(parts: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """Mean and population spread of each input over train rows and over refit rows."""
     return (
         parts.where(F.col("part").isin("train", "refit"))
         .groupBy(*keys, F.when(F.col("part") == "train", "inner").otherwise("refit").alias("role"))
         .agg(
-            F.array(*[F.avg(n) for n in inputs]).alias("centres"),
-            F.array(*[F.stddev_pop(n) for n in inputs]).alias("spreads"),
+            F.array(*[F.avg(F.col("x")[i]) for i in range(size)]).alias("centres"),
+            F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(size)]).alias("spreads"),
         )
     )
 
@@ -327,24 +338,29 @@ def role_of_part() -> Column:
     return F.when(F.col("part") == "refit", "refit").otherwise("inner")
 
 
-def score(name: str, i: int) -> Column:
-    """Clipped standard score of one input."""
-    raw = (F.col(name) - F.col("centres")[i]) / F.col("spreads")[i]
-    return F.greatest(F.least(raw, F.lit(RIDGE_CLIP)), F.lit(-RIDGE_CLIP))
+def standard_scores(x: Column) -> Column:
+    """Inputs on the scale of the joined moments. Array functions keep the generated code small."""
+    moved = F.zip_with(x, F.col("centres"), lambda value, centre: value - centre)
+    return F.zip_with(moved, F.col("spreads"), lambda value, spread: value / spread)
+
+
+def clipped_scores(x: Column) -> Column:
+    top, bottom = F.lit(RIDGE_CLIP), F.lit(-RIDGE_CLIP)
+    return F.transform(standard_scores(x), lambda z: F.greatest(F.least(z, top), bottom))
 
 
 def summed_products(
-    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], key_schema: str
+    rows: DataFrame, keys: Sequence[str], vector: str, size: int, key_schema: str
 ) -> DataFrame:
-    """Cross-product cells of ``1, columns`` per key, added in NumPy per task and then by Spark."""
-    upper = np.triu_indices(len(columns) + 1)
+    """Cross-product cells of ``1, vector`` per key, added in NumPy per task and then by Spark."""
+    upper = np.triu_indices(size + 1)
     keys = list(keys)
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, group in batch.groupby(keys, sort=False):
-                x = np.column_stack([np.ones(len(group)), group[columns].to_numpy(dtype=float)])
+                x = np.column_stack([np.ones(len(group)), np.vstack(group[vector].to_numpy())])
                 cells = (x.T @ x)[upper]
                 held[key] = held[key] + cells if key in held else cells
                 if len(held) >= 256:
@@ -358,7 +374,7 @@ def summed_products(
         frame["cells"] = list(held.values())
         return frame
 
-    partial = rows.select(*keys, *columns).mapInPandas(
+    partial = rows.select(*keys, vector).mapInPandas(
         per_task, f"{key_schema}, cells array<double>"
     )
     return (
@@ -409,19 +425,18 @@ def fit_ridge_parts(
     parts: DataFrame,
     keys: Sequence[str],
     key_schema: str,
-    inputs: Sequence[str],
+    size: int,
     alphas: Sequence[float] = RIDGE_ALPHAS,
 ) -> DataFrame:
-    """Ridge per key from rows tagged ``train``, ``valid`` and ``refit``."""
+    """Ridge per key from rows tagged ``train``, ``valid`` and ``refit`` with input array ``x``."""
     keys = list(keys)
-    moments = small_side(with_unit_spread(input_moments(parts, keys, inputs)))
+    moments = small_side(with_unit_spread(input_moments(parts, keys, size)))
     scored = parts.withColumn("role", role_of_part()).join(moments, [*keys, "role"])
-    columns = [f"_z{i}" for i in range(len(inputs))]
     scored = scored.select(
-        *keys, "part", *[score(n, i).alias(f"_z{i}") for i, n in enumerate(inputs)], "y"
+        *keys, "part", F.concat(clipped_scores(F.col("x")), F.array("y")).alias("_u")
     )
     cells = summed_products(
-        scored, [*keys, "part"], [*columns, "y"], f"{key_schema}, part string"
+        scored, [*keys, "part"], "_u", size + 1, f"{key_schema}, part string"
     )
     table = cells.groupBy(*keys).agg(
         *[
@@ -463,15 +478,17 @@ def fit_ridge(
     """Ridge on clipped standard scores for every coin, horizon and window."""
     parts = role_rows(rows, folds, inputs, study)
     return fit_ridge_parts(
-        parts, MODEL_KEYS, "coin string, horizon int, window string", inputs
+        parts, MODEL_KEYS, "coin string, horizon int, window string", len(inputs)
     )
 
 
+def predict_scores(x: Column) -> Column:
+    terms = F.zip_with(F.col("weights"), clipped_scores(x), lambda w, z: w * z)
+    return F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+
+
 def predict_ridge(inputs: Sequence[str]) -> Column:
-    total = F.col("intercept")
-    for i, name in enumerate(inputs):
-        total = total + F.col("weights")[i] * score(name, i)
-    return total
+    return predict_scores(F.array(*inputs))
 
 
 # ---------------------------------------------------------------- registry

@@ -15,9 +15,10 @@ from tapegrid.operators.fitting import (
     Family,
     fit_ridge_parts,
     input_moments,
-    predict_ridge,
+    predict_scores,
     role_of_part,
     role_rows,
+    standard_scores,
     training_means,
     with_unit_spread,
 )
@@ -124,22 +125,6 @@ def month_means(
     )
 
 
-def standardised_parts(
-    parts: DataFrame, moments: DataFrame, inputs: Sequence[str]
-) -> DataFrame:
-    """Scale rows by their own coin's moments: train and valid by train's, refit by refit's."""
-    joined = parts.withColumn("role", role_of_part()).join(moments, [*MODEL_KEYS, "role"])
-    return scaled_inputs(joined, inputs, ["part", "pos", "y", "fwd_logret", *MODEL_KEYS])
-
-
-def scaled_inputs(joined: DataFrame, inputs: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    scaled = [
-        ((F.col(n) - F.col("centres")[i]) / F.col("spreads")[i]).alias(n)
-        for i, n in enumerate(inputs)
-    ]
-    return joined.select(*keep, *scaled)
-
-
 def pooled_out_of_sample(
     frame: DataFrame,
     study: Study,
@@ -154,17 +139,19 @@ def pooled_out_of_sample(
     rows = horizon_rows(frame, inputs, horizons)
     folds = monthly_folds(months, study)
     parts = role_rows(rows, folds, inputs, study)
-    moments = small_side(with_unit_spread(input_moments(parts, MODEL_KEYS, inputs)))
-    scaled = standardised_parts(parts, moments, inputs)
+    moments = small_side(with_unit_spread(input_moments(parts, MODEL_KEYS, len(inputs))))
+    own_scale = standard_scores(F.col("x")).alias("x")
+    scaled = parts.withColumn("role", role_of_part()).join(moments, [*MODEL_KEYS, "role"])
+    scaled = scaled.select(*MODEL_KEYS, "part", "pos", "y", "fwd_logret", own_scale)
     pool_keys = ["horizon", "window"]
     models = small_side(
-        fit_ridge_parts(scaled, pool_keys, "horizon int, window string", inputs)
+        fit_ridge_parts(scaled, pool_keys, "horizon int, window string", len(inputs))
     )
     own = moments.where(F.col("role") == "refit").drop("role")
     final = models.where(F.col("role") == "refit").drop("role", "setting")
     first = models.where(F.col("role") == "inner").drop("role", "setting")
     setting = models.where(F.col("role") == "refit").select(*pool_keys, "setting")
-    predicted = predict_ridge(inputs).alias("pred")
+    predicted = predict_scores(F.col("x")).alias("pred")
     valid = scaled.where(F.col("part") == "valid").join(first, pool_keys)
     skill = spearman(
         valid.select(*MODEL_KEYS, predicted, "fwd_logret"),
@@ -173,20 +160,22 @@ def pooled_out_of_sample(
         "fwd_logret",
         "valid_ic",
     )
+    own_inputs = standard_scores(F.array(*inputs)).alias("x")
     threshold = window_rows(rows, folds, inputs, study).where(F.col("threshold"))
     scale = prediction_scale(
-        scaled_inputs(threshold.join(own, MODEL_KEYS), inputs, MODEL_KEYS)
+        threshold.join(own, MODEL_KEYS)
+        .select(*MODEL_KEYS, own_inputs)
         .join(final, pool_keys)
         .select(*MODEL_KEYS, predicted)
     )
     levels = small_side(scale.join(skill, MODEL_KEYS, "left").join(setting, pool_keys, "left"))
     keep = [*MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month"]
-    tested = test_rows(rows, folds, inputs, study, end).join(own, MODEL_KEYS)
     return (
-        scaled_inputs(tested, inputs, keep)
+        test_rows(rows, folds, inputs, study, end)
+        .join(own, MODEL_KEYS)
+        .select(*keep, own_inputs)
         .join(final, pool_keys)
-        .withColumn("pred", predict_ridge(inputs))
-        .select(*keep, "pred")
+        .select(*keep, predicted)
         .join(levels, MODEL_KEYS)
         .select("coin", "horizon", "pos", "open_time", *OUTPUT)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder, so later stages and retries read the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later stages and retries then see the same rows whatever executor is lost, and a columnar table
+    lets each reader open only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

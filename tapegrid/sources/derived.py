@@ -61,16 +61,18 @@ def event_bars(events: DataFrame, study: Study) -> DataFrame:
     return aggregate_bars(event_ticks(events), F.struct("time", "event_id"), study.bar_seconds)
 
 
-def event_funding_file(events: DataFrame) -> DataFrame:
-    """Raw settlements every eight hours with a few milliseconds of jitter."""
+def event_funding_text(events: DataFrame) -> DataFrame:
+    """Raw settlement rows every eight hours, a few milliseconds late, one file per asset."""
     bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 28_800_000_000).cast("long")
-    return (
-        events.groupBy(F.col("event_type").alias("asset"), bucket.alias("_bucket"))
-        .agg(
-            (F.col("_bucket") * 28_800_000 + F.min("event_id") % 20).alias("calc_time"),
-            ((F.avg("value") - 50) / 10_000).alias("last_funding_rate"),
-        )
-        .select("asset", "calc_time", F.lit(8).alias("funding_interval_hours"), "last_funding_rate")
+    settled = events.groupBy(F.col("event_type").alias("asset"), bucket.alias("_bucket")).agg(
+        F.min("event_id").alias("_first"), F.avg("value").alias("_mean")
+    )
+    return settled.select(
+        "asset",
+        (F.col("_bucket") * 28_800_000 + F.col("_first") % 20).alias("calc_time"),
+        F.lit(8).alias("funding_interval_hours"),
+        ((F.col("_mean") - 50) / 9_973).alias("last_funding_rate"),
+        F.struct(F.col("asset").alias("file"), F.col("_bucket").alias("line")).alias("_place"),
     )
 
 
