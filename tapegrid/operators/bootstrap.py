@@ -17,6 +17,9 @@ from tapegrid.config import DAYS_PER_YEAR, Study
 from tapegrid.functions.columns import uniform
 from tapegrid.session import settle
 
+# An error this small is what is left of summing equal numbers in another order.
+NO_ERROR = 1e-12
+
 
 def bootstrap_indices(sizes: DataFrame, study: Study) -> DataFrame:
     """``days, draw, position, at``: circular blocks of geometric length for each series length."""
@@ -107,9 +110,12 @@ def mean_summary(
     daily: DataFrame, keys: Sequence[str], value: str, study: Study, name: str = "ic"
 ) -> DataFrame:
     """Mean, bootstrap error, t and number of days of each series; t is null without an error."""
+    if not keys:
+        single = daily.withColumn("_all", F.lit(0))
+        return mean_summary(single, ["_all"], value, study, name).drop("_all")
     totals = daily.groupBy(*keys).agg(F.avg(value).alias(name), F.count(F.lit(1)).alias("days"))
     joined = totals.join(bootstrap_se(daily, keys, value, study), list(keys))
-    t = F.when(F.col("se") > 0, F.col(name) / F.col("se"))
+    t = F.when(F.col("se") > NO_ERROR, F.col(name) / F.col("se"))
     return joined.select(*keys, name, "se", t.alias("t"), "days")
 
 

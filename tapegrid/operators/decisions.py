@@ -12,6 +12,7 @@ from tapegrid.config import (
     ONE_INPUT_FAMILIES,
     PAIRED_T,
     PER_COIN_T,
+    POLICIES,
     POOLED_T,
     TOP_DECILE_EDGE,
     Study,
@@ -33,6 +34,11 @@ def place_in(column: str, listed: Sequence) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in listed]), F.col(column))
 
 
+def settled_merit(value: Column) -> Column:
+    """A score without the last digits, so that summation order does not decide a tie."""
+    return F.round(value, 9)
+
+
 def at_least(value: Column, limit: float) -> Column:
     """Threshold test in which an undefined value fails."""
     return F.coalesce(value >= limit, F.lit(False))
@@ -54,7 +60,7 @@ def choose_recipe(pooled: DataFrame, study: Study) -> DataFrame:
     """Best breakeven among the detected recipes, else the best t."""
     merit = F.when(F.col("detected"), F.col("breakeven_bps")).otherwise(F.col("t"))
     return (
-        pooled.withColumn("_merit", merit)
+        pooled.withColumn("_merit", settled_merit(merit))
         .where(F.col("_merit").isNotNull())
         .orderBy(
             F.desc("detected"),
@@ -70,7 +76,9 @@ def choose_recipe(pooled: DataFrame, study: Study) -> DataFrame:
 def best_per_coin(configurations: DataFrame, study: Study) -> DataFrame:
     """Configuration with the highest t of each coin."""
     order = F.struct(
-        F.col("t"), -place_in("horizon", study.horizons), -place_in("family", FAMILIES)
+        settled_merit(F.col("t")),
+        -place_in("horizon", study.horizons),
+        -place_in("family", FAMILIES),
     )
     best = F.max_by(F.struct("horizon", "family", "t"), F.when(F.col("t").isNotNull(), order))
     return configurations.groupBy("coin").agg(best.alias("_b")).select("coin", "_b.*")
@@ -164,14 +172,15 @@ def choose_policy(challengers: DataFrame) -> DataFrame:
     ``challengers`` has ``policy`` and ``t``; always returns one row.
     """
     passed = at_least(F.col("t"), PAIRED_T)
-    best = F.max_by(F.when(passed, F.col("policy")), F.when(passed, F.col("t")))
+    order = F.struct(settled_merit(F.col("t")), -place_in("policy", POLICIES))
+    best = F.max_by("policy", F.when(passed, order))
     return challengers.agg(F.coalesce(best, F.lit("expanding")).alias("policy"))
 
 
 def choose_rule(portfolio: DataFrame, rules: Sequence[str]) -> DataFrame:
     """Rule with the best taker Sharpe ratio without delay."""
     rows = portfolio.where((F.col("fee") == "taker") & (F.col("delay") == 0))
-    order = F.struct(F.col("sharpe"), -place_in("rule", rules))
+    order = F.struct(settled_merit(F.col("sharpe")), -place_in("rule", rules))
     return rows.agg(F.max_by("rule", F.when(F.col("sharpe").isNotNull(), order)).alias("rule"))
 
 
@@ -245,7 +254,7 @@ def choose_models(gains: DataFrame, challenger: str, default: str) -> DataFrame:
 def choose_version(portfolio: DataFrame, versions: Sequence[str]) -> DataFrame:
     """Version with the best research Sharpe ratio at taker fees."""
     rows = portfolio.where((F.col("period") == "research") & (F.col("fee") == "taker"))
-    order = F.struct(F.col("sharpe"), -place_in("version", versions))
+    order = F.struct(settled_merit(F.col("sharpe")), -place_in("version", versions))
     return rows.agg(
         F.max_by("version", F.when(F.col("sharpe").isNotNull(), order)).alias("version")
     )

@@ -155,10 +155,10 @@ def bootstrap(series: str, keys: str, value: str, study: Study, tag: str = "") -
         f"numbered{tag}": f"""SELECT {listed}{value} AS v,
             row_number() OVER ({part} ORDER BY day) - 1 AS day_no,
             count(*) OVER ({part}) AS n FROM {series}""",
-        f"places{tag}": f"""SELECT n, d, unnest(range(n)) AS p FROM
+        f"draw_places{tag}": f"""SELECT n, d, unnest(range(n)) AS p FROM
             (SELECT DISTINCT n FROM numbered{tag}), range({study.draws}) t(d)""",
         f"starts{tag}": f"""SELECT n, d, p, CASE WHEN p = 0 OR {u()} < {1 / study.mean_block}
-            THEN p END AS s, floor({u("first")} * n)::BIGINT AS f FROM places{tag}""",
+            THEN p END AS s, floor({u("first")} * n)::BIGINT AS f FROM draw_places{tag}""",
         f"picked{tag}": f"""SELECT n, d, (last_value(CASE WHEN s IS NOT NULL THEN f END IGNORE NULLS) OVER q
             + p - last_value(s IGNORE NULLS) OVER q) % n AS day_no FROM starts{tag}
             WINDOW q AS (PARTITION BY n, d ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
@@ -178,7 +178,7 @@ def summary(series: str, keys: str, value: str, study: Study, tag: str = "", nam
     return {
         **bootstrap(series, keys, value, study, tag),
         f"summary{tag}": f"""SELECT {f'{keys}, ' if keys else ''}m AS {name}, se,
-            CASE WHEN se > 0 THEN m / se END AS t, days FROM ({means}) {join}""",
+            CASE WHEN se > 1e-12 THEN m / se END AS t, days FROM ({means}) {join}""",
     }
 
 
