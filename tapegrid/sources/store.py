@@ -26,7 +26,7 @@ def write_table(df: DataFrame, path: str, digits: int = 6) -> None:
 
 def write_choice(df: DataFrame, path: str, digits: int = 6) -> None:
     """A one-row decision as JSON."""
-    rounded(df, digits).write.mode("overwrite").json(path)
+    rounded(df, digits).coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_choice(spark: SparkSession, path: str) -> DataFrame:
