@@ -169,37 +169,71 @@ def average_rank() -> Column:
     return F.col("below") + (F.col("ties") + 1) / 2
 
 
+def standard_rank() -> Column:
+    return (average_rank() - (F.col("n") + 1) / 2) / F.col("rank_sd")
+
+
 def standardised_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average-tie ranks per key, centred and scaled by their population standard deviation."""
-    scaled = (average_rank() - (F.col("n") + 1) / 2) / F.col("rank_sd")
-    ranks = order_counts(df, keys, value).select(*keys, value, scaled.alias(name))
+    ranks = order_counts(df, keys, value).select(*keys, value, standard_rank().alias(name))
     return df.join(ranks, [*keys, value], "left")
 
 
-def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str) -> DataFrame:
-    """Rank correlation per key over the rows where both columns are known.
+def rank_columns(df: DataFrame, keys: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """Standardised ranks of several columns from one sort; ``names`` maps column to rank name."""
+    sides = F.array(
+        *[
+            F.struct(F.lit(i).alias("side"), F.col(c).cast("double").alias("value"))
+            for i, c in enumerate(names)
+        ]
+    )
+    stacked = df.select(*keys, F.explode(sides).alias("_s")).select(
+        *keys, F.col("_s.side").alias("_side"), F.col("_s.value").alias("_value")
+    )
+    return join_ranks(df, order_counts(stacked, [*keys, "_side"], "_value"), keys, names)
 
-    Only one side is joined back to the rows; the other is summed per distinct value first.
-    """
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
-    ranked = standardised_ranks(both, keys, b, "_zb")
-    return rank_products_sum(ranked, keys, a, "_zb", name)
+
+def join_ranks(
+    df: DataFrame, ordered: DataFrame, keys: Sequence[str], names: Mapping[str, str]
+) -> DataFrame:
+    """Join the ranks of ``_side, _value`` back, one numbered side per column."""
+    for i, (column, name) in enumerate(names.items()):
+        ranks = ordered.where(F.col("_side") == i).select(
+            *keys, F.col("_value").alias(column), standard_rank().alias(name)
+        )
+        df = df.join(ranks, [*keys, column], "left")
+    return df
+
+
+def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str) -> DataFrame:
+    """Rank correlation per key over the rows where both columns are known."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
+    ranked = rank_columns(known, keys, {a: "_za", b: "_zb"})
+    return ranked.groupBy(*keys).agg(F.avg(F.col("_za") * F.col("_zb")).alias(name))
 
 
 def rank_products_sum(
     df: DataFrame, keys: Sequence[str], value: str, z: str, name: str
 ) -> DataFrame:
-    """Mean product of the standardised ranks of ``value`` and a given standardised column."""
-    scaled = (average_rank() - (F.col("n") + 1) / 2) / F.col("rank_sd")
+    """Mean product of the standardised ranks of ``value`` and a given standardised column.
+
+    The given column is summed per distinct value first, so no rank is joined back to the rows.
+    """
     ordered = order_counts(df, keys, value, {"_z": F.col(z)})
-    return ordered.groupBy(*keys).agg((F.sum(scaled * F.col("_z")) / F.max("n")).alias(name))
+    product = F.sum(standard_rank() * F.col("_z")) / F.max("n")
+    return ordered.groupBy(*keys).agg(product.alias(name))
 
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, float]
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key."""
-    ordered = order_counts(df, keys, value)
+    return quantiles_of(order_counts(df, keys, value), keys, value, levels)
+
+
+def quantiles_of(
+    ordered: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, float]
+) -> DataFrame:
     picks, finals = [], []
     for name, level in levels.items():
         place = F.lit(float(level)) * (F.col("n") - 1)

@@ -124,8 +124,9 @@ def cross_features(rows: DataFrame, study: Study) -> DataFrame:
 def build_features(grid: DataFrame, study: Study) -> DataFrame:
     """``coin, pos, open_time, x_close``, every feature, and the labels of each horizon."""
     s = study
-    targets = asset_features(grid.where(F.col("asset").isin(list(s.targets))), s, s.horizons)
-    own = targets.select(
+    # One plan for all assets: the asset filter moves below the windows in each of its two uses.
+    every = asset_features(grid, s, s.horizons)
+    own = every.where(F.col("asset").isin(list(s.targets))).select(
         F.col("asset").alias("coin"),
         "pos",
         "open_time",
@@ -133,9 +134,7 @@ def build_features(grid: DataFrame, study: Study) -> DataFrame:
         *[F.col(n).alias(f"x_{n}") for n in asset_feature_names(s)],
         *label_names(s),
     )
-    contexts = context_features(
-        asset_features(grid.where(F.col("asset").isin(list(s.contexts))), s), s
-    )
+    contexts = context_features(every, s)
     rows = cross_features(own.join(contexts, "pos", "left"), s)
     return rows.select("coin", "pos", "open_time", "x_close", *feature_names(s), *label_names(s))
 

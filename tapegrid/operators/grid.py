@@ -20,6 +20,7 @@ from tapegrid.operators.blocks import (
 )
 from tapegrid.operators.rolling import Trailing, add_running_sums
 from tapegrid.schema import BAR_FIELDS
+from tapegrid.session import settle
 
 GRID_CHUNK = 10_000
 
@@ -122,18 +123,26 @@ def extreme_returns(returns: DataFrame, study: Study) -> DataFrame:
 
 
 def audit_bars(raw: DataFrame, study: Study) -> DataFrame:
-    """Bars per asset and month: expected, present, missing, zero-trade and extreme."""
-    grid = align_on_grid(raw, study, keep_raw_count=True)
+    """Bars per asset and month: expected, present, missing, zero-trade and extreme.
+
+    The narrow return table is settled, so the raw bars are scanned and aligned once for both the
+    counts and the trailing spread.
+    """
+    returns = settle(
+        log_returns(align_on_grid(raw, study, keep_raw_count=True), study).select(
+            "asset", "pos", "open_time", "raw_count", "log_return"
+        )
+    )
     trades = F.col("raw_count")
     month = month_of("open_time").alias("month")
-    counts = grid.groupBy("asset", month).agg(
+    counts = returns.groupBy("asset", month).agg(
         F.count(F.lit(1)).alias("expected"),
         F.count(trades).alias("present"),
         F.count_if(trades.isNull()).alias("missing"),
         F.count_if(trades == 0).alias("zero_trade"),
     )
     extreme = (
-        extreme_returns(log_returns(align_on_grid(raw, study), study), study)
+        extreme_returns(returns, study)
         .groupBy("asset", month)
         .agg(F.count(F.lit(1)).alias("extreme"))
     )

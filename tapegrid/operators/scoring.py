@@ -17,8 +17,8 @@ from tapegrid.operators.blocks import (
     average_rank,
     order_counts,
     quantiles,
+    rank_columns,
     spearman,
-    standardised_ranks,
 )
 from tapegrid.operators.bootstrap import mean_summary
 from tapegrid.operators.returns import correlation_matrix, day_of, wide
@@ -38,8 +38,7 @@ def with_rank_products(
     rows = df.withColumns(
         {"_a": F.when(complete, F.col(pred)), "_b": F.when(complete, F.col(realised))}
     )
-    rows = standardised_ranks(rows, keys, "_a", "_za")
-    rows = standardised_ranks(rows, keys, "_b", "_zb")
+    rows = rank_columns(rows, keys, {"_a": "_za", "_b": "_zb"})
     return rows.withColumn(name, F.col("_za") * F.col("_zb")).drop("_a", "_b", "_za", "_zb")
 
 

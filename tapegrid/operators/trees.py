@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.config import ROWS_PER_LEAF_PER_HORIZON_BAR, Study
-from tapegrid.operators.blocks import spearman
 from tapegrid.operators.fitting import MODEL_KEYS
 from tapegrid.operators.folds import (
     distinct_windows,
@@ -81,7 +80,7 @@ def trees_out_of_sample(
             *MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month", "_features"
         )
     )
-    valid_parts, threshold_parts, test_parts, notes = [], [], [], []
+    threshold_parts, test_parts, notes = [], [], []
     for coin in coins or study.targets:
         for horizon in horizons:
             for window in (f.window for f in distinct_windows(folds)):
@@ -105,8 +104,14 @@ def trees_out_of_sample(
                 else:
                     final = booster(study, horizon, best, settings).fit(part.where("refit"))
                     apply = final.transform
-                valid_parts.append(scored.select(*MODEL_KEYS, "pred", "fwd_logret"))
-                threshold_parts.append(apply(part.where("threshold")).select(*MODEL_KEYS, "pred"))
+                month = first.transform(part.where("threshold")).withColumn(
+                    "inner_pred", F.when(F.col("valid"), F.col("pred"))
+                )
+                threshold_parts.append(
+                    apply(month.drop("pred")).select(
+                        *MODEL_KEYS, "pred", "inner_pred", "fwd_logret"
+                    )
+                )
                 test_parts.append(apply(tested.where(key)).drop("_features"))
                 notes.append((coin, horizon, window, f"trees={best}"))
                 part.unpersist()
@@ -114,11 +119,8 @@ def trees_out_of_sample(
     setting = frame.sparkSession.createDataFrame(
         notes, "coin string, horizon int, window string, setting string"
     )
-    skill = spearman(union(valid_parts), MODEL_KEYS, "pred", "fwd_logret", "valid_ic")
     levels = small_side(
-        prediction_scale(union(threshold_parts))
-        .join(skill, MODEL_KEYS, "left")
-        .join(setting, MODEL_KEYS, "left")
+        prediction_scale(union(threshold_parts)).join(setting, MODEL_KEYS, "left")
     )
     return (
         union(test_parts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.config import QUANTILES, Study
-from tapegrid.operators.blocks import quantiles, spearman
+from tapegrid.operators.blocks import join_ranks, order_counts, quantiles_of
 from tapegrid.operators.fitting import (
     FAMILIES,
     MODEL_KEYS,
@@ -23,14 +23,47 @@ from tapegrid.operators.fitting import (
     with_unit_spread,
 )
 from tapegrid.operators.folds import Fold, horizon_rows, monthly_folds, test_rows, window_rows
-from tapegrid.session import small_side
+from tapegrid.session import settle, small_side
 
 OUTPUT = ["pred", "y", "fwd_logret", "test_month", *QUANTILES, "valid_ic", "setting"]
 
 
-def prediction_scale(threshold: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
-    """Five prediction quantiles on the validation month."""
-    return quantiles(threshold, keys, "pred", QUANTILES)
+def prediction_scale(scored: DataFrame) -> DataFrame:
+    """Per window: five quantiles of ``pred`` and the rank correlation ``valid_ic``.
+
+    ``scored`` has the validation-month rows with the refit model's ``pred`` and, on the rows whose
+    label is known, the inner model's ``inner_pred`` and the forward return. One sort serves all
+    three columns.
+    """
+    valid = F.col("inner_pred").isNotNull() & F.col("fwd_logret").isNotNull()
+    rows = settle(
+        scored.select(
+            *MODEL_KEYS,
+            "pred",
+            F.when(valid, F.col("inner_pred")).alias("_a"),
+            F.when(valid, F.col("fwd_logret")).alias("_b"),
+        )
+    )
+    sides = F.array(
+        *[
+            F.struct(F.lit(i).alias("side"), F.col(c).alias("value"))
+            for i, c in enumerate(("_a", "_b", "pred"))
+        ]
+    )
+    stacked = rows.select(*MODEL_KEYS, F.explode(sides).alias("_s")).select(
+        *MODEL_KEYS, F.col("_s.side").alias("_side"), F.col("_s.value").alias("_value")
+    )
+    ordered = order_counts(stacked, [*MODEL_KEYS, "_side"], "_value")
+    scale = quantiles_of(
+        ordered.where(F.col("_side") == 2), MODEL_KEYS, "_value", QUANTILES
+    )
+    known = rows.where(F.col("_a").isNotNull())
+    skill = (
+        join_ranks(known, ordered, MODEL_KEYS, {"_a": "_za", "_b": "_zb"})
+        .groupBy(*MODEL_KEYS)
+        .agg(F.avg(F.col("_za") * F.col("_zb")).alias("valid_ic"))
+    )
+    return scale.join(skill, MODEL_KEYS, "left")
 
 
 def fit_windows(
@@ -46,20 +79,16 @@ def fit_windows(
     models = params.drop("setting")
     inner = models.where(F.col("role") == "inner").drop("role")
     refit = models.where(F.col("role") == "refit").drop("role")
+    predicted = family.predict(inputs)
     flagged = window_rows(rows, folds, inputs, study).where(F.col("threshold"))
-    predicted = family.predict(inputs).alias("pred")
-    scale = prediction_scale(
-        flagged.join(refit, MODEL_KEYS).select(
-            *MODEL_KEYS, predicted
-        )
+    keep = [*MODEL_KEYS, "valid", "fwd_logret", *inputs]
+    scored = (
+        flagged.join(inner, MODEL_KEYS)
+        .select(*keep, F.when(F.col("valid"), predicted).alias("inner_pred"))
+        .join(refit, MODEL_KEYS)
+        .select(*MODEL_KEYS, predicted.alias("pred"), "inner_pred", "fwd_logret")
     )
-    valid = (
-        flagged.where(F.col("valid"))
-        .join(inner, MODEL_KEYS)
-        .select(*MODEL_KEYS, predicted, "fwd_logret")
-    )
-    skill = spearman(valid, MODEL_KEYS, "pred", "fwd_logret", "valid_ic")
-    levels = scale.join(skill, MODEL_KEYS, "left").join(setting, MODEL_KEYS, "left")
+    levels = prediction_scale(scored).join(setting, MODEL_KEYS, "left")
     return refit, small_side(levels)
 
 
@@ -151,31 +180,32 @@ def pooled_out_of_sample(
     final = models.where(F.col("role") == "refit").drop("role", "setting")
     first = models.where(F.col("role") == "inner").drop("role", "setting")
     setting = models.where(F.col("role") == "refit").select(*pool_keys, "setting")
-    predicted = predict_scores(F.col("x")).alias("pred")
-    valid = scaled.where(F.col("part") == "valid").join(first, pool_keys)
-    skill = spearman(
-        valid.select(*MODEL_KEYS, predicted, "fwd_logret"),
-        MODEL_KEYS,
-        "pred",
-        "fwd_logret",
-        "valid_ic",
-    )
+    predicted = predict_scores(F.col("x"))
+    # validation rows on the training scale for the inner model, on the refit scale for the final one
+    own_first = moments.where(F.col("role") == "inner").drop("role")
     own_inputs = standard_scores(F.array(*inputs)).alias("x")
+    flags = [*MODEL_KEYS, "valid", "fwd_logret"]
     threshold = window_rows(rows, folds, inputs, study).where(F.col("threshold"))
-    scale = prediction_scale(
-        threshold.join(own, MODEL_KEYS)
-        .select(*MODEL_KEYS, own_inputs)
+    inner = (
+        threshold.join(own_first, MODEL_KEYS)
+        .select(*flags, *inputs, own_inputs)
+        .join(first, pool_keys)
+        .select(*flags, *inputs, F.when(F.col("valid"), predicted).alias("inner_pred"))
+    )
+    scored = (
+        inner.join(own, MODEL_KEYS)
+        .select(*MODEL_KEYS, "fwd_logret", "inner_pred", own_inputs)
         .join(final, pool_keys)
-        .select(*MODEL_KEYS, predicted)
+        .select(*MODEL_KEYS, predicted.alias("pred"), "inner_pred", "fwd_logret")
     )
-    levels = small_side(scale.join(skill, MODEL_KEYS, "left").join(setting, pool_keys, "left"))
+    levels = small_side(prediction_scale(scored).join(setting, pool_keys, "left"))
     keep = [*MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month"]
     return (
         test_rows(rows, folds, inputs, study, end)
         .join(own, MODEL_KEYS)
         .select(*keep, own_inputs)
         .join(final, pool_keys)
-        .select(*keep, predicted)
+        .select(*keep, predicted.alias("pred"))
         .join(levels, MODEL_KEYS)
         .select("coin", "horizon", "pos", "open_time", *OUTPUT)
     )
