@@ -63,11 +63,6 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def literal_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Small table of parameters that the caller listed."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def stack_columns(
     df: DataFrame, keep: Sequence[str], columns: dict[str, Column] | Sequence[str], name: str, value: str
 ) -> DataFrame:

@@ -25,7 +25,6 @@ from tapegrid.schema import (
     har_inputs,
     label_names,
     model_inputs,
-    volatility_inputs,
 )
 
 
@@ -209,5 +208,4 @@ __all__ = [
     "look_ahead_violations",
     "project_inputs",
     "volatility_frame",
-    "volatility_inputs",
 ]

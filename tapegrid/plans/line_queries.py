@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapegrid import schema
@@ -24,8 +27,8 @@ from tapegrid.oracle import sql as o
 from tapegrid.plans import experiments as exp
 from tapegrid.plans.catalog import query
 from tapegrid.plans.studies import LINES, lines_lab
-from tapegrid.session import prepare
-from tapegrid.sources import derived
+from tapegrid.session import prepare, shared_folder
+from tapegrid.sources import derived, store
 
 S = LINES
 INPUTS = schema.model_inputs(S)
@@ -260,6 +263,21 @@ prediction_query("ridge_predictions", None, family="ridge")
 prediction_query("tree_predictions", None, family="trees", policy="fixed", horizons=(2,))
 
 
+@query("stored_predictions", momentum(horizons=(2,)).select(PRED, "predictions"))
+def _(spark, folder):
+    """Predictions computed once per key, appended to a partitioned table and read back."""
+    lab = lines_lab(spark, folder)
+    path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
+    held = store.PredictionStore(spark, path, ["family", "period"])
+    key = {"family": "momentum", "period": "research"}
+
+    def compute():
+        return lab.predictions("momentum", horizons=(2,)).drop(*key)
+
+    held.get(key, compute)
+    return held.get(key, compute).select(*PRED_COLUMNS)
+
+
 @query("pooled_predictions", None)
 def _(spark, folder):
     return lines_lab(spark, folder).pooled_predictions(horizons=(2,)).select(*PRED_COLUMNS)
@@ -1444,8 +1462,6 @@ def shrinkage_sql() -> str:
     later = FORWARD_SWEEP.parts
     renamed = {}
     own = [n for n in later if n not in FEATURES.parts]
-    import re
-
     for name in own:
         body = later[name]
         for other in own:
