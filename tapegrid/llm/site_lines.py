@@ -22,7 +22,7 @@ def page_lines(html: Column) -> Column:
     for code, char in ENTITIES:
         text = F.replace(text, F.lit(code), F.lit(char))
     text = F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")
-    return F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def host_of(url: Column) -> Column:
