@@ -91,13 +91,3 @@ class Study:
 
     def with_changes(self, **changes) -> Study:
         return replace(self, **changes)
-
-
-# The frozen recipe a forward run is checked against.
-FROZEN = {
-    "horizon": 4,
-    "family": "best_feature",
-    "inputs": "all",
-    "policy": "expanding",
-    "rule": "outer10",
-}

@@ -55,8 +55,7 @@ def marked(names: Sequence[str]) -> str:
 # ---------------------------------------------------------------- bars
 
 EVENT_TICKS = {
-    "scale": """SELECT (CASE WHEN count(*) < 5000 THEN 21600 WHEN count(*) < 50000 THEN 3600
-        WHEN count(*) < 500000 THEN 300 ELSE 30 END)::BIGINT AS w FROM events""",
+    "scale": "SELECT 3600::BIGINT AS w",
     "ticks": """SELECT event_type AS asset, (epoch_us(ts) // (w * 1000000))::BIGINT AS pos,
         value + 100 AS price, value AS qty,
         epoch_us(ts)::HUGEINT * 1000000000 + event_id AS ord,

@@ -35,15 +35,6 @@ def aggregate_bars(ticks: DataFrame, order: Column, bar_seconds: int) -> DataFra
     return bars.withColumn("open_time", bar_time("pos", bar_seconds))
 
 
-def event_bar_seconds(events: DataFrame) -> int:
-    """Bar width from the size of the table, so the grid grows with the data."""
-    rows = events.count()
-    for limit, seconds in ((5_000, 21_600), (50_000, 3_600), (500_000, 300)):
-        if rows < limit:
-            return seconds
-    return 30
-
-
 def event_ticks(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return events.select(
