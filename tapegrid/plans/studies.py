@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tapegrid.config import Study
+from tapegrid.operators.bootstrap import forget_weights
 from tapegrid.operators.trees import TreeSettings
 from tapegrid.plans.lab import Lab
 from tapegrid.session import prepare
 from tapegrid.sources import derived, files
 
-# Event types as assets on bars whose width follows the size of the table.
+# Event types as assets on hourly bars.
 EVENTS = Study(
     targets=("click", "purchase", "view"),
     contexts=("error", "signup"),
+    bar_seconds=3_600,
     grid_start="2024-01-01 00:00:00",
     train_start="2024-01-03 00:00:00",
     research_months=("2024-01",),
@@ -60,7 +62,6 @@ LINES = Study(
     har_windows=(3, 10, 20),
     extreme_window=60,
     extreme_sigmas=2.5,
-    draws=1_000,
     block_rows=512,
 )
 
@@ -76,17 +77,17 @@ def _lab(spark: SparkSession, folder: str, name: str, build) -> Lab:
 
 
 def forget() -> None:
-    """Drop the held labs, so the next query starts from the tables again."""
+    """Drop the held labs and draws, so the next query starts from the tables again."""
     _LABS.clear()
+    forget_weights()
 
 
 def events_lab(spark: SparkSession, folder: str) -> Lab:
     def build() -> Lab:
         events = derived.read(spark, folder, "events")
-        study = EVENTS.with_changes(bar_seconds=derived.event_bar_seconds(events))
         text = derived.event_funding_text(events)
-        funding = files.clean_funding(text, text["asset"], study)
-        return Lab(spark, study, derived.event_bars(events, study), funding)
+        funding = files.clean_funding(text, text["asset"], EVENTS)
+        return Lab(spark, EVENTS, derived.event_bars(events, EVENTS), funding)
 
     return _lab(spark, folder, "events", build)
 
