@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tapegrid.config import EDGE_PER_UNIT_IC, SIZE_CAP, VERSIONS, Study
 from tapegrid.functions.columns import month_of, ratio
 from tapegrid.operators.positions import (
+    Cell,
     bar_flows,
     daily_flows,
     frame_on_bars,
     net_of,
     pnl_stats,
     rule_signal,
-    with_position,
+    with_positions,
 )
 from tapegrid.session import settle
 
@@ -60,34 +61,24 @@ def version_bars(
         *keys, "pos", F.col("pred").alias("_v_pred"), F.col("q50").alias("_v_median")
     )
     rows = frame_on_bars(direction, bars, keys).join(forecasts, [*keys, "pos"], "left")
-    cells = F.array(
-        *[
-            F.struct(F.lit(v).alias("version"), F.lit(f).alias("fee"), F.lit(b).alias("bps"))
-            for v in versions
-            for f, b in study.fees_bps
-        ]
-    )
-    rows = rows.withColumn("signal", rule_signal(rule)).withColumn("_c", F.explode(cells))
-    is_open = edge_covers_fee(
-        F.col("valid_ic"), F.exp("_v_pred"), rule, F.col("_c.bps")
-    )
     size = inverse_volatility_size(F.col("_v_median"), F.col("_v_pred"))
-    rows = rows.select(
-        *keys,
-        F.col("_c.version").alias("version"),
-        F.col("_c.fee").alias("fee"),
-        F.col("_c.bps").alias("fee_bps"),
-        "pos",
-        "open_time",
-        "bar_return",
-        "rate",
-        "signal",
-        tranche_scale(F.col("_c.version"), is_open, size).alias("scale"),
-    ).withColumn("scaled", F.col("signal") * F.col("scale"))
-    placed = with_position(
-        rows, [*keys, "version", "fee"], "scaled", study.horizons, (0,), study.block_rows
+    signal = rule_signal(rule)
+    scales, scaled, cells = {}, {}, []
+    for version in versions:
+        for number, (fee, bps) in enumerate(study.fees_bps):
+            is_open = edge_covers_fee(F.col("valid_ic"), F.exp("_v_pred"), rule, F.lit(bps))
+            # The base version is the same at every fee.
+            name = version if version == "base" else f"{version}{number}"
+            scales[f"_x_{name}"] = tranche_scale(F.lit(version), is_open, size)
+            scaled[f"_w_{name}"] = F.col("signal") * F.col(f"_x_{name}")
+            labels = {"version": F.lit(version), "fee": F.lit(fee), "fee_bps": F.lit(bps)}
+            cells.append(Cell(labels | {"scale": F.col(f"_x_{name}")}, f"_w_{name}"))
+    base = [*keys, "pos", "open_time", "bar_return", "rate"]
+    rows = rows.select(*base, signal.alias("signal"), *[c.alias(n) for n, c in scales.items()])
+    placed = with_positions(
+        rows.withColumns(scaled), keys, cells, study.horizons, (0,), study.block_rows
     )
-    return bar_flows(placed)
+    return bar_flows(placed.drop(*scales, *scaled))
 
 
 def gate_counts() -> dict[str, Column]:

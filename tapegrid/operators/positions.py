@@ -7,18 +7,19 @@ blocks; day windows are bounded by the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapegrid.config import RULES, Study
 from tapegrid.functions.columns import between, ratio
 from tapegrid.operators.blocks import blocked, in_block, owned, with_carry
-from tapegrid.operators.bootstrap import mean_summary, sharpe, sharpe_interval
+from tapegrid.operators.bootstrap import gross_and_net, sharpe
 from tapegrid.operators.returns import daily_closes, day_of, wide
 from tapegrid.operators.scoring import centred_signal, equal_weight
-from tapegrid.session import settle, small_side
+from tapegrid.session import settle
 
 FLOWS = ("gross", "fees", "funding", "net", "turnover")
 
@@ -33,66 +34,100 @@ def rule_signal(rule: str) -> Column:
     return signals(centred_signal("pred"), centred_signal(low), centred_signal(high))
 
 
-def rules_signal(rules: Sequence[str]) -> Column:
-    """Array of (rule, signal), one entry per rule."""
-    return F.array(
-        *[F.struct(F.lit(r).alias("rule"), rule_signal(r).alias("signal")) for r in rules]
-    )
+@dataclass(frozen=True)
+class Cell:
+    """One strategy over the same bars: its label columns and the column of its signal."""
+
+    labels: Mapping[str, Column]
+    signal: str
 
 
-def tranche_sum(signal: str, size: int, window) -> Column:
+def tranche_sum(signal: str, size: int, window: WindowSpec) -> Column:
     frame = window.rowsBetween(-(size - 1), 0)
     return F.coalesce(F.sum(F.coalesce(F.col(signal).cast("double"), F.lit(0.0))).over(frame), F.lit(0.0))
 
 
-def with_position(
+def _of_horizon(horizons: Sequence[int], value: Callable[[int], Column]) -> Column:
+    chosen = F.lit(None).cast("double")
+    for h in horizons:
+        chosen = F.when(F.col("horizon") == h, value(h)).otherwise(chosen)
+    return chosen
+
+
+def with_positions(
     rows: DataFrame,
     keys: Sequence[str],
-    signal: str,
+    cells: Sequence[Cell],
     horizons: Sequence[int],
     delays: Sequence[int],
     block_rows: int,
+    whole: bool = False,
 ) -> DataFrame:
-    """Add ``position``, ``held`` (previous position) and ``turnover`` for every delay.
+    """Every cell and delay as a row: its labels, ``position``, ``held`` (before) and ``turnover``.
 
     The position averages the last ``horizon`` signals, ``delay`` bars late. The last bar of a key
-    pays for closing what it still holds.
+    pays for closing what it still holds. Cells are columns until the one sort of the bars is done.
+    ``whole`` says that signals are whole numbers: then a position is an exact difference of running
+    sums, one per cell however many horizons there are.
     """
     reach = max(horizons) + max(delays) + 1
     rows = blocked(rows, "pos", before=reach, after=1, block_rows=block_rows)
     line = in_block(keys, "pos")
-    current = F.lit(None).cast("double")
-    for h in horizons:
-        current = F.when(F.col("horizon") == h, tranche_sum(signal, h, line) / h).otherwise(current)
-    rows = rows.withColumn("_position", current).withColumn(
-        "_is_last", F.lead("pos").over(line).isNull()
-    )
-    cells = F.array(
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    signals_used = list(dict.fromkeys(c.signal for c in cells))
+    if whole:
+        zero = F.lit(0.0)
+        rows = rows.withColumns(
+            {f"_sum_{n}": F.sum(F.coalesce(F.col(n).cast("double"), zero)).over(so_far) for n in signals_used}
+        )
+
+    def tranches(name: str, size: int) -> Column:
+        if not whole:
+            return tranche_sum(name, size, line)
+        return F.col(f"_sum_{name}") - F.lag(f"_sum_{name}", size, 0.0).over(line)
+
+    rows = rows.withColumns(
+        {f"_at_{n}": _of_horizon(horizons, lambda h, n=n: tranches(n, h) / h) for n in signals_used}
+    ).withColumn("_is_last", F.lead("pos").over(line).isNull())
+    built = F.array(
         *[
             F.struct(
+                *[value.alias(name) for name, value in cell.labels.items()],
                 F.lit(d).alias("delay"),
-                (F.lag("_position", d, 0.0).over(line) if d else F.col("_position")).alias("position"),
-                F.lag("_position", d + 1, 0.0).over(line).alias("held"),
+                (F.lag(f"_at_{cell.signal}", d, 0.0).over(line) if d else F.col(f"_at_{cell.signal}")).alias("position"),
+                F.lag(f"_at_{cell.signal}", d + 1, 0.0).over(line).alias("held"),
             )
+            for cell in cells
             for d in delays
         ]
     )
-    rows = owned(rows.withColumn("_cells", cells)).withColumn("_cell", F.explode("_cells"))
+    added = [f"_{kind}_{n}" for n in signals_used for kind in ("at", "sum")]
+    rows = owned(rows.withColumn("_cells", built)).withColumn("_cell", F.explode("_cells"))
     position, held = F.col("_cell.position"), F.col("_cell.held")
     closing = F.when(F.col("_is_last"), F.abs(position)).otherwise(F.lit(0.0))
-    return (
-        rows.withColumn("delay", F.col("_cell.delay"))
-        .withColumn("position", position)
-        .withColumn("held", held)
-        .withColumn("turnover", F.abs(position - held) + closing)
-        .drop("_cells", "_cell", "_position", "_is_last")
-    )
+    names = [*cells[0].labels, "delay"]
+    return rows.withColumns(
+        {n: F.col(f"_cell.{n}") for n in names}
+        | {"position": position, "held": held, "turnover": F.abs(position - held) + closing}
+    ).drop("_cells", "_cell", "_is_last", *added)
+
+
+def with_position(
+    rows: DataFrame,
+    keys: Sequence[str],
+    signal: str,
+    horizons: Sequence[int],
+    delays: Sequence[int],
+    block_rows: int,
+) -> DataFrame:
+    """``with_positions`` of a single signal."""
+    return with_positions(rows, keys, [Cell({}, signal)], horizons, delays, block_rows)
 
 
 def period_bars(grid: DataFrame, funding: DataFrame, study: Study, period: str) -> DataFrame:
     """Target bars of a period with the simple return since the last known close and the rate.
 
-    A gap books its whole move on the first bar that trades again.
+    The return of an untraded stretch is that of the bar which ends it.
     """
     months, end = study.periods[period]
     rows = grid.where(
@@ -130,7 +165,7 @@ def bar_pnl(rows: DataFrame, fee_bps: float) -> DataFrame:
 
 def frame_on_bars(frame: DataFrame, bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every bar of the period for every configuration of the frame, predictions where present."""
-    configurations = small_side(frame.select(*keys).distinct())
+    configurations = settle(frame.select(*keys).distinct())
     base = bars.join(configurations, "coin")
     columns = [c for c in frame.columns if c not in ("open_time", "close", "bar_return", "rate")]
     return base.join(frame.select(*columns), [*keys, "pos"], "left")
@@ -145,16 +180,14 @@ def strategy_bars(
     delays: Sequence[int] = (0,),
 ) -> DataFrame:
     """Positions and flows of every configuration, rule and delay."""
-    rows = frame_on_bars(frame, bars, keys)
-    rows = rows.withColumn("_r", F.explode(rules_signal(rules)))
-    rows = rows.select(
-        *keys, "pos", "open_time", "bar_return", "rate", F.col("_r.rule").alias("rule"),
-        F.col("_r.signal").alias("signal"),
+    rows = frame_on_bars(frame, bars, keys).select(
+        *keys, "pos", "open_time", "bar_return", "rate", *[rule_signal(r).alias(f"_r_{r}") for r in rules]
     )
-    placed = with_position(
-        rows, [*keys, "rule"], "signal", study.horizons, delays, study.block_rows
+    cells = [Cell({"rule": F.lit(r), "signal": F.col(f"_r_{r}")}, f"_r_{r}") for r in rules]
+    placed = with_positions(
+        rows, keys, cells, study.horizons, delays, study.block_rows, whole=True
     )
-    return bar_flows(placed)
+    return bar_flows(placed.drop(*[f"_r_{r}" for r in rules]))
 
 
 def daily_flows(bars: DataFrame, keys: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -215,11 +248,8 @@ def strategy_stats(daily: DataFrame, keys: Sequence[str], study: Study) -> DataF
         F.avg("turnover").alias("turnover_day"),
         breakeven_bps().alias("breakeven_bps"),
     )
-    gross_t = mean_summary(daily, keys, "gross", study, "_g").select(*keys, F.col("t").alias("gross_t"))
-    return (
-        base.join(gross_t, keys, "left")
-        .join(sharpe_interval(daily, keys, "net", study), keys, "left")
-        .join(drawdown(daily, keys), keys, "left")
+    return base.join(gross_and_net(daily, keys, study), keys, "left").join(
+        drawdown(daily, keys), keys, "left"
     )
 
 
