@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
 from tapegrid.config import Study
@@ -42,90 +44,120 @@ ACTIVITY_FIELDS = ("volume", "quote_volume", "count")
 FLOW_KINDS = {"vol": ("taker_buy_volume", "volume"), "qv": ("taker_buy_quote_volume", "quote_volume")}
 
 
-def price_features(s: Study) -> list[str]:
-    return [
-        "logret_1",
-        *[f"trail_ret_{n}" for n in s.lags],
-        *[f"roll_mean_logret_{n}" for n in s.mean_windows],
-        f"roll_vol_logret_{s.long_window}",
-        "candle_range_pct",
-        "candle_body_pct",
-        "upper_wick_pct",
-        "lower_wick_pct",
-    ]
+@dataclass(frozen=True)
+class FeatureColumn:
+    """One feature: whose it is, its name, and whether models take it.
 
+    ``of`` is the role of the asset it describes, ``x`` being the target; cross features describe
+    the target and ``against`` a context.
+    """
 
-def activity_features(s: Study) -> list[str]:
-    logs = [f"{f}_log" for f in ACTIVITY_FIELDS]
-    return logs + [f"{f}_z_{s.long_window}" for f in ACTIVITY_FIELDS]
+    of: str
+    kind: str
+    name: str
+    is_input: bool
+    against: str | None = None
 
 
-def flow_features(s: Study) -> list[str]:
-    shares = [f"taker_buy_ratio_{k}" for k in FLOW_KINDS]
-    return shares + [f"taker_buy_ratio_{k}_ma{n}" for n in s.flow_windows for k in FLOW_KINDS]
+@dataclass(frozen=True)
+class _Formula:
+    name: str
+    kind: str
+    is_input: bool = True
 
 
-def asset_feature_names(s: Study) -> list[str]:
-    return price_features(s) + activity_features(s) + flow_features(s)
+def _formulas(s: Study) -> list[_Formula]:
+    """What is computed for every asset. Levels drift, and means of returns or of the quote flow
+    repeat what other columns say: those are kept for reading, not for fitting."""
+    wicks = ("candle_range_pct", "candle_body_pct", "upper_wick_pct", "lower_wick_pct")
+    return [
+        _Formula("logret_1", "price"),
+        *[_Formula(f"trail_ret_{n}", "price") for n in s.lags],
+        *[_Formula(f"roll_mean_logret_{n}", "price", False) for n in s.mean_windows],
+        _Formula(f"roll_vol_logret_{s.long_window}", "price"),
+        *[_Formula(name, "price") for name in wicks],
+        *[_Formula(f"{f}_log", "activity", False) for f in ACTIVITY_FIELDS],
+        *[_Formula(f"{f}_z_{s.long_window}", "activity") for f in ACTIVITY_FIELDS],
+        *[_Formula(f"taker_buy_ratio_{k}", "flow", k != "qv") for k in FLOW_KINDS],
+        *[
+            _Formula(f"taker_buy_ratio_{k}_ma{n}", "flow", k != "qv")
+            for n in s.flow_windows
+            for k in FLOW_KINDS
+        ],
+    ]
 
 
 def excess_pairs(s: Study) -> list[tuple[str, int]]:
     """The benchmark is compared at every excess lag, the other contexts at the first one."""
-    first = [(s.benchmark, n) for n in s.excess_lags]
-    return first + [(c, s.excess_lags[0]) for c in s.contexts[1:]]
+    lags = {c: s.excess_lags if c == s.benchmark else s.excess_lags[:1] for c in s.contexts}
+    return [(c, n) for c, own in lags.items() for n in own]
 
 
-def cross_features(s: Study) -> list[str]:
-    return [
-        *[f"x_minus_{c}_trail_ret_{n}" for c, n in excess_pairs(s)],
-        *[f"corr_x_{c}_logret_{s.corr_window}" for c in s.contexts],
-        *[f"beta_x_{c}_{s.beta_window}" for c in s.contexts],
+def feature_table(s: Study) -> list[FeatureColumn]:
+    """Every feature column, in the order of the feature frame."""
+    order = {"price": 0, "activity": 1, "flow": 2}
+    own = [
+        FeatureColumn(role, f.kind, f"{role}_{f.name}", f.is_input)
+        for role in (*s.contexts, "x")
+        for f in _formulas(s)
+    ]
+    cross = [
+        *[(c, f"x_minus_{c}_trail_ret_{n}") for c, n in excess_pairs(s)],
+        *[(c, f"corr_x_{c}_logret_{s.corr_window}") for c in s.contexts],
+        *[(c, f"beta_x_{c}_{s.beta_window}") for c in s.contexts],
     ]
+    return sorted(own, key=lambda f: order[f.kind]) + [
+        FeatureColumn("x", "cross", name, True, against) for against, name in cross
+    ]
+
+
+def formula_names(s: Study, kind: str) -> list[str]:
+    return [f.name for f in _formulas(s) if f.kind == kind]
+
+
+def asset_feature_names(s: Study) -> list[str]:
+    return [f.name for f in _formulas(s)]
+
+
+def cross_features(s: Study) -> list[str]:
+    return [f.name for f in feature_table(s) if f.kind == "cross"]
 
 
 def feature_names(s: Study) -> list[str]:
-    groups = (price_features(s), activity_features(s), flow_features(s))
-    roles = (*s.contexts, "x")
-    return [f"{r}_{n}" for group in groups for r in roles for n in group] + cross_features(s)
+    return [f.name for f in feature_table(s)]
 
 
-def excluded_inputs(s: Study) -> set[str]:
-    """Levels that drift, and columns that repeat one which stays."""
-    return {
-        *[f"{f}_log" for f in ACTIVITY_FIELDS],
-        *[f"roll_mean_logret_{n}" for n in s.mean_windows],
-        "taker_buy_ratio_qv",
-        *[f"taker_buy_ratio_qv_ma{n}" for n in s.flow_windows],
-    }
+def _inputs(s: Study) -> list[FeatureColumn]:
+    """Columns models take, the asset's own before the contexts', cross features last."""
+    place = {role: i for i, role in enumerate(("x", *s.contexts))}
+    formula = {name: i for i, name in enumerate(asset_feature_names(s))}
+    taken = [f for f in feature_table(s) if f.is_input]
+    single = [f for f in taken if f.kind != "cross"]
+    single.sort(key=lambda f: (place[f.of], formula[f.name.removeprefix(f"{f.of}_")]))
+    return single + [f for f in taken if f.kind == "cross"]
 
 
 def model_inputs(s: Study) -> list[str]:
-    """Own inputs first: ties in the best-feature choice go to the asset itself."""
-    skip = excluded_inputs(s)
-    names = [n for n in asset_feature_names(s) if n not in skip]
-    return [f"{r}_{n}" for r in ("x", *s.contexts) for n in names] + cross_features(s)
+    return [f.name for f in _inputs(s)]
 
 
 def own_inputs(s: Study) -> list[str]:
-    cross = set(cross_features(s))
-    return [n for n in model_inputs(s) if n.startswith("x_") and n not in cross]
-
-
-def input_set(s: Study, name: str) -> list[str]:
-    if name == "all":
-        return model_inputs(s)
-    if name == "own":
-        return own_inputs(s)
-    return importance_groups(s)[name]
+    return [f.name for f in _inputs(s) if f.of == "x" and f.against is None]
 
 
 def importance_groups(s: Study) -> dict[str, list[str]]:
-    groups = {"x": own_inputs(s)}
-    for c in s.contexts:
-        groups[c] = [n for n in model_inputs(s) if n.startswith(f"{c}_") or f"_{c}_" in n]
+    """Inputs that say something about each asset; a cross feature belongs to its context."""
+    groups: dict[str, list[str]] = {role: [] for role in ("x", *s.contexts)}
+    for f in _inputs(s):
+        groups[f.against or f.of].append(f.name)
     return groups
 
 
+def input_set(s: Study, name: str) -> list[str]:
+    sets = importance_groups(s)
+    return {"all": model_inputs(s), "own": sets["x"]}.get(name) or sets[name]
+
+
 def label_names(s: Study) -> list[str]:
     return [f"{kind}_{h}" for h in s.horizons for kind in ("fwd_logret", "sigma", "y")]
 

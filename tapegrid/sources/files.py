@@ -15,7 +15,7 @@ from tapegrid.schema import BAR_FIELDS, FUNDING_TEXT, KLINE_TEXT
 def month_range(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every ``YYYY-MM`` from start to end; a reversed range is an error."""
     if start > end:
-        raise ValueError(f"{start} is after {end}")
+        raise ValueError(f"no month from {start} to {end}")
     first, last = (F.to_date(F.lit(f"{m}-01")) for m in (start, end))
     step = F.expr("INTERVAL 1 MONTH")
     months = spark.range(1).select(F.explode(F.sequence(first, last, step)).alias("_m"))
