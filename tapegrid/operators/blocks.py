@@ -173,10 +173,20 @@ def standard_rank() -> Column:
     return (average_rank() - (F.col("n") + 1) / 2) / F.col("rank_sd")
 
 
+def _with_ranks(
+    df: DataFrame, ranks: DataFrame, keys: Sequence[str], column: str
+) -> DataFrame:
+    """Join ranks back on the value. Rows without a value have no rank; a digest of the row as part
+    of their key spreads them, where null alone would put all of them in one task."""
+    own = F.when(F.col(column).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("long"))
+    known = ranks.withColumn("_spread", F.lit(0).cast("long"))
+    return df.withColumn("_spread", own).join(known, [*keys, column, "_spread"], "left").drop("_spread")
+
+
 def standardised_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average-tie ranks per key, centred and scaled by their population standard deviation."""
     ranks = order_counts(df, keys, value).select(*keys, value, standard_rank().alias(name))
-    return df.join(ranks, [*keys, value], "left")
+    return _with_ranks(df, ranks, keys, value)
 
 
 def rank_columns(df: DataFrame, keys: Sequence[str], names: Mapping[str, str]) -> DataFrame:
@@ -201,7 +211,7 @@ def join_ranks(
         ranks = ordered.where(F.col("_side") == i).select(
             *keys, F.col("_value").alias(column), standard_rank().alias(name)
         )
-        df = df.join(ranks, [*keys, column], "left")
+        df = _with_ranks(df, ranks, keys, column)
     return df
 
 

@@ -22,7 +22,7 @@ from tapegrid.config import RIDGE_ALPHAS, RIDGE_CLIP, Study
 from tapegrid.functions.columns import all_known, bar_position, moment, month_of, pick_column
 from tapegrid.operators.blocks import rank_products_sum, standardised_ranks
 from tapegrid.operators.folds import Fold, distinct_windows, window_rows
-from tapegrid.session import small_side
+from tapegrid.session import settle
 
 MODEL_KEYS = ["coin", "horizon", "window"]
 ROLES = ("inner", "refit")
@@ -430,7 +430,7 @@ def fit_ridge_parts(
 ) -> DataFrame:
     """Ridge per key from rows tagged ``train``, ``valid`` and ``refit`` with input array ``x``."""
     keys = list(keys)
-    moments = small_side(with_unit_spread(input_moments(parts, keys, size)))
+    moments = settle(with_unit_spread(input_moments(parts, keys, size)))
     scored = parts.withColumn("role", role_of_part()).join(moments, [*keys, "role"])
     scored = scored.select(
         *keys, "part", F.concat(clipped_scores(F.col("x")), F.array("y")).alias("_u")

@@ -1,13 +1,15 @@
 """Boosted trees with MLlib: early stopping on the validation month, then a refit.
 
-MLlib trains one distributed model per call, so the driver walks the listed coins, horizons and
-windows; the rows stay on the executors. Depth-limited trees stand in for leaf-limited ones, so
+MLlib trains one distributed model per call. The fitting rows are written by coin, horizon and
+window, so a model opens only its own files, and a few models are trained at a time. The inner
+training stops by itself when the validation month gets worse. Depth-limited trees stand in for leaf-limited ones, so
 results agree in kind with other boosters, not in value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,16 +28,17 @@ from tapegrid.operators.folds import (
     window_rows,
 )
 from tapegrid.operators.walkforward import OUTPUT, prediction_scale
-from tapegrid.session import settle, small_side
+from tapegrid.session import settle
 
 
 @dataclass(frozen=True)
 class TreeSettings:
-    rounds: int = 200
+    rounds: int = 2_000
     depth: int = 4
     step: float = 0.03
     row_share: float = 0.7
     column_share: str = "0.7"
+    models_at_once: int = 4
     rows_per_leaf_per_bar: int = ROWS_PER_LEAF_PER_HORIZON_BAR
 
 
@@ -73,53 +76,51 @@ def trees_out_of_sample(
     fitting = settle(
         assemble(window_rows(rows, folds, inputs, study)).select(
             *MODEL_KEYS, "train", "valid", "refit", "threshold", "y", "fwd_logret", "_features"
-        )
+        ),
+        partition_by=MODEL_KEYS,
     )
     tested = settle(
         assemble(test_rows(rows, folds, inputs, study, end)).select(
             *MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month", "_features"
-        )
+        ),
+        partition_by=MODEL_KEYS,
     )
-    threshold_parts, test_parts, notes = [], [], []
-    for coin in coins or study.targets:
-        for horizon in horizons:
-            for window in (f.window for f in distinct_windows(folds)):
-                key = (
-                    (F.col("coin") == coin)
-                    & (F.col("horizon") == horizon)
-                    & (F.col("window") == window)
-                )
-                part = fitting.where(key).cache()
-                valid = part.where("valid")
-                inner = booster(study, horizon, settings.rounds, settings).fit(part.where("train"))
-                errors = inner.evaluateEachIteration(valid, "squared")
-                best = min(range(len(errors)), key=errors.__getitem__) + 1
-                first = booster(study, horizon, best, settings).fit(part.where("train"))
-                scored = first.transform(valid)
-                spread = scored.agg((F.max("pred") - F.min("pred")).alias("s")).first()["s"]
-                if not spread:
-                    # the inner model never split: the month is predicted by its mean label
-                    mean = part.where("refit").agg(F.avg("y").alias("m")).first()["m"]
-                    best, apply = 0, lambda df, m=mean: df.withColumn("pred", F.lit(m))
-                else:
-                    final = booster(study, horizon, best, settings).fit(part.where("refit"))
-                    apply = final.transform
-                month = first.transform(part.where("threshold")).withColumn(
-                    "inner_pred", F.when(F.col("valid"), F.col("pred"))
-                )
-                threshold_parts.append(
-                    apply(month.drop("pred")).select(
-                        *MODEL_KEYS, "pred", "inner_pred", "fwd_logret"
-                    )
-                )
-                test_parts.append(apply(tested.where(key)).drop("_features"))
-                notes.append((coin, horizon, window, f"trees={best}"))
-                part.unpersist()
+
+    def model_of(cell: tuple) -> tuple[DataFrame, DataFrame, tuple]:
+        """Threshold rows and test rows with predictions, and the number of trees."""
+        coin, horizon, window = cell
+        key = (F.col("coin") == coin) & (F.col("horizon") == horizon) & (F.col("window") == window)
+        part = fitting.where(key)
+        inner = booster(study, horizon, settings.rounds, settings)
+        inner.setParams(validationIndicatorCol="valid", validationTol=0.0)
+        first = inner.fit(part.where("train OR valid"))
+        best = first.getNumTrees
+        spread = first.transform(part.where("valid")).agg((F.max("pred") - F.min("pred")).alias("s")).first()["s"]
+        if not spread:
+            # no split at all: a constant stands for the month
+            mean = part.where("refit").agg(F.avg("y").alias("m")).first()["m"]
+            best, apply = 0, lambda df: df.withColumn("pred", F.lit(mean))
+        else:
+            apply = booster(study, horizon, best, settings).fit(part.where("refit")).transform
+        month = first.transform(part.where("threshold")).withColumn(
+            "inner_pred", F.when(F.col("valid"), F.col("pred"))
+        )
+        fitted = apply(month.drop("pred")).select(*MODEL_KEYS, "pred", "inner_pred", "fwd_logret")
+        return fitted, apply(tested.where(key)).drop("_features"), (*cell, f"trees={best}")
+
+    cells = [
+        (coin, horizon, fold.window)
+        for coin in coins or study.targets
+        for horizon in horizons
+        for fold in distinct_windows(folds)
+    ]
+    with ThreadPoolExecutor(settings.models_at_once) as pool:
+        threshold_parts, test_parts, notes = zip(*pool.map(model_of, cells), strict=True)
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     setting = frame.sparkSession.createDataFrame(
         notes, "coin string, horizon int, window string, setting string"
     )
-    levels = small_side(
+    levels = settle(
         prediction_scale(union(threshold_parts)).join(setting, MODEL_KEYS, "left")
     )
     return (

@@ -23,7 +23,7 @@ from tapegrid.operators.fitting import (
     with_unit_spread,
 )
 from tapegrid.operators.folds import Fold, horizon_rows, monthly_folds, test_rows, window_rows
-from tapegrid.session import settle, small_side
+from tapegrid.session import settle
 
 OUTPUT = ["pred", "y", "fwd_logret", "test_month", *QUANTILES, "valid_ic", "setting"]
 
@@ -74,7 +74,7 @@ def fit_windows(
     The quantiles come from the refit model on rows that need no label; the validation IC ranks
     the inner model's predictions against the forward return.
     """
-    params = small_side(family.fit(rows, folds, inputs, study))
+    params = settle(family.fit(rows, folds, inputs, study))
     setting = params.where(F.col("role") == "refit").select(*MODEL_KEYS, "setting")
     models = params.drop("setting")
     inner = models.where(F.col("role") == "inner").drop("role")
@@ -89,7 +89,7 @@ def fit_windows(
         .select(*MODEL_KEYS, predicted.alias("pred"), "inner_pred", "fwd_logret")
     )
     levels = prediction_scale(scored).join(setting, MODEL_KEYS, "left")
-    return refit, small_side(levels)
+    return refit, settle(levels)
 
 
 def out_of_sample(
@@ -147,7 +147,7 @@ def month_means(
     rows = horizon_rows(frame, inputs, horizons)
     means = training_means(rows, folds, inputs, study)
     months_of = F.create_map(*[F.lit(x) for f in folds for x in (f.window, f.test_month)])
-    return small_side(
+    return settle(
         means.select(
             "coin", "horizon", months_of[F.col("window")].alias("test_month"), "train_mean"
         )
@@ -168,12 +168,12 @@ def pooled_out_of_sample(
     rows = horizon_rows(frame, inputs, horizons)
     folds = monthly_folds(months, study)
     parts = role_rows(rows, folds, inputs, study)
-    moments = small_side(with_unit_spread(input_moments(parts, MODEL_KEYS, len(inputs))))
+    moments = settle(with_unit_spread(input_moments(parts, MODEL_KEYS, len(inputs))))
     own_scale = standard_scores(F.col("x")).alias("x")
     scaled = parts.withColumn("role", role_of_part()).join(moments, [*MODEL_KEYS, "role"])
     scaled = scaled.select(*MODEL_KEYS, "part", "pos", "y", "fwd_logret", own_scale)
     pool_keys = ["horizon", "window"]
-    models = small_side(
+    models = settle(
         fit_ridge_parts(scaled, pool_keys, "horizon int, window string", len(inputs))
     )
     own = moments.where(F.col("role") == "refit").drop("role")
@@ -198,7 +198,7 @@ def pooled_out_of_sample(
         .join(final, pool_keys)
         .select(*MODEL_KEYS, predicted.alias("pred"), "inner_pred", "fwd_logret")
     )
-    levels = small_side(prediction_scale(scored).join(setting, pool_keys, "left"))
+    levels = settle(prediction_scale(scored).join(setting, pool_keys, "left"))
     keep = [*MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month"]
     return (
         test_rows(rows, folds, inputs, study, end)

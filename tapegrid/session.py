@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every plan relies on: UTC clocks and adaptive execution."""
@@ -38,22 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later stages and retries then see the same rows whatever executor is lost, and a columnar table
-    lets each reader open only the columns it needs.
+    lets each reader open only the columns it needs, and only the folders of the keys it filters.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Settle a parameter table and broadcast it only if its counted rows stay under the limit.
-
-    Above the limit it comes back without a hint and the join shuffles.
-    """
-    settled = settle(df)
-    return F.broadcast(settled) if settled.count() <= row_limit else settled
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

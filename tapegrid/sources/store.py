@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.functions.columns import rounded
+from tapegrid.session import settle
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -39,25 +41,34 @@ def missing_keys(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) -> D
 
 
 class PredictionStore:
-    """Predictions computed once per key and appended to one partitioned table."""
+    """Predictions computed once per key and appended to one partitioned table.
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path, list(keys)
-
-    def _exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-
-    def get(self, key: dict, compute: Callable[[], DataFrame]) -> DataFrame:
-        """Stored rows of ``key``, computing and appending them first if there are none."""
+    A key is a value of every key column. It counts as stored once it stands in the ledger, which is
+    written after its rows, so a job that fails half-way leaves no key that looks finished.
+    """
 
-        def stored() -> DataFrame:
-            rows = self.spark.read.parquet(self.path)
-            for name, value in key.items():
-                rows = rows.where(F.col(name) == value)
-            return rows
-
-        if not self._exists() or stored().isEmpty():
-            fresh = compute().withColumns({k: F.lit(v) for k, v in key.items()})
-            save(fresh, self.path, self.keys, mode="append")
-        return stored()
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        self.spark, self.keys = spark, list(keys)
+        self._rows, self._ledger = f"{path}/rows", f"{path}/keys"
+
+    def _stored(self, wanted: DataFrame) -> DataFrame:
+        try:
+            return self.spark.read.parquet(self._ledger)
+        except AnalysisException:  # nothing is stored yet
+            return wanted.limit(0)
+
+    def get(self, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of all ``wanted`` keys; those missing are computed and appended first.
+
+        ``compute`` gets the table of missing keys and returns rows with all key columns.
+        """
+        wanted = wanted.select(*self.keys).distinct()
+        missing = settle(missing_keys(wanted, self._stored(wanted), self.keys))
+        if not missing.isEmpty():
+            fresh = compute(missing).join(missing, self.keys, "left_semi")
+            save(fresh, self._rows, self.keys, mode="append")
+            save(missing, self._ledger, mode="append")
+        rows = self.spark.read.parquet(self._rows)
+        types = dict(wanted.dtypes)
+        typed = rows.withColumns({k: F.col(k).cast(types[k]) for k in self.keys})
+        return typed.join(wanted, self.keys, "left_semi")

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapegrid.operators import blocks, rolling
-from tapegrid.session import shared_folder, small_side
+from tapegrid.session import settle, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -130,17 +130,28 @@ def test_a_constant_window_has_zero_spread(spark):
     assert std[3] > 0 and std[9] > 0
 
 
-def test_small_side_broadcasts_only_under_its_limit(spark):
-    rows = spark.range(50)
+def test_settled_tables_are_broadcast_by_their_size(spark):
+    """The engine decides: a settled table has a known size, whatever its row count."""
     other = spark.range(50).withColumn("x", F.lit(1))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = []
     try:
-        hinted = other.join(small_side(rows), "id")._jdf.queryExecution().toString()
-        plain = other.join(small_side(rows, 10), "id")._jdf.queryExecution().toString()
+        for limit in ("10485760", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            plans.append(other.join(settle(spark.range(50)), "id")._jdf.queryExecution().toString())
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    assert "BroadcastHashJoin" in hinted
-    assert "BroadcastHashJoin" not in plain and "SortMergeJoin" in plain
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0]
+    assert "BroadcastHashJoin" not in plans[1] and "SortMergeJoin" in plans[1]
+
+
+def test_settled_folders_follow_the_keys(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0), (3, None, 4.0)], "x int, k string, y double")
+    kept = settle(rows, partition_by=["k"])
+    assert kept.columns == rows.columns and kept.schema == rows.schema
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert len(kept.where("k = 'a'").inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull" in kept.where("k = 'a'")._jdf.queryExecution().toString()
 
 
 class FakeSession:

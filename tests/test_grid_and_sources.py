@@ -115,14 +115,32 @@ def test_predictions_are_computed_once_per_key(spark, tmp_path):
     held = store.PredictionStore(spark, str(tmp_path / "pred"), ["coin", "horizon"])
     calls = []
 
-    def compute():
-        calls.append(1)
-        return spark.createDataFrame([(1, 0.5)], "pos int, pred double")
+    def wanted(*keys):
+        return spark.createDataFrame(keys, "coin string, horizon int")
+
+    def compute(missing):
+        calls.append(sorted((r["coin"], r["horizon"]) for r in missing.collect()))
+        return missing.select("*", F.lit(1).alias("pos"), F.lit(0.5).alias("pred"))
 
     for _ in range(2):
-        assert held.get({"coin": "aa", "horizon": 2}, compute).first()["pred"] == 0.5
-    held.get({"coin": "bb", "horizon": 2}, compute)
-    assert len(calls) == 2
+        found = held.get(wanted(("aa", 2)), compute).collect()
+        assert [(r["coin"], r["horizon"], r["pred"]) for r in found] == [("aa", 2, 0.5)]
+    found = held.get(wanted(("aa", 2), ("aa", 4), ("bb", 2), ("bb", 2)), compute).collect()
+    assert sorted((r["coin"], r["horizon"]) for r in found) == [("aa", 2), ("aa", 4), ("bb", 2)]
+    assert calls == [[("aa", 2)], [("aa", 4), ("bb", 2)]]
+
+
+def test_a_failed_computation_leaves_no_finished_key(spark, tmp_path):
+    held = store.PredictionStore(spark, str(tmp_path / "pred"), ["coin"])
+    wanted = spark.createDataFrame([("aa",)], "coin string")
+
+    def fails(missing):
+        return missing.select("*", F.raise_error(F.lit("lost")).cast("double").alias("pred"))
+
+    with pytest.raises(Exception, match="lost"):
+        held.get(wanted, fails)
+    good = held.get(wanted, lambda missing: missing.withColumn("pred", F.lit(1.0)))
+    assert good.count() == 1
 
 
 def test_alignment_and_audit(spark, study):
