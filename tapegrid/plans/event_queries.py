@@ -673,9 +673,9 @@ def asset_block(name: str, columns) -> None:
         return feat.asset_features(lab.grid, lab.study).select("asset", "pos", *columns)
 
 
-asset_block("price_features", schema.price_features(S))
-asset_block("activity_features", schema.activity_features(S))
-asset_block("flow_features", schema.flow_features(S))
+asset_block("price_features", schema.formula_names(S, "price"))
+asset_block("activity_features", schema.formula_names(S, "activity"))
+asset_block("flow_features", schema.formula_names(S, "flow"))
 
 
 @query("cross_features", feature_query(schema.cross_features(S)))
@@ -707,14 +707,41 @@ def _(spark, folder):
     return lab.volatility_frame.select("coin", "pos", "hour", *names)
 
 
+LOOK_CUT = "2024-01-20"
+
+
+def rewritten_features(lab):
+    """Features after every bar from the cut on was rewritten."""
+    late = F.col("open_time") >= F.lit(LOOK_CUT).cast("timestamp")
+    changed = {f: F.when(late, F.col(f) * 3 + 1).otherwise(F.col(f)) for f in schema.BAR_FIELDS}
+    return feat.build_features(lab.grid.withColumns(changed), lab.study)
+
+
 @query("look_ahead_violations", FEATURED.sql("SELECT coin, pos FROM features WHERE false"))
 def _(spark, folder):
     """Rewriting every bar after a moment must change no earlier feature."""
     lab = events_lab(spark, folder)
-    cut = F.lit("2024-01-20").cast("timestamp")
-    rewritten = lab.grid.withColumns(
-        {f: F.when(F.col("open_time") >= cut, F.col(f) * 3 + 1).otherwise(F.col(f)) for f in schema.BAR_FIELDS}
-    )
-    after = feat.build_features(rewritten, lab.study)
+    cut = F.lit(LOOK_CUT).cast("timestamp")
     names = schema.feature_names(lab.study)
-    return feat.look_ahead_violations(lab.features, after, cut, names).select("coin", "pos")
+    return feat.look_ahead_violations(lab.features, rewritten_features(lab), cut, names).select("coin", "pos")
+
+
+@query(
+    "look_ahead_found",
+    FEATURED.sql(
+        f"""SELECT coin, pos FROM (SELECT coin, pos, open_time, lead(x_close) OVER (PARTITION BY coin ORDER BY pos)
+        AS leak, lead(open_time) OVER (PARTITION BY coin ORDER BY pos) AS next_time FROM features)
+        WHERE open_time < '{LOOK_CUT}' AND next_time >= '{LOOK_CUT}' AND leak IS NOT NULL"""
+    ),
+)
+def _(spark, folder):
+    """The same check with a feature that reads the next bar: its last row before the cut is found."""
+    lab = events_lab(spark, folder)
+
+    def leaking(frame):
+        following = frame.select("coin", (F.col("pos") - 1).alias("pos"), F.col("x_close").alias("leak"))
+        return frame.select("coin", "pos", "open_time").join(following, ["coin", "pos"], "left")
+
+    cut = F.lit(LOOK_CUT).cast("timestamp")
+    found = feat.look_ahead_violations(leaking(lab.features), leaking(rewritten_features(lab)), cut, ["leak"])
+    return found.select("coin", "pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -240,16 +240,25 @@ def taker_net(daily: DataFrame, rule: str, delay: int = 0) -> DataFrame:
     )
 
 
-def economics_tables(lab: Lab, horizon: int, family: str) -> dict[str, DataFrame]:
+def only_value(choice: DataFrame, column: str, what: str):
+    """The value of a one-row decision; an error where nothing could be chosen."""
+    row = choice.first()
+    if row is None or row[column] is None:
+        raise ValueError(f"no {what} can be chosen: no candidate has a known merit")
+    return row[column]
+
+
+def economics_tables(
+    lab: Lab, horizon: int, family: str, inputs: str = "all", policy: str = "expanding"
+) -> dict[str, DataFrame]:
     s = lab.study
-    daily = strategy_daily(lab, horizon, family)
+    daily = strategy_daily(lab, horizon, family, inputs=inputs, policy=policy)
     portfolio = portfolio_table(lab, daily)
     choice = decisions.choose_rule(portfolio, tuple(RULES))
-    rule = choice.first()["rule"]
-    net = taker_net(daily, rule)
+    net = taker_net(daily, only_value(choice, "rule", "rule"))
     ic = lab.daily_ic(
-        ("economics", horizon, family),
-        lab.predictions(family, horizons=(horizon,)),
+        ("economics", horizon, family, inputs, policy),
+        lab.predictions(family, inputs, policy, horizons=(horizon,)),
         ("coin", "horizon"),
     )
     research = ic.groupBy("coin", "horizon").agg(F.avg("ic").alias("research_ic"))
@@ -268,10 +277,12 @@ def economics_tables(lab: Lab, horizon: int, family: str) -> dict[str, DataFrame
 # ---------------------------------------------------------------- forward
 
 
-def forward_daily(lab: Lab, horizon: int, family: str, period: str) -> DataFrame:
+def forward_daily(
+    lab: Lab, horizon: int, family: str, period: str, inputs: str = "all", policy: str = "expanding"
+) -> DataFrame:
     return lab.daily_ic(
-        ("forward", horizon, family, period),
-        lab.predictions(family, period=period, horizons=(horizon,)),
+        ("forward", horizon, family, period, inputs, policy),
+        lab.predictions(family, inputs, policy, period, (horizon,)),
         ("coin",),
     )
 
@@ -290,25 +301,35 @@ def forward_equity(lab: Lab, daily: DataFrame, rule: str) -> DataFrame:
     return positions.cumulated(together.unionByName(coins), names)
 
 
-def forward_tables(lab: Lab, horizon: int, family: str, rule: str) -> dict[str, DataFrame]:
+def forward_tables(
+    lab: Lab,
+    horizon: int,
+    family: str,
+    rule: str,
+    inputs: str = "all",
+    policy: str = "expanding",
+    families: Sequence[str] = RULE_FAMILIES,
+) -> dict[str, DataFrame]:
     s = lab.study
     research, forward = (
-        forward_daily(lab, horizon, family, p) for p in ("research", "forward")
+        forward_daily(lab, horizon, family, p, inputs, policy) for p in ("research", "forward")
     )
-    daily = strategy_daily(lab, horizon, family, "forward", (rule,), (0,))
-    frame = lab.predictions(family, period="forward", horizons=(horizon,))
+    daily = strategy_daily(lab, horizon, family, "forward", (rule,), (0,), inputs, policy)
+    frame = lab.predictions(family, inputs, policy, "forward", (horizon,))
     both = union(
         [
-            sweep_daily(lab, period=p).withColumn("period", F.lit(p))
+            sweep_daily(lab, families, p).withColumn("period", F.lit(p))
             for p in ("research", "forward")
         ]
     )
-    best = decisions.best_per_coin(sweep_configurations(lab), s)
+    best = decisions.best_per_coin(sweep_configurations(lab, families), s)
+    context = union([lab.predictions(f, inputs, policy, "forward", (horizon,)) for f in families])
+    context_daily = lab.daily_ic(
+        ("context", horizon, inputs, policy, tuple(families)), context, CONFIGURATION
+    )
     return {
         "forward": decisions.forward_table(research, forward, s),
-        "context": scoring.ic_summary(
-            sweep_daily(lab, period="forward"), list(CONFIGURATION), s
-        ),
+        "context": scoring.ic_summary(context_daily, list(CONFIGURATION), s),
         "shrinkage": decisions.shrinkage_table(best, both),
         "economics": strategy_table(lab, daily, "forward"),
         "volatility_terciles": scoring.tercile_table(frame, trailing_volatility(lab), ["coin"]),
@@ -393,6 +414,8 @@ def gated_daily(
     rule: str,
     model: str = "har",
     periods: Sequence[str] = ("research", "forward"),
+    inputs: str = "all",
+    policy: str = "expanding",
 ) -> DataFrame:
     """Daily flows per coin, version, fee and period."""
 
@@ -402,7 +425,7 @@ def gated_daily(
         parts = []
         for p in periods:
             rows = gating.version_bars(
-                lab.predictions(family, period=p, horizons=(horizon,)),
+                lab.predictions(family, inputs, policy, p, (horizon,)),
                 lab.volatility_predictions(model, p, (horizon,)),
                 lab.period_bars(p),
                 keys,
@@ -412,7 +435,8 @@ def gated_daily(
             parts.append(gating.version_daily(rows, keys).withColumn("period", F.lit(p)))
         return union(parts)
 
-    return lab._once(("gated", horizon, family, rule, model, tuple(periods)), build)
+    key = ("gated", horizon, family, rule, model, tuple(periods), inputs, policy)
+    return lab._once(key, build)
 
 
 def gated_strategy(lab: Lab, daily: DataFrame, periods: Sequence[str] = ("research", "forward")) -> DataFrame:
@@ -420,8 +444,16 @@ def gated_strategy(lab: Lab, daily: DataFrame, periods: Sequence[str] = ("resear
     return gating.version_stats(daily, hold, list(GATED), lab.study)
 
 
-def gated_months(lab: Lab, daily: DataFrame, horizon: int, family: str, periods=("research", "forward")) -> DataFrame:
-    direction = union([lab.predictions(family, period=p, horizons=(horizon,)) for p in periods])
+def gated_months(
+    lab: Lab,
+    daily: DataFrame,
+    horizon: int,
+    family: str,
+    periods: Sequence[str] = ("research", "forward"),
+    inputs: str = "all",
+    policy: str = "expanding",
+) -> DataFrame:
+    direction = union([lab.predictions(family, inputs, policy, p, (horizon,)) for p in periods])
     return gating.monthly_gate(daily, direction, ["coin", "period"])
 
 
@@ -445,11 +477,19 @@ def gated_equity(lab: Lab, daily: DataFrame) -> DataFrame:
     return positions.cumulated(coins.unionByName(together), names)
 
 
-def gated_tables(lab: Lab, horizon: int, family: str, rule: str) -> dict[str, DataFrame]:
-    daily = gated_daily(lab, horizon, family, rule)
+def gated_tables(
+    lab: Lab,
+    horizon: int,
+    family: str,
+    rule: str,
+    model: str = "har",
+    inputs: str = "all",
+    policy: str = "expanding",
+) -> dict[str, DataFrame]:
+    daily = gated_daily(lab, horizon, family, rule, model, inputs=inputs, policy=policy)
     portfolio = gated_portfolio(lab, daily)
     choice = decisions.choose_version(portfolio, VERSIONS)
-    version = choice.first()["version"]
+    version = only_value(choice, "version", "version")
     net = daily.where(
         (F.col("version") == version)
         & (F.col("fee") == "taker")
@@ -457,7 +497,7 @@ def gated_tables(lab: Lab, horizon: int, family: str, rule: str) -> dict[str, Da
     )
     return {
         "strategy": gated_strategy(lab, daily),
-        "gate": gated_months(lab, daily, horizon, family),
+        "gate": gated_months(lab, daily, horizon, family, inputs=inputs, policy=policy),
         "portfolio": portfolio,
         "pnl_correlation": scoring.daily_correlation(net, lab.study.targets, "net"),
         "equity": gated_equity(lab, daily),
@@ -506,3 +546,46 @@ def pooled_model_tables(lab: Lab, horizon: int) -> dict[str, DataFrame]:
     }
 
 
+# ---------------------------------------------------------------- the whole study
+
+
+def study_tables(
+    lab: Lab,
+    families: Sequence[str] = RULE_FAMILIES,
+    challenger: str = "ridge",
+    frozen: dict | None = None,
+) -> Iterator[tuple[str, dict[str, DataFrame]]]:
+    """Experiment by experiment, each with what the earlier ones chose.
+
+    The recipe of the sweep goes to the input comparison, its inputs to the retraining, the policy
+    to the economics, the rule to the forward run, and the volatility model to the gated strategy.
+    ``frozen`` is a record of horizon, family, inputs, policy and rule: the forward run stops where
+    the choices differ from it.
+    """
+    yield "audit", audit_tables(lab)
+    sweep = sweep_tables(lab, families)
+    yield "horizon_sweep", sweep
+    horizon = only_value(sweep["selection"], "horizon", "recipe")
+    family = only_value(sweep["selection"], "family", "recipe")
+    compared = "ridge" if family in decisions.ONE_INPUT_FAMILIES else family
+    sources = source_tables(lab, horizon, compared)
+    yield "feature_sources", sources
+    inputs = only_value(sources["choice"], "inputs", "input set")
+    retraining = retraining_tables(lab, horizon, family, inputs)
+    yield "retraining", retraining
+    policy = only_value(retraining["choice"], "policy", "policy")
+    economics = economics_tables(lab, horizon, family, inputs, policy)
+    yield "economics", economics
+    rule = only_value(economics["choice"], "rule", "rule")
+    chosen = decisions.chosen_configuration(
+        sweep["selection"], sources["choice"], retraining["choice"], economics["choice"]
+    )
+    if frozen is not None:
+        decisions.require_frozen(chosen, frozen)
+    yield "forward", forward_tables(lab, horizon, family, rule, inputs, policy, families)
+    volatility = volatility_tables(lab, challenger)
+    yield "volatility", volatility
+    at_horizon = volatility["choice"].where(F.col("horizon") == horizon)
+    model = only_value(at_horizon, "model", "volatility model")
+    yield "volatility_strategy", gated_tables(lab, horizon, family, rule, model, inputs, policy)
+    yield "pooled", pooled_model_tables(lab, horizon)

@@ -25,9 +25,9 @@ from tapegrid.operators import (
 from tapegrid.operators import grid as gridding
 from tapegrid.oracle import sql as o
 from tapegrid.plans import experiments as exp
-from tapegrid.plans.catalog import query
+from tapegrid.plans.catalog import ORACLES, query
 from tapegrid.plans.studies import LINES, lines_lab
-from tapegrid.session import prepare, shared_folder
+from tapegrid.session import prepare, settle, shared_folder
 from tapegrid.sources import derived, store
 
 S = LINES
@@ -263,19 +263,23 @@ prediction_query("ridge_predictions", None, family="ridge")
 prediction_query("tree_predictions", None, family="trees", policy="fixed", horizons=(2,))
 
 
-@query("stored_predictions", momentum(horizons=(2,)).select(PRED, "predictions"))
+@query("stored_predictions", momentum().select(PRED, "predictions"))
 def _(spark, folder):
-    """Predictions computed once per key, appended to a partitioned table and read back."""
+    """Predictions computed once per key: asked for one horizon, then for all of them."""
     lab = lines_lab(spark, folder)
     path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
-    held = store.PredictionStore(spark, path, ["family", "period"])
-    key = {"family": "momentum", "period": "research"}
+    keys = ["family", "inputs", "policy", "period", "horizon"]
+    held = store.PredictionStore(spark, path, keys)
 
-    def compute():
-        return lab.predictions("momentum", horizons=(2,)).drop(*key)
+    def wanted(horizons):
+        rows = [("momentum", "all", "expanding", "research", h) for h in horizons]
+        return spark.createDataFrame(rows, "family string, inputs string, policy string, period string, horizon int")
 
-    held.get(key, compute)
-    return held.get(key, compute).select(*PRED_COLUMNS)
+    def compute(missing):
+        return lab.predictions("momentum", horizons=tuple(sorted(r["horizon"] for r in missing.collect())))
+
+    held.get(wanted(S.horizons[:1]), compute)
+    return held.get(wanted(S.horizons), compute).select(*PRED_COLUMNS)
 
 
 @query("pooled_predictions", None)
@@ -480,20 +484,23 @@ def _(spark, folder):
     return scoring.equal_weight(momentum_daily(lines_lab(spark, folder)), ["horizon"], ["ic"])
 
 
-SMALL = S.with_changes(draws=200)
-
-
 @query(
     "bootstrap_indices",
-    MOM_DAILY.extend(o.bootstrap("daily", KEYS, "ic", SMALL)).sql(
-        """SELECT n::INT AS days, d::INT AS draw, day_no::INT AS at, count(*) AS times
-        FROM picked GROUP BY ALL"""
+    MOM_DAILY.extend(o.bootstrap("daily", KEYS, "ic", S)).sql(
+        """SELECT n::INT AS days, day_no::INT AS at, count(*) AS draws, sum(times)::BIGINT AS times,
+        sum(d * times)::BIGINT AS checked FROM
+        (SELECT n, d, day_no, count(*) AS times FROM picked GROUP BY ALL) GROUP BY ALL"""
     ),
 )
 def _(spark, folder):
+    """All draws, summed per day; the draw numbers are in the sum, so that none can change places."""
     daily = momentum_daily(lines_lab(spark, folder))
     sizes = bootstrap.numbered_days(daily, ["coin", "horizon"], "ic").select("days").distinct()
-    return bootstrap.draw_weights(sizes, SMALL)
+    return bootstrap.draw_weights(sizes, S).groupBy("days", "at").agg(
+        F.count(F.lit(1)).alias("draws"),
+        F.sum("times").alias("times"),
+        F.sum(F.col("draw") * F.col("times")).alias("checked"),
+    )
 
 
 @query(
@@ -954,27 +961,38 @@ def _(spark, folder):
 GATE_RULE = "outer30"
 
 
-def gated(period: str = "research") -> o.Query:
-    """``gate_bars`` per version and fee, and ``gate_flows`` per day."""
-    direction = momentum(period, horizons=(2,), tag="_d")
-    q = har(period, (2,), "_v", o.volatility(direction, S, (2,)))
-    priced = BARS.extend(o.period_bars(S, period, FUNDING))
-    q = q.extend({k: v for k, v in priced.parts.items() if k not in q.parts})
+BOTH = tuple(PERIODS)
+
+
+def gated() -> o.Query:
+    """``gate_bars`` per version, fee and period, and ``gate_flows`` per day."""
+    q = FEATURES
+    for p in BOTH:
+        q = momentum(p, horizons=(2,), tag=f"_d_{p}", base=q)
+    q = o.volatility(q, S, (2,))
+    for p in BOTH:
+        q = har(p, (2,), f"_v_{p}", q)
+        priced = BARS.extend(o.period_bars(S, p, FUNDING))
+        q = q.extend({k: v for k, v in priced.parts.items() if k not in q.parts})
     fees = ", ".join(f"('{n}', {b})" for n, b in S.fees_bps)
     versions = ", ".join(f"('{v}')" for v in VERSIONS)
     k = EDGE_PER_UNIT_IC[GATE_RULE]
-    key = "coin, version, fee"
-    return q.extend(
-        {
-            "opens": f"""SELECT m.coin, m.pos, m.open_time, m.bar_return, m.rate, version, fee, bps,
+    key = "coin, version, fee, period"
+
+    def opens(p: str) -> str:
+        return f"""SELECT m.coin, m.pos, m.open_time, m.bar_return, m.rate, version, fee, bps, '{p}' AS period,
                 coalesce({o.rule_case(GATE_RULE)}, 0) AS signal,
                 coalesce({k} * d.valid_ic * exp(v.vpred) >= 2 * bps / 1e4, false) AS is_open,
                 CASE WHEN v.vpred IS NOT NULL THEN least(exp(v.vmid - v.vpred), {SIZE_CAP}) END AS size
-                FROM moves_{period} m
-                LEFT JOIN predictions_d d ON d.coin = m.coin AND d.pos = m.pos
-                LEFT JOIN (SELECT coin, pos, pred AS vpred, q50 AS vmid FROM predictions_v) v
+                FROM moves_{p} m
+                LEFT JOIN predictions_d_{p} d ON d.coin = m.coin AND d.pos = m.pos
+                LEFT JOIN (SELECT coin, pos, pred AS vpred, q50 AS vmid FROM predictions_v_{p}) v
                 ON v.coin = m.coin AND v.pos = m.pos
-                CROSS JOIN (VALUES {versions}) a(version) CROSS JOIN (VALUES {fees}) b(fee, bps)""",
+                CROSS JOIN (VALUES {versions}) a(version) CROSS JOIN (VALUES {fees}) b(fee, bps)"""
+
+    return q.extend(
+        {
+            "opens": " UNION ALL ".join(map(opens, BOTH)),
             "scaled": """SELECT *, CASE version WHEN 'base' THEN 1.0 WHEN 'gated' THEN
                 CASE WHEN is_open THEN 1.0 ELSE 0.0 END ELSE CASE WHEN is_open THEN size ELSE 0.0 END
                 END AS scale FROM opens""",
@@ -984,7 +1002,7 @@ def gated(period: str = "research") -> o.Query:
                 abs(position - coalesce(lag(position) OVER q, 0.0)) + CASE WHEN lead(pos) OVER q IS NULL
                 THEN abs(position) ELSE 0 END AS turnover FROM gate_positions
                 WINDOW q AS (PARTITION BY {key} ORDER BY pos)""",
-            "gate_sums": """SELECT coin, version, fee, bps, open_time::DATE AS day,
+            "gate_sums": """SELECT coin, version, fee, bps, period, open_time::DATE AS day,
                 sum(held * bar_return) AS gross, sum(held * rate) AS funding, sum(turnover) AS turnover,
                 count(*) AS bars, count(*) FILTER (position <> 0) AS open_bars,
                 sum(greatest(position, 0.0)) AS long_exposure, sum(abs(position)) AS exposure,
@@ -993,49 +1011,55 @@ def gated(period: str = "research") -> o.Query:
                 sum(scale) FILTER (signal <> 0 AND scale > 0) AS opened_size FROM gate_bars GROUP BY ALL""",
             "gate_flows": """SELECT *, bps / 1e4 * turnover AS fees,
                 gross - bps / 1e4 * turnover - funding AS net FROM gate_sums""",
+            "hold_both": " UNION ALL ".join(f"SELECT * FROM hold_{p}" for p in BOTH),
         }
     )
 
 
 GATED = gated()
-GATE_KEYS = "coin, version, fee"
+GATE_KEYS = "coin, version, fee, period"
 
 
 def gated_bars(lab):
     study = S.with_changes(horizons=(2,))
-    return gating.version_bars(
-        lab.predictions("momentum", horizons=(2,)),
-        lab.volatility_predictions("har", "research", (2,)),
-        lab.period_bars("research"),
-        ["coin", "horizon"],
-        study,
-        GATE_RULE,
+    return exp.union(
+        [
+            gating.version_bars(
+                lab.predictions("momentum", period=p, horizons=(2,)),
+                lab.volatility_predictions("har", p, (2,)),
+                lab.period_bars(p),
+                ["coin", "horizon"],
+                study,
+                GATE_RULE,
+            ).withColumn("period", F.lit(p))
+            for p in BOTH
+        ]
     )
 
 
 def gated_daily(lab):
-    return exp.gated_daily(lab, 2, "momentum", GATE_RULE, periods=("research",))
+    return exp.gated_daily(lab, 2, "momentum", GATE_RULE)
 
 
 @query("version_bars", GATED.select(f"{GATE_KEYS}, pos, signal, ~scale, ~position, ~turnover", "gate_bars"))
 def _(spark, folder):
     rows = gated_bars(lines_lab(spark, folder))
-    return rows.select("coin", "version", "fee", "pos", "signal", "scale", "position", "turnover")
+    return rows.select("coin", "version", "fee", "period", "pos", "signal", "scale", "position", "turnover")
 
 
 @query("version_daily", GATED.select(f"{GATE_KEYS}, day, {FLOW_COLUMNS}, opened, signalled", "gate_flows"))
 def _(spark, folder):
     daily = gated_daily(lines_lab(spark, folder))
-    return daily.select("coin", "version", "fee", "day", *positions.FLOWS, "opened", "signalled")
+    return daily.select("coin", "version", "fee", "period", "day", *positions.FLOWS, "opened", "signalled")
 
 
 GATE_STATS = GATED.extend(
     {
         **o.stats("gate_flows", GATE_KEYS, S),
-        **o.exposure("gate_flows", "hold_research", GATE_KEYS),
+        **o.exposure("gate_flows", "hold_both", GATE_KEYS),
         "shares": f"""SELECT {GATE_KEYS}, sum(opened)::DOUBLE / nullif(sum(signalled), 0) AS gate_share,
             sum(opened_size) / nullif(sum(opened), 0) AS mean_size FROM gate_flows GROUP BY ALL""",
-        "all_stats": f"""SELECT *, 'research' AS period FROM stats JOIN exposure USING ({GATE_KEYS})
+        "all_stats": f"""SELECT * FROM stats JOIN exposure USING ({GATE_KEYS})
             JOIN shares USING ({GATE_KEYS})""",
     }
 )
@@ -1044,50 +1068,55 @@ GATE_STATS = GATED.extend(
 @query(
     "version_stats",
     GATE_STATS.select(
-        f"{GATE_KEYS}, period, {o.STATS}, {o.EXPOSURE}, ~gate_share, ~mean_size", "all_stats"
+        f"{GATE_KEYS}, {o.STATS}, {o.EXPOSURE}, ~gate_share, ~mean_size", "all_stats"
     ),
 )
 def _(spark, folder):
     lab = lines_lab(spark, folder)
-    return exp.gated_strategy(lab, gated_daily(lab), ("research",))
+    return exp.gated_strategy(lab, gated_daily(lab))
 
 
 MONTH_GATE = GATED.add(
     "gate_months",
-    """SELECT coin, fee, strftime(day, '%Y-%m') AS month,
+    """SELECT coin, fee, period, strftime(day, '%Y-%m') AS month,
     sum(opened)::DOUBLE / nullif(sum(signalled), 0) AS gate_share,
     sum(opened_size) / nullif(sum(opened), 0) AS mean_size, FROM gate_flows WHERE version = 'sized' GROUP BY ALL""",
 ).add(
     "gate_table",
-    """SELECT g.*, valid_ic FROM gate_months g LEFT JOIN (SELECT coin, test_month AS month,
-    any_value(valid_ic) AS valid_ic FROM predictions_d GROUP BY ALL) USING (coin, month)""",
+    "SELECT g.*, valid_ic FROM gate_months g LEFT JOIN ("
+    + " UNION ALL ".join(
+        f"""SELECT coin, '{p}' AS period, test_month AS month, any_value(valid_ic) AS valid_ic
+        FROM predictions_d_{p} GROUP BY ALL"""
+        for p in BOTH
+    )
+    + ") USING (coin, period, month)",
 )
 
 
 def month_gate(lab):
-    return exp.gated_months(lab, gated_daily(lab), 2, "momentum", ("research",)).drop("period")
+    return exp.gated_months(lab, gated_daily(lab), 2, "momentum")
 
 
-@query("monthly_gate", MONTH_GATE.select("coin, fee, month, ~valid_ic, ~gate_share, ~mean_size", "gate_table"))
+@query("monthly_gate", MONTH_GATE.select("coin, fee, period, month, ~valid_ic, ~gate_share, ~mean_size", "gate_table"))
 def _(spark, folder):
     return month_gate(lines_lab(spark, folder))
 
 
 @query(
     "gate_text",
-    MONTH_GATE.sql("""SELECT coin, fee, month, CASE WHEN valid_ic IS NULL THEN 'no IC'
+    MONTH_GATE.sql("""SELECT coin, fee, period, month, CASE WHEN valid_ic IS NULL THEN 'no IC'
         WHEN valid_ic <= 0 THEN 'IC ≤ 0' ELSE round_even(gate_share * 100, 0)::INT || '%' END AS label
         FROM gate_table"""),
 )
 def _(spark, folder):
     return month_gate(lines_lab(spark, folder)).select(
-        "coin", "fee", "month", gating.gate_text().alias("label")
+        "coin", "fee", "period", "month", gating.gate_text().alias("label")
     )
 
 
 GATE_PORTFOLIO = GATED.add(
     "portfolio",
-    f"SELECT version, fee, 'research' AS period, day, {PORTFOLIO_MEANS} FROM gate_flows GROUP BY ALL",
+    f"SELECT version, fee, period, day, {PORTFOLIO_MEANS} FROM gate_flows GROUP BY ALL",
 ).extend(o.stats("portfolio", "version, fee, period", S))
 
 
@@ -1099,7 +1128,7 @@ def _(spark, folder):
 
 @query(
     "choose_version",
-    GATE_PORTFOLIO.sql("""SELECT version FROM stats WHERE fee = 'taker' AND sharpe IS NOT NULL
+    GATE_PORTFOLIO.sql("""SELECT version FROM stats WHERE fee = 'taker' AND period = 'research' AND sharpe IS NOT NULL
         ORDER BY round(sharpe, 9) DESC, list_position(['base', 'gated', 'sized'], version) LIMIT 1"""),
 )
 def _(spark, folder):
@@ -1129,21 +1158,21 @@ def _(spark, folder):
     "coins_and_portfolio",
     GATE_STATS.extend(
         {
-            "portfolio": f"SELECT version, fee, day, {PORTFOLIO_MEANS} FROM gate_flows GROUP BY ALL",
-            **o.stats("portfolio", "version, fee", S, "_p"),
+            "portfolio": f"SELECT version, fee, period, day, {PORTFOLIO_MEANS} FROM gate_flows GROUP BY ALL",
+            **o.stats("portfolio", "version, fee, period", S, "_p"),
         }
-    ).sql("""SELECT coin, version, round(sharpe, 6) + 0.0 AS sharpe, round(sharpe_low, 6) + 0.0 AS sharpe_low,
-        round(sharpe_high, 6) + 0.0 AS sharpe_high FROM (SELECT coin, version, fee, sharpe, sharpe_low, sharpe_high
-        FROM stats UNION ALL SELECT 'portfolio', version, fee, sharpe, sharpe_low, sharpe_high FROM stats_p)
+    ).sql("""SELECT coin, version, period, round(sharpe, 6) + 0.0 AS sharpe, round(sharpe_low, 6) + 0.0 AS sharpe_low,
+        round(sharpe_high, 6) + 0.0 AS sharpe_high FROM (SELECT coin, version, fee, period, sharpe, sharpe_low, sharpe_high
+        FROM stats UNION ALL SELECT 'portfolio', version, fee, period, sharpe, sharpe_low, sharpe_high FROM stats_p)
         WHERE fee = 'taker'"""),
 )
 def _(spark, folder):
     lab = lines_lab(spark, folder)
     daily = gated_daily(lab)
     rows = exp.coins_and_portfolio(
-        exp.gated_strategy(lab, daily, ("research",)), exp.gated_portfolio(lab, daily)
+        exp.gated_strategy(lab, daily), exp.gated_portfolio(lab, daily)
     )
-    return rows.select("coin", "version", "sharpe", "sharpe_low", "sharpe_high")
+    return rows.select("coin", "version", "period", "sharpe", "sharpe_low", "sharpe_high")
 
 
 # ---------------------------------------------------------------- H: decisions
@@ -1538,32 +1567,49 @@ def _(spark, folder):
     return decisions.comparison_table(*family_pair(spark, folder), lab.sigma, ["horizon"], S)
 
 
-@query(
-    "chosen_configuration",
-    RECIPES.extend(
-        {
-            k: v
-            for k, v in RETRAINING.parts.items()
-            if k not in RECIPES.parts and k not in ("frames",)
-        }
-    ).sql(
-        f"""SELECT horizon, family, CASE WHEN family IN ('momentum', 'best_feature') THEN 'ridge' ELSE family END
-        AS fitted_family, family = 'momentum' AS as_frozen FROM (SELECT horizon, family FROM recipes
-        ORDER BY detected DESC, round(CASE WHEN detected THEN breakeven_bps ELSE t END, 9) DESC NULLS LAST,
-        {HORIZON_ORDER}, {FAMILY_ORDER} LIMIT 1)"""
+# A record as a user would freeze it after the research period.
+FROZEN_RECORD = {"horizon": 2, "family": "momentum", "inputs": "all", "policy": "expanding", "rule": "outer10"}
+CHOICES = {
+    "recipe": RECIPES.sql(
+        f"""SELECT horizon, family FROM recipes ORDER BY detected DESC,
+        round(CASE WHEN detected THEN breakeven_bps ELSE t END, 9) DESC NULLS LAST,
+        {HORIZON_ORDER}, {FAMILY_ORDER} LIMIT 1"""
     ),
-)
+    "inputs": ORACLES["choose_inputs"],
+    "policy": ORACLES["choose_policy"],
+    "rule": ORACLES["choose_rule"],
+}
+
+
+def frozen_sql() -> str:
+    same = " AND ".join(
+        f"{c} = {v}" if isinstance(v, int) else f"{c} = '{v}'" for c, v in FROZEN_RECORD.items()
+    )
+    sources = ", ".join(f"({text}) AS {name}" for name, text in CHOICES.items())
+    return f"""SELECT horizon, family, inputs, policy, rule,
+        CASE WHEN family IN ('momentum', 'best_feature') THEN 'ridge' ELSE family END AS fitted_family,
+        coalesce({same}, false) AS as_frozen FROM {sources}"""
+
+
+@query("chosen_configuration", frozen_sql())
 def _(spark, folder):
-    """The chosen recipe, the family its inputs are compared with, and the frozen-record check."""
+    """The choices of all steps, the family inputs are compared with, and the frozen-record check."""
     lab = lines_lab(spark, folder)
     recipe = decisions.choose_recipe(exp.sweep_pooled(lab, SWEEP_FAMILIES), S)
-    chosen = recipe.select("horizon", "family")
-    row = chosen.first()
-    frozen = {"horizon": row["horizon"], "family": "momentum"}
-    same = decisions.differences_from_frozen(chosen, frozen).isEmpty()
+    daily_all, daily_own = exp.source_dailies(lab, 2, "best_feature")
+    inputs = decisions.choose_inputs(scoring.pooled_ic_difference(daily_own, daily_all, [], S))
+    policy = decisions.choose_policy(
+        exp.retraining_challengers(lab, exp.retraining_daily(lab, 2, "momentum"))
+    )
+    rule = decisions.choose_rule(exp.portfolio_table(lab, research_daily(lab)), RULE_NAMES)
+    chosen = settle(decisions.chosen_configuration(recipe, inputs, policy, rule))
+    same = decisions.differences_from_frozen(chosen, FROZEN_RECORD).isEmpty()
     return chosen.select(
         "horizon",
         "family",
+        "inputs",
+        "policy",
+        "rule",
         decisions.fitted_family(F.col("family")).alias("fitted_family"),
         F.lit(same).alias("as_frozen"),
     )
