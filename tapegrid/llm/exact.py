@@ -13,6 +13,8 @@ from tapegrid.llm.text import one_spaced, whole
 from tapegrid.session import settle, shared_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# A store takes the space it fills; reserving 4 MB ahead adds up over many small partitions.
+RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 Digest = Callable[[Column], Column]
@@ -65,8 +67,10 @@ def digest_state(keys: str, spark: SparkSession, files_per_batch: int | None = N
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    wanted = {PROVIDER: ROCKSDB, RESERVE: "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -77,10 +81,11 @@ def digest_state(keys: str, spark: SparkSession, files_per_batch: int | None = N
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     id_type = schema["doc_id"].dataType.simpleString()
     first = f"struct<missing:boolean,doc_id:{id_type},{FILE}:string,{ROW}:bigint>"
     kind = f"digest string, first {first}, group_size bigint, batch int"
