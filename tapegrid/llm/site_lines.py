@@ -63,13 +63,16 @@ def without_boilerplate(
     together. Null or empty html gives no line and an empty text; pages without host are one host.
     Other columns are ignored.
 
-    Pages meet their host's list under host and a salt, so a hot host spreads over many tasks and
-    only the short lists are repeated.
+    Lines are extracted once and settled; counting reads them again, not the html. Pages meet their
+    host's list under host and a salt, so a hot host spreads over many tasks and only the short
+    lists are repeated.
     """
-    rows = pages.select(
-        F.col(id_col).alias("page_id"),
-        host_of(F.col(url_col)).alias("host"),
-        page_lines(F.col(html_col)).alias("lines"),
+    rows = settle(
+        pages.select(
+            F.col(id_col).alias("page_id"),
+            host_of(F.col(url_col)).alias("host"),
+            page_lines(F.col(html_col)).alias("lines"),
+        )
     )
     hashes = F.array_distinct(F.transform("lines", lambda line: F.xxhash64(line)))
     common = settle(boilerplate(rows.select("host", hashes.alias("hashes")), ratio, least))
