@@ -18,6 +18,7 @@ from tapegrid.session import settle, shared_folder
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
 BLOCK = 1 << 20
+MOST_TASKS = 20_000
 MANIFEST = "path string, records bigint"
 RECORDS = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, "
@@ -217,9 +218,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    # The key is a path of one file, so files spread evenly over the tasks.
-    paths = manifest.select("path").repartition(F.col("path"))
-    return paths.mapInArrow(run, RECORDS)
+    # A fixed number of tasks: paths are so short that adaptive execution would put them all in one.
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)
+    return manifest.select("path").repartition(tasks).mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -287,7 +288,9 @@ def round_trip(pages: DataFrame, with_payload: bool = True, **columns) -> DataFr
         .groupBy(F.col("_urn").alias("_of"))
         .agg(F.max(F.struct("capture_id", "answer.payload_bytes")).alias("_original"))
     )
-    joined = named.join(originals, F.col("answer.refers_to") == F.col("_of"), "left")
+    # Answers that refer to nothing carry their own id as key, which spreads them and meets nothing.
+    key = F.coalesce("answer.refers_to", "record_id")
+    joined = named.withColumn("_key", key).join(originals, F.col("_key") == F.col("_of"), "left")
     return joined.select(
         "capture_id",
         "answer",
