@@ -17,7 +17,7 @@ from tapegrid.session import settle
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 # Identity terms, exchangeable within a row.
 IDENTITY_TERMS = (
@@ -44,7 +44,7 @@ class Settings:
     """``max_rows`` bounds the labelled sample that is fitted; ``terms`` the vocabulary."""
 
     max_rows: int = 16_000
-    terms: int = 8_192
+    terms: int = 2_048
     min_docs: int = 3
     ridge: float = 1e-4
     fairness: float = 1.0
