@@ -36,13 +36,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: token ids with the end id, and the digest of the text they decode to."""
-    model = model_path()
-    decoded = pieces.decoded(pieces.encoded(docs, model), model, keep_ids=True)
-    return decoded.select(
+    coded = pieces.encoded(docs, model_path(), back=True)
+    return coded.select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -19,8 +19,9 @@ UNITS = re.compile(r" +[^ ]*")
 # Fixed value: what an unknown piece decodes to.
 UNKNOWN_TEXT = " \u2047 "
 NO_PAIR = np.iinfo(np.int32).max
-CACHED_UNITS = 500_000
-WORDS_PER_ROUND = 1 << 16
+CACHED_UNITS = 150_000
+WORDS_PER_ROUND = 1 << 15
+ROWS_AT_ONCE = 128
 
 
 class Pieces:
@@ -290,53 +291,55 @@ class Encoder:
 
 
 def encoded(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False
 ) -> DataFrame:
     """``doc_id, ids``: every text's ids, the end id last. Null is the empty text.
 
-    ``model`` is the path of a SentencePiece file that every executor can open. No shuffle; a task
+    ``back`` adds ``decoded``, the text of those ids, from the same worker. ``model`` is the path of
+    a SentencePiece file that every executor can open. Other columns are ignored. No shuffle; a task
     holds one batch of rows and a bounded table of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
                 found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.cumsum([0, *map(len, found)])
                 values = pa.array(np.concatenate(found))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+                columns = [
+                    part.column(0),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values),
+                ]
+                if back:
+                    columns.append(pa.array(map(encoder.pieces.decode, found), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], ids]))
+    fields = [source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if back:
+        fields.append(T.StructField("decoded", T.StringType()))
+    names = [f.name for f in fields]
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def decoded(
-    docs: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False
+    docs: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids"
 ) -> DataFrame:
-    """``doc_id, text`` (and ``ids``): the text of each row's ids. Null is no id, the empty text."""
+    """``doc_id, text``: the text of each row's ids. Null is no id, the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         for batch in batches:
-            rows = batch.column(1)
-            texts = []
-            for row in rows:
-                ids = row.values
-                texts.append("" if ids is None else pieces.decode(ids.to_numpy(zero_copy_only=False)))
-            columns = [batch.column(0), pa.array(texts, pa.string())]
-            names = ["doc_id", "text"]
-            if keep_ids:
-                columns, names = [*columns, rows], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            lists = (row.values for row in batch.column(1))
+            texts = ["" if i is None else pieces.decode(i.to_numpy(zero_copy_only=False)) for i in lists]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"]
+            )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     fields = [source.schema["doc_id"], T.StructField("text", T.StringType())]
-    if keep_ids:
-        fields.append(source.schema["ids"])
     return source.mapInArrow(run, T.StructType(fields))
 
 

@@ -295,11 +295,10 @@ def exact_dedup_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_sentencepiece")
 def sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    model = model_path()
-    ids = pieces.encoded(read(spark, folder, "documents"), model)
-    return pieces.decoded(ids, model, keep_ids=True).select(
+    coded = pieces.encoded(read(spark, folder, "documents"), model_path(), back=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(pieces.id_text(), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
