@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,19 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"
 SOCIAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9])(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
 CLOUD_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-SHAPES = "|".join([EMAIL, CLOUD_KEY, HEX, DATE, SOCIAL, IP, PHONE, CARD])
+# A date that is one, so that the end of a card and an expiry do not pass for it.
+DAY, MONTH = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])"
+TRUE_DATE = rf"(?:(?:19|20)[0-9]{{2}}-{MONTH}-{DAY}|{DAY}[./]{MONTH}[./](?:19|20)[0-9]{{2}})(?![0-9])"
+# Groups of digits, 13 digits at least, up to where another shape begins. Cards are looked for inside.
+JOINT = "[ \\-](?!" + "|".join([EMAIL, CLOUD_KEY, HEX, TRUE_DATE, SOCIAL, IP, PHONE]) + ")"
+RUN = f"(?<![0-9])(?=[0-9](?:(?:{JOINT})?[0-9]){{12}})[0-9]++(?:(?:{JOINT})[0-9]++)*+"
+CARD_DIGITS = range(13, 20)
+# Groupings in which cards are printed, told apart from those that any digits may have.
+PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{5})$"
+PRINTED_19 = r"^[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}$"
+SHAPES = "|".join([EMAIL, CLOUD_KEY, HEX, DATE, SOCIAL, IP, PHONE, RUN])
 # Every shape holds one of these, so a text without them needs no closer scan.
 HINTS = "[0-9@]|AKIA"
 WINDOW_DAYS = 65_536
@@ -108,13 +119,105 @@ def _part(text: Column, start: int, length: int) -> Column:
     return F.substring(text, F.lit(start), F.lit(length))
 
 
+def _is_card(value: Column) -> Column:
+    """Whether digits pass the Luhn check and are not all zero."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (_luhn_sum(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
+
+
 def card_pseudonym(value: Column, key: str) -> Column:
     """13 to 19 digits that pass the Luhn check: all but the check digit are permuted."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    valid = (_luhn_sum(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
-    return F.when(valid, _refilled(value, F.concat(body, check)))
+    return F.when(_is_card(value), _refilled(value, F.concat(body, check)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cards_inside(run: Column) -> Column:
+    """The cards of a run of digit groups, as ``(rank, longest first, first group, groups, card)``.
+
+    A card is 13 to 19 digits from the start of a group to the end of one that pass the Luhn check.
+    Cards that overlap give way: printed groupings stand before others, then the longer before the
+    shorter, then the left one before the right one.
+    """
+    # The next 19 digits from every group on, as far as whole groups go.
+    tails = F.regexp_extract_all(
+        run, F.lit(r"(?<![0-9])(?=([0-9](?:[ \-]?[0-9]){0,18}(?![0-9]))?)(?=[0-9])"), 1
+    )
+
+    def windows(tail: Column, place: Column) -> Column:
+        cut = [F.regexp_extract(tail, rf"^[0-9](?:[ \-]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in CARD_DIGITS]
+        valid = F.filter(F.array(*cut), lambda c: F.when(c == "", False).otherwise(_is_card(c)))
+        return F.transform(
+            valid,
+            lambda c: F.struct(
+                F.when(c.rlike(PRINTED), 0).when(c.rlike(PRINTED_19), 1).otherwise(2).alias("rank"),
+                (-F.length(F.regexp_replace(c, "[^0-9]", ""))).alias("longest"),
+                place.alias("first"),
+                F.size(F.split(c, r"[ \-]")).alias("groups"),
+                c.alias("card"),
+            ),
+        )
+
+    ranked = F.array_sort(F.flatten(F.transform(tails, windows)))
+    none = F.filter(ranked, lambda w: F.lit(False))
+    return F.aggregate(
+        ranked,
+        none,
+        lambda taken, w: F.when(
+            F.exists(
+                taken,
+                lambda t: (w["first"] < t["first"] + t["groups"]) & (t["first"] < w["first"] + w["groups"]),
+            ),
+            taken,
+        ).otherwise(F.concat(taken, F.array(w))),
+    )
+
+
+def _answer(text: Column, found: Column, replaced: Column) -> Column:
+    return F.struct(text.alias("text"), found.cast("int").alias("found"), replaced.cast("int").alias("replaced"))
+
+
+def run_pseudonym(run: Column, key: str) -> Column:
+    """``text, found, replaced`` of a run of digit groups: its cards replaced, the rest as it is.
+
+    A run without a card counts as found where it is no longer than one.
+    """
+    groups = F.regexp_extract_all(run, F.lit(r"[0-9]+[ \-]?"), 0)
+
+    def put(cards: Column) -> Column:
+        def group(one: Column, place: Column) -> Column:
+            def piece(here: Column) -> Column:
+                last = groups[(here["first"] + here["groups"] - 1).cast("int")]
+                return (
+                    F.when(here.isNull(), one)
+                    .when(here["first"] < place, F.lit(""))
+                    .otherwise(F.concat(card_pseudonym(here["card"], key), F.regexp_extract(last, r"[ \-]$", 0)))
+                )
+
+            of_group = F.filter(cards, lambda c: place.between(c["first"], c["first"] + c["groups"] - 1))
+            return _let(F.get(of_group, F.lit(0)), piece)
+
+        changed = F.filter(cards, lambda c: card_pseudonym(c["card"], key) != c["card"])
+        short = F.length(F.regexp_replace(run, "[^0-9]", "")) <= CARD_DIGITS[-1]
+        return F.when(F.size(cards) == 0, _answer(run, short, F.lit(0))).otherwise(
+            _answer(F.array_join(F.transform(groups, group), ""), F.size(cards), F.size(changed))
+        )
+
+    def alone(new: Column) -> Column:
+        return _answer(F.coalesce(new, run), F.lit(1), F.coalesce(new != run, F.lit(False)))
+
+    one_group = ~run.rlike(r"[ \-]") & (F.length(run) <= CARD_DIGITS[-1])
+    card = F.when(run.rlike(PRINTED), card_pseudonym(run, key))
+    return _let(
+        card,
+        lambda new: F.when(new.isNotNull() | one_group, alone(new)).otherwise(_let(_cards_inside(run), put)),
+    )
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
@@ -202,7 +305,7 @@ def secret_pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The replacement of one found value; itself where it does not validate."""
+    """``text, found, replaced`` of one found value; the value itself where it does not validate."""
     kinds = [
         (value.contains("@"), email_pseudonym(value, key)),
         (value.rlike(f"^(?:{CLOUD_KEY}|{HEX})$"), secret_pseudonym(value, key)),
@@ -214,7 +317,13 @@ def pseudonym(value: Column, key: str) -> Column:
     chosen = F.when(kinds[0][0], kinds[0][1])
     for test, new in kinds[1:]:
         chosen = chosen.when(test, new)
-    return F.coalesce(chosen.otherwise(card_pseudonym(value, key)), value)
+    shaped = F.lit(False)
+    for test, _ in kinds:
+        shaped = shaped | test
+    single = _let(
+        F.coalesce(chosen, value), lambda new: _answer(new, F.lit(1), new != value)
+    )
+    return F.when(shaped, single).otherwise(run_pseudonym(value, key))
 
 
 def pseudonymise(
@@ -225,7 +334,8 @@ def pseudonymise(
     Equal values get equal pseudonyms in every document under one key, and different values of a
     kind different ones: cards (Luhn), phones, social security numbers, IPv4 addresses and dates are
     permuted among the valid values of their format. Mail addresses and secrets get keyed names.
-    Values that do not validate stay. Null text stays null, with counts 0; other columns are
+    Values that do not validate stay. Neighbouring numbers hide nothing: digit groups joined by single
+    blanks or hyphens are searched for cards at every group, and end where another shape begins. Null text stays null, with counts 0; other columns are
     ignored. Everything is a JVM expression of the row: no shuffle.
     """
     text = whole(text_col)
@@ -237,13 +347,15 @@ def pseudonymise(
     fresh = F.transform("_found", lambda v: pseudonym(v, key))
     pieces = F.split("_text", SHAPES, -1)
     joined = F.concat_ws(
-        "", F.flatten(F.zip_with(pieces, "_fresh", lambda p, v: F.array(p, F.coalesce(v, F.lit("")))))
+        "", F.flatten(F.zip_with(pieces, "_fresh", lambda p, v: F.array(p, F.coalesce(v["text"], F.lit("")))))
     )
-    n = F.coalesce(F.size("_found"), F.lit(0)).cast("long")
-    changed = F.size(F.filter(F.zip_with("_found", "_fresh", lambda a, b: a != b), lambda x: x))
+
+    def total(count: str) -> Column:
+        return F.coalesce(F.aggregate("_fresh", F.lit(0), lambda t, v: t + v[count]), F.lit(0)).cast("long")
+
     return rows.withColumn("_fresh", fresh).select(
         "doc_id",
         F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias("text"),
-        n.alias("n_found"),
-        changed.cast("long").alias("n_replaced"),
+        total("found").alias("n_found"),
+        total("replaced").alias("n_replaced"),
     )

@@ -84,3 +84,19 @@ def test_permutations_are_one_to_one(spark):
 def test_keys_differ(spark):
     value = spark.range(1).select(F.lit("10.1.2.3").alias("v"))
     assert value.select(pii.ip_pseudonym(F.col("v"), "a") == pii.ip_pseudonym(F.col("v"), "b")).first()[0] is False
+
+
+def test_numbers_beside_a_value_hide_nothing(spark):
+    values = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "212-555-0147", "+1 (212) 555-0147",
+              "123-45-6789", "10.1.2.3", "2001-02-28", "28.02.2001", "me@mail.example.com", "0123456789abcdef" * 2]
+    sides = [("", " 12/25"), ("", " 123"), ("1 ", ""), ("42 ", " 1999"), ("7 ", " 1234"), ("Suite 200 ", " 9"), ("123456 ", " 4111 1112"), ("1234567890123 ", " 1234567890123"), ("1 2 3 ", " 4 5 6 7 8 9")]
+    alone = dict(zip(values, [r["text"] for r in replaced(spark, values)], strict=True))
+    assert all(new != v for v, new in alone.items())
+    texts = [(a, v, b) for v in values for a, b in sides]
+    rows = replaced(spark, ["".join(t) for t in texts])
+    for (a, v, b), row in zip(texts, rows, strict=True):
+        assert row["text"] == a + alone[v] + b, (a, v, b)
+    both = replaced(spark, ["2001-02-28 1999-12-31", "4111 1111 1111 1111 5500-0000-0000-0004", "12345 " * 5_000 + "end"])
+    assert [r["n_replaced"] for r in both[:2]] == [2, 2]
+    assert "2001-02-28" not in both[0]["text"] and "1999-12-31" not in both[0]["text"]
+    assert both[1]["text"].startswith(alone["4111 1111 1111 1111"] + " ")
