@@ -31,7 +31,7 @@ PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4
 PRINTED_19 = r"^[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}$"
 SHAPES = "|".join([EMAIL, CLOUD_KEY, HEX, DATE, SOCIAL, IP, PHONE, RUN])
 # Every shape holds one of these, so a text without them needs no closer scan.
-HINTS = "[0-9@]|AKIA"
+HINTS = "[0-9@]|AKIA|[a-f]{32}"
 WINDOW_DAYS = 65_536
 FIRST_DAY = "1900-01-01"
 
