@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrid.llm import exact, mixing, pieces, simhash, toxicity
+from tapegrid.llm import exact, mixing, pieces, shingles, simhash, toxicity
 from tapegrid.llm.queries import model_path
 from tapegrid.llm.text import read
 from tapegrid.session import shared_folder
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked fingerprints the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Operator 1, then texts with 0.8 of their five-word shingles in common: the smallest id stays."""
+    return shingles.keep_first(simhash.keep_first(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

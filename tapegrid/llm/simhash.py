@@ -473,4 +473,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.col("doc_id").alias(id_col))
         .distinct()
     )
-    return docs.join(dropped, id_col, "left_anti")
+    return docs.join(settle(dropped), id_col, "left_anti")
