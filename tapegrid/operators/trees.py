@@ -2,7 +2,8 @@
 
 MLlib trains one distributed model per call. The fitting rows are written by coin, horizon and
 window, so a model opens only its own files, and a few models are trained at a time. The inner
-training stops by itself when the validation month gets worse. Depth-limited trees stand in for leaf-limited ones, so
+training goes to the limit of rounds, and the best round before ``patience`` rounds without a better
+one stands. Depth-limited trees stand in for leaf-limited ones, so
 results agree in kind with other boosters, not in value.
 """
 
@@ -34,6 +35,7 @@ from tapegrid.session import settle
 @dataclass(frozen=True)
 class TreeSettings:
     rounds: int = 2_000
+    patience: int = 100
     depth: int = 4
     step: float = 0.03
     row_share: float = 0.7
@@ -57,6 +59,17 @@ def booster(study: Study, horizon: int, rounds: int, settings: TreeSettings) ->
     )
 
 
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Number of rounds with the least error, up to where ``patience`` rounds in a row bring no better."""
+    best = 0
+    for place, error in enumerate(errors):
+        if error < errors[best]:
+            best = place
+        elif place - best >= patience:
+            break
+    return best + 1
+
+
 def trees_out_of_sample(
     frame: DataFrame,
     study: Study,
@@ -91,10 +104,11 @@ def trees_out_of_sample(
         coin, horizon, window = cell
         key = (F.col("coin") == coin) & (F.col("horizon") == horizon) & (F.col("window") == window)
         part = fitting.where(key)
-        inner = booster(study, horizon, settings.rounds, settings)
-        inner.setParams(validationIndicatorCol="valid", validationTol=0.0)
-        first = inner.fit(part.where("train OR valid"))
-        best = first.getNumTrees
+        train, valid = part.where("train"), part.where("valid")
+        errors = booster(study, horizon, settings.rounds, settings).fit(train).evaluateEachIteration(valid, "squared")
+        best = best_round(errors, settings.patience)
+        # the same seed and rows give the same first trees
+        first = booster(study, horizon, best, settings).fit(train)
         spread = first.transform(part.where("valid")).agg((F.max("pred") - F.min("pred")).alias("s")).first()["s"]
         if not spread:
             # no split at all: a constant stands for the month

@@ -299,3 +299,12 @@ def test_users_add_families(frame, study):
         assert found.select("pred").distinct().collect()[0]["pred"] == 1.0
     finally:
         del fitting.FAMILIES["ones"]
+
+
+def test_trees_go_on_after_a_noisy_round():
+    errors = [1.0, 0.9, 0.95, 0.8, 0.85, 0.86, 0.7]
+    assert trees.best_round(errors, 100) == 7
+    assert trees.best_round(errors, 3) == 7
+    assert trees.best_round(errors, 2) == 4
+    assert trees.best_round(errors, 1) == 2
+    assert trees.best_round([1.0], 100) == 1
