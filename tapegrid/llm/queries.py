@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.llm import (
+    alignment,
+    dialogue,
     exact,
     mixing,
+    packing,
     pieces,
     pii,
     preference,
@@ -43,6 +46,13 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_level_path() -> str:
+    """The byte-level BPE file of the public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @query("op1_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
@@ -302,3 +312,20 @@ def sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pieces.id_text(), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.aligned(read(spark, folder, "documents"), byte_level_path(), model_path())
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_retrieval_packing")
+def retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces_of = packing.packed(read(spark, folder, "documents"), byte_level_path())
+    return pieces_of.withColumn("ids_crc32", packing.crc32()).drop("tokens")
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.audited(read(spark, folder, "conversations"))
