@@ -12,6 +12,7 @@ import re
 from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 import sentencepiece
 import tiktoken
 
@@ -36,7 +37,7 @@ def quick_units(text: str) -> list[str]:
 
 
 def plain(unit: str) -> bool:
-    """Whether white space stands only at the start of the unit, as one character."""
+    """Whether the unit neither ends in white space nor goes on with it after its first character."""
     return len(unit) > 1 and not unit[1].isspace() and not unit[-1].isspace()
 
 
@@ -69,6 +70,7 @@ class ByteLevel:
         self.spelled = [b""] * self.size
         for word, i in ranks.items():
             self.spelled[i] = word
+        self.sizes = np.array(list(map(len, self.spelled)), dtype=np.int64)
         self.coder = tiktoken.Encoding(
             "byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=self.special
         )
@@ -77,6 +79,12 @@ class ByteLevel:
         """Ids of a unit; strings of special tokens are plain text."""
         return self.coder.encode_ordinary(unit)
 
+    def encode_plain(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain units that start with a blank or line feed, in a row, and where each unit ends."""
+        ids = np.array(self.coder.encode_ordinary("".join(units)), dtype=np.int64)
+        ends = np.cumsum([len(u.encode()) for u in units])
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+
     def encode_marked(self, unit: str) -> list[int]:
         """Ids of a unit; strings of special tokens become their ids."""
         return self.coder.encode(unit, allowed_special="all")
