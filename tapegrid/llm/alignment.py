@@ -23,15 +23,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapegrid.llm.subwords import byte_level, plain, quick_units, safe_units, word_pieces
+from tapegrid.llm.text import arrow_rows
 from tapegrid.session import settle
 
 # Bytes of a range of a long document, fragments joined at once, pairs of a block, units remembered.
 RANGE_BYTES = 1 << 15
 FAN_IN = 16
-BLOCK_PAIRS = 1 << 22
-CACHED_UNITS = 300_000
-UNITS_AT_ONCE = 1 << 14
-ROWS_AT_ONCE = 128
+BLOCK_PAIRS = 1 << 19
+CACHED_UNITS = 80_000
+UNITS_AT_ONCE = 1 << 13
+# Rows of a batch of texts, and of long texts or their fragments.
+SHORT_ROWS, LONG_ROWS = 64, 4
 NO_IDS = np.array([], dtype=np.int64)
 
 
@@ -149,19 +151,25 @@ class Aligner:
         self.known: dict[str, tuple[str, bytes, bytes]] = {}
         self.odd: dict[str, tuple[str, bytes, bytes]] = {}
 
-    def _tokens(self, units: Sequence[str]) -> tuple[list, list, np.ndarray]:
-        a = [self.a.encode(u) for u in units]
+    def _tokens(self, units: Sequence[str], joined: bool) -> tuple[list, list, np.ndarray]:
+        """Ids of both sides and whether the pieces fail to spell a unit; byte-level tokens never do.
+
+        ``joined``: all units are plain, so the byte-level side reads them in a row.
+        """
+        if joined:
+            ids, stops = self.a.encode_plain(units)
+            ids, stops = ids.tolist(), stops.tolist()
+            a = [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        else:
+            a = [self.a.encode(u) for u in units]
         b = self.b.encode_all(units)
-        spell_a, spell_b = self.a.spelled.__getitem__, self.b.spelled.__getitem__
-        broken = [
-            not b"".join(map(spell_a, x)) == u.encode() == b"".join(map(spell_b, y))
-            for u, x, y in zip(units, a, b, strict=True)
-        ]
+        spell = self.b.spelled.__getitem__
+        broken = [u.encode() != b"".join(map(spell, ids)) for u, ids in zip(units, b, strict=True)]
         return a, b, np.array(broken, dtype=bool)
 
-    def learn(self, units: Sequence[str]) -> None:
+    def learn(self, units: Sequence[str], table: dict, joined: bool) -> None:
         """Align many units at once: a unit's end is a common end, so all stand in one line of bytes."""
-        a, b, broken = self._tokens(units)
+        a, b, broken = self._tokens(units, joined)
         for i in np.flatnonzero(broken):
             a[i], b[i] = [], []
         a_flat = np.fromiter((i for ids in a for i in ids), np.int64)
@@ -185,7 +193,7 @@ class Aligner:
         n_groups = np.diff(borders, prepend=0)
         link_ends = np.concatenate([[0], np.cumsum(links)])[borders]
         n_links = np.diff(link_ends, prepend=0)
-        facts = np.stack([sizes_a, sizes_b, n_groups, n_links, broken.astype(np.int64)], axis=1)
+        facts = np.stack([sizes_a, sizes_b, n_groups, n_links, broken], axis=1).astype(np.uint32)
         a_word, b_word = list(map(str, a_flat.tolist())), list(map(str, b_flat.tolist()))
         a_stop, b_stop = (a_at + 1).tolist(), (b_at + 1).tolist()
         shown = [
@@ -196,40 +204,49 @@ class Aligner:
         ]
         group, link = 0, 0
         for number, (unit, stop, end) in enumerate(zip(units, borders.tolist(), link_ends.tolist(), strict=True)):
-            table = self.known if plain(unit) else self.odd
             table[unit] = (";".join(shown[group:stop]), codes[link:end].tobytes(), facts[number].tobytes())
             group, link = stop, end
 
     def units_of(self, texts: Sequence[str]) -> list[list[str]]:
         """The units of each text with its leading blank, all of them known afterwards."""
-        known, found, fresh = self.known, [], set()
-        if len(known) + len(self.odd) > CACHED_UNITS:
-            known.clear()
-            self.odd.clear()
-        for text in texts:
-            units = quick_units(" " + text)
-            new = [u for u in units if u not in known]
-            if not all(map(plain, new)):
-                units = safe_units(" " + text)
-                new = [u for u in units if u not in known and u not in self.odd]
-            found.append(units)
-            fresh.update(new)
-        self.learn_all(list(fresh))
+        self.make_room()
+        quick = [quick_units(" " + t) for t in texts]
+        met = set().union(*quick)
+        new = [u for u in met if u not in self.known]
+        odd = {u for u in new if not plain(u)}
+        self.learn_all([u for u in new if u not in odd], self.known, True)
+        if not odd:
+            return quick
+        found = [
+            units if odd.isdisjoint(units) else safe_units(" " + text)
+            for text, units in zip(texts, quick, strict=True)
+        ]
+        self.learn_new({u for units in found for u in units})
         return found
 
-    def learn_all(self, fresh: list[str]) -> None:
-        for start in range(0, len(fresh), UNITS_AT_ONCE):
-            self.learn(fresh[start : start + UNITS_AT_ONCE])
+    def make_room(self) -> None:
+        if len(self.known) + len(self.odd) > CACHED_UNITS:
+            self.known.clear()
+            self.odd.clear()
+
+    def learn_new(self, units: set[str]) -> None:
+        new = [u for u in units if u not in self.known and u not in self.odd]
+        joined = set(filter(plain, new))
+        self.learn_all(list(joined), self.known, True)
+        self.learn_all([u for u in new if u not in joined], self.odd, False)
 
-    def aligned(self, texts: Sequence[str]) -> list[Fragment]:
-        """The closed fragments of texts that both vocabularies read with a blank before them."""
-        return [self.of_units(units) for units in self.units_of(texts)]
+    def learn_all(self, units: list[str], table: dict, joined: bool) -> None:
+        for start in range(0, len(units), UNITS_AT_ONCE):
+            self.learn(units[start : start + UNITS_AT_ONCE], table, joined)
 
     def of_units(self, units: Sequence[str]) -> Fragment:
         """The closed fragment of known whole units."""
-        known, odd = self.known, self.odd
-        texts, codes, facts = zip(*[known.get(u) or odd[u] for u in units], strict=True)
-        totals = np.frombuffer(b"".join(facts), dtype=np.int64).reshape(-1, 5).sum(axis=0).tolist()
+        try:
+            facts = list(map(self.known.__getitem__, units))
+        except KeyError:
+            facts = [self.known.get(u) or self.odd[u] for u in units]
+        texts, codes, counts = zip(*facts, strict=True)
+        totals = np.frombuffer(b"".join(counts), dtype=np.uint32).reshape(-1, 5).sum(axis=0, dtype=np.int64).tolist()
         return Fragment(
             cut=True,
             groups=totals[2],
@@ -242,7 +259,7 @@ class Aligner:
 
     def ranged(self, unit: str, start: int, low: int, high: int) -> Fragment:
         """The tokens of the unit at offset ``start`` that end above ``low`` and not above ``high``."""
-        (a,), (b,), broken = self._tokens([unit])
+        (a,), (b,), broken = self._tokens([unit], False)
         if broken[0]:
             return Fragment(broken=True)
         ids = []
@@ -260,10 +277,8 @@ class Aligner:
         first = int(starts[0] < low)
         last = len(units) - int(starts[-1] > high)
         inner = units[first:last]
-        if len(self.known) + len(self.odd) > CACHED_UNITS:
-            self.known.clear()
-            self.odd.clear()
-        self.learn_all([*{u for u in inner if u not in self.known and u not in self.odd}])
+        self.make_room()
+        self.learn_new(set(inner))
         parts = [self.ranged(units[0], int(starts[0]), low, high)] if first else []
         if inner:
             parts.append(self.of_units(inner))
@@ -384,7 +399,8 @@ def long_fragments(docs: DataFrame, a_path: str, b_path: str, range_bytes: int)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     ranges = numbered.mapInArrow(cut, range_type).repartition("row", "place")
-    parts = settle(ranges.mapInArrow(tokenise, kind))
+    with arrow_rows(docs.sparkSession, LONG_ROWS):
+        parts = settle(ranges.mapInArrow(tokenise, kind))
     last = parts.agg(F.max("place")).first()[0] or 0
     while last > 0:
         parts = parts.groupBy("row", F.floor(F.col("place") / FAN_IN)).applyInArrow(reduce, kind)
@@ -498,10 +514,9 @@ def aligned(
         aligner = aligner_of(a_path, b_path)
         blocks = Blocks(kind, f"s{TaskContext.get().partitionId()}", keep_groups)
         for batch in batches:
-            for start in range(0, len(batch), ROWS_AT_ONCE):
-                ids, texts = batch.slice(start, ROWS_AT_ONCE).to_pydict().values()
-                for doc_id, text, units in zip(ids, texts, aligner.units_of([t or "" for t in texts]), strict=True):
-                    yield from blocks.add(doc_id, aligner.of_units(units) if text else None)
+            ids, texts = batch.to_pydict().values()
+            for doc_id, text, units in zip(ids, texts, aligner.units_of([t or "" for t in texts]), strict=True):
+                yield from blocks.add(doc_id, aligner.of_units(units) if text else None)
         yield from blocks.flush()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +527,10 @@ def aligned(
         yield from blocks.flush()
 
     parts = long_fragments(source.where(over), a_path, b_path, range_bytes)
-    table = settle(source.where(~over).mapInArrow(short, kind).unionByName(parts.mapInArrow(whole, kind)))
+    with arrow_rows(docs.sparkSession, LONG_ROWS):
+        finished = settle(parts.mapInArrow(whole, kind))
+    with arrow_rows(docs.sparkSession, SHORT_ROWS):
+        table = settle(source.where(~over).mapInArrow(short, kind)).unionByName(finished)
     return _counted(table, kind)
 
 

@@ -66,6 +66,8 @@ class ByteLevel:
             raise ValueError("ids do not follow the order of merges")
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {word: i for word, i in ranks.items() if i not in self.special.values()}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a byte is no entry, so a text may not be spelled by its tokens")
         self.size = 1 + max(*ranks.values(), *self.special.values())
         self.spelled = [b""] * self.size
         for word, i in ranks.items():
