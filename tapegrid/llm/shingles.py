@@ -52,13 +52,6 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     ]
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) * ALIKE[1] < max(len(a), len(b)) * ALIKE[0]:
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared * ALIKE[1] >= (len(a) + len(b) - shared) * ALIKE[0]
-
-
 def _per_text(docs: DataFrame, name: str) -> DataFrame:
     """``doc_id`` and an array of longs: the band keys or the shingles of the text."""
 
@@ -80,53 +73,80 @@ def _verified() -> Column:
     return shared * ALIKE[1] >= (F.size("a") + F.size("b") - shared) * ALIKE[0]
 
 
-def bucket_links(rows: DataFrame) -> DataFrame:
-    """Links ``u, v`` that connect the alike sets of every bucket, from ``key, doc_id, shingles``."""
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose sets are alike."""
+    return settle(
+        pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+        .join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
+        .where(_verified())
+        .select("u", "v")
+    )
+
 
-    def run(bucket: pa.Table) -> pa.Table:
-        ids = bucket["doc_id"].combine_chunks()
-        sets = [np.asarray(s, dtype=np.int64) for s in bucket["shingles"].to_pylist()]
-        left, parents, children = list(range(len(sets))), [], []
-        while left:
-            front = [left.pop()]
-            while front:
-                one = front.pop()
-                reached = [x for x in left if alike(sets[one], sets[x])]
-                parents += [one] * len(reached)
-                children += reached
-                front += reached
-                left = [x for x in left if x not in set(reached)] if reached else left
-        return pa.table({"u": ids.take(pa.array(parents, pa.int64())), "v": ids.take(pa.array(children, pa.int64()))})
+def with_groups(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``ids`` with the component of each ``doc_id`` as ``group``."""
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    return ids.join(roots, "doc_id", "left").withColumn("group", F.coalesce("root", "doc_id")).drop("root")
 
-    kind = rows.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    return rows.groupBy("key").applyInArrow(run, schema)
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of different groups that may be alike, from ``doc_id, group, shingles``; no alike
+    pair is missing.
+
+    Shingles are ordered by the number of sets that hold them, rare ones first. Two sets of sizes up
+    to n with a similarity of 0.8 share one of their first n - ceil(0.8 n) + 1 shingles. So texts that
+    have but a common passage in common hardly meet. Where many texts of one group hold a shingle,
+    only the texts of other groups look up its holders: of two texts of different groups, one is
+    outside the largest group.
+    """
+    rows = sets.select("doc_id", "group", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ordered = (
+        rows.join(held, "shingle")
+        .groupBy("doc_id", "group", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("line"))
+    )
+    first = F.col("size") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]).cast("int") + 1
+    postings = settle(
+        ordered.select("doc_id", "group", "size", F.explode(F.slice("line", F.lit(1), first)).alias("s"))
+        .where("s.n > 1")
+        .select("doc_id", "group", "size", F.col("s.shingle").alias("shingle"))
+    )
+    per_group = postings.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = per_group.groupBy("shingle").agg(
+        F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups")
+    )
+    asking = postings.join(largest.where("groups > 1"), "shingle").where("group <> largest")
+    asking = asking.select("shingle", F.col("doc_id").alias("a"), F.col("group").alias("g"), F.col("size").alias("m"))
+    near = F.least("size", "m") * ALIKE[1] >= F.greatest("size", "m") * ALIKE[0]
+    met = asking.join(postings, "shingle").where((F.col("group") != F.col("g")) & near)
+    return settle(met.select(F.least("a", "doc_id").alias("u"), F.greatest("a", "doc_id").alias("v")).distinct())
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """Links ``u, v`` that connect the texts of ``doc_id, text`` that are alike and share a band.
 
     Every text is first held against the smallest id of its bucket; a dense group is settled by
-    that alone. What is not alike to it is compared within the bucket.
+    that alone. The texts of buckets that then still hold several groups are joined with each other
+    by their rare shingles, so that a text which is alike to an absorbed one only is linked as well.
+    Everything is a join or an aggregation; no bucket is one task's work.
     """
     keys = settle(_per_text(docs, "keys")).select("doc_id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("u"))
     shared = shared.where(F.col("n") > 1).select("key", "u")
     met = settle(keys.join(shared, "key").where(F.col("doc_id") != F.col("u")).withColumnRenamed("doc_id", "v"))
     pairs = settle(met.select("u", "v").distinct())
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = settle(_per_text(docs.join(ends, "doc_id", "left_semi"), "shingles"))
-    links = settle(
-        pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-        .join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
-        .where(_verified())
-        .select("u", "v")
-        .distinct()
-    )
-    rest = settle(met.join(links, ["u", "v"], "left_anti").select("key", F.col("v").alias("doc_id")))
-    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-    open_rows = rest.join(several, "key", "left_semi").join(sets, "doc_id")
-    return links.unionByName(bucket_links(open_rows.select("key", "doc_id", "shingles")))
+    ends = settle(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
+    sets = settle(_per_text(docs.join(ends, "doc_id", "left_semi"), "shingles").dropDuplicates(["doc_id"]))
+    links = _linked(pairs, sets)
+    groups = settle(with_groups(ends, links))
+    named = met.select("key", "u", F.col("v").alias("doc_id")).join(groups, "doc_id")
+    heads = groups.select(F.col("doc_id").alias("u"), F.col("group").alias("head"))
+    open_keys = named.join(heads, "u").where("group <> head").select("key").distinct()
+    members = met.join(open_keys, "key", "left_semi")
+    open_ids = members.select(F.col("u").alias("doc_id")).union(members.select("v")).distinct()
+    open_sets = settle(open_ids.join(groups, "doc_id").join(sets, "doc_id"))
+    return links.unionByName(_linked(prefix_pairs(open_sets), sets))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import corpus_pipeline  # noqa: E402
 from tapegrid.llm import mixing, toxicity  # noqa: E402
 from tapegrid.llm.queries import model_path  # noqa: E402
 from tests.llm.test_exact import normal  # noqa: E402
+from tests.llm.test_shingles import brute_first, corpus  # noqa: E402
 from tests.llm.test_simhash import brute_components, brute_fingerprint  # noqa: E402
 
 
@@ -20,20 +21,6 @@ def write(spark, folder, docs, labels):
     spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
 
 
-def corpus():
-    docs, labels = [], []
-    for i in range(120):
-        words = [f"w{(i * 31 + j * j) % 997}" for j in range(120 + i)]
-        if i % 10 == 3:
-            words[5] = words[50] = "grunk"
-        docs.append((i, " ".join(words), "en", None if i % 17 == 0 else f"s{i % 4}", 0))
-        labels.append((i, 1, int(i % 10 == 3)))
-    docs += [(200 + i, docs[i][1].replace(" ", "  "), "en", "s1", 0) for i in range(6)]
-    docs += [(300 + i, docs[i][1] + " tail", "en", "s2", 0) for i in range(20, 26)]
-    docs += [(400, None, None, None, None), (401, "", "en", "s0", 0), (5, docs[5][1], "en", "s1", 0)]
-    return docs, labels
-
-
 def test_stages_against_brute_force(spark, tmp_path):
     rows, labels = corpus()
     folder = str(tmp_path)
@@ -52,8 +39,11 @@ def test_stages_against_brute_force(spark, tmp_path):
             first[key] = r
     single = list(first.values())
     components = brute_components({r[0]: brute_fingerprint(r[1]) for r in single})
-    apart = [r for r in single if components[r[0]] == r[0]]
-    assert len(apart) < len(single) < len(clean)
+    left = [r for r in single if components[r[0]] == r[0]]
+    # Then texts that have 0.8 of their five-word shingles in common.
+    first = brute_first([(r[0], r[1]) for r in left])
+    apart = [r for r in left if first[r[0]] == r[0]]
+    assert len(apart) < len(left) < len(single) < len(clean)
     frame = spark.createDataFrame(apart, docs.schema)
     copies = {r["doc_id"]: r["_copies"] for r in mixing.mixture(frame).select("doc_id", F.col("_copies")).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=model_path())
