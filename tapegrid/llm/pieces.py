@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -237,13 +238,13 @@ class Pieces:
         return text[1:] if first is not None and self.names[first].startswith(SPACE) else text
 
 
+# One replacement per byte that is part of no character, and on with the next byte.
+codecs.register_error("each-byte", lambda error: ("\ufffd", error.start + 1))
+
+
 def _bytes_text(data: bytes) -> str:
     """UTF-8 text of the bytes; every byte that is part of no character becomes U+FFFD."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as error:
-        good = data[: error.start].decode()
-        return good + "�" + _bytes_text(data[error.start + 1 :])
+    return data.decode(errors="each-byte")
 
 
 @lru_cache(maxsize=2)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT_TURNS = 1_024
 TRAINED_ROLE = "assistant"
 
 
@@ -58,16 +57,17 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``pair_id, segment, prompt, chosen, rejected, chosen_mask, rejected_mask, prompt_turns``.
+    """``pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask, prompt_turns``, a row per pair.
 
     A mask lists the character spans of its completion that are trained on: the text and end mark of
     each assistant turn. Pairs whose two sides are equal have empty completions; a side that is
-    missing has an empty one. Rows are cut into segments of 1,024 turns, so that a conversation
-    of any length is built in bounded pieces; ordinary ones are segment 0.
+    missing has an empty one. Null turns come before all others, equal turns go by role and text,
+    repeated rows count once, other columns are ignored, an empty table gives no rows. However many
+    turns a pair has, its prompt is rendered once; a pair must fit a row.
     """
-    rows = split_turns(chosen, rejected).withColumn("segment", F.floor(F.col("turn") / SEGMENT_TURNS))
+    rows = split_turns(chosen, rejected)
     entry = F.struct("turn", "role", "text")
-    lists = rows.groupBy("pair_id", "segment").agg(
+    lists = rows.groupBy("pair_id").agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("part") == part, entry))).alias(part)
             for part in ("prompt", "chosen", "rejected")
@@ -97,7 +97,6 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
     return lists.select(
         "pair_id",
-        F.col("segment").cast("long").alias("segment"),
         text_of("prompt").alias("prompt"),
         text_of("chosen").alias("chosen"),
         text_of("rejected").alias("rejected"),

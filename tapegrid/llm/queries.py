@@ -96,7 +96,7 @@ WITH rows AS (
           'trained': role = 'assistant'}} ORDER BY place) AS spans
   FROM placed GROUP BY 1, 2
 )
-SELECT p.pair_id, 0::BIGINT AS segment, coalesce(a.text, '') AS prompt, coalesce(b.text, '') AS chosen,
+SELECT p.pair_id, coalesce(a.text, '') AS prompt, coalesce(b.text, '') AS chosen,
   coalesce(c.text, '') AS rejected, {SPANS.format(x="b.spans")} AS chosen_mask,
   {SPANS.format(x="c.spans")} AS rejected_mask, coalesce(a.n, 0) AS prompt_turns
 FROM (SELECT DISTINCT pair_id FROM parts) p

@@ -50,6 +50,11 @@ def test_decode_of_any_ids(library, encoder):
         assert encoder.pieces.decode(ids) == library.decode(ids)
 
 
+def test_many_stray_bytes(library, encoder):
+    ids = [3 + 0x80 + i % 64 for i in range(5_000)] + [3 + ord("a"), 3 + 0xC3, 3 + 0xA9]
+    assert encoder.pieces.decode(ids) == library.decode(ids)
+
+
 def test_forgetting_words_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "CACHED_UNITS", 10)
     monkeypatch.setattr(pieces, "WORDS_PER_ROUND", 7)

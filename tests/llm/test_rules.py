@@ -94,7 +94,7 @@ def test_lines_of_most_pages_go(spark):
 def pairs(spark, chosen, rejected):
     schema = "pair_id long, turn long, role string, text string, part string"
     sides = [spark.createDataFrame([(*r, "x") for r in side], schema) for side in (chosen, rejected)]
-    return {(r["pair_id"], r["segment"]): r for r in preference.format_pairs(*sides).collect()}
+    return {r["pair_id"]: r for r in preference.format_pairs(*sides).collect()}
 
 
 def shown(role, text):
@@ -105,7 +105,7 @@ def test_common_prefix_is_rendered_once(spark):
     opening = [(1, 0, "system", "be kind"), (1, 1, "user", "héllo")]
     chosen = [*opening, (1, 2, "assistant", "good"), (1, 3, "user", "thanks"), (1, 3, "user", "thanks")]
     rejected = [*opening, (1, 2, "assistant", "bad"), (1, 3, "user", "thanks")]
-    row = pairs(spark, chosen, rejected)[1, 0]
+    row = pairs(spark, chosen, rejected)[1]
     assert row["prompt"] == shown("system", "be kind") + shown("user", "héllo")
     assert row["prompt_turns"] == 2
     assert row["chosen"] == shown("assistant", "good") + shown("user", "thanks")
@@ -119,22 +119,23 @@ def test_equal_missing_and_null_sides(spark):
     chosen = [(1, 0, "user", "a"), (2, 0, "user", "b"), (3, None, None, None), (None, 0, "user", "n")]
     rejected = [(1, 0, "user", "a"), (3, None, None, None), (3, 1, "assistant", None), (4, 0, "assistant", "z"), (None, 0, "user", "m")]
     found = pairs(spark, chosen, rejected)
-    assert (found[1, 0]["prompt"], found[1, 0]["chosen"], found[1, 0]["rejected"]) == (shown("user", "a"), "", "")
-    assert (found[2, 0]["prompt"], found[2, 0]["chosen"]) == ("", shown("user", "b"))
-    assert found[3, -1]["prompt"] == shown("", "") and found[3, 0]["rejected"] == shown("assistant", "")
-    assert found[4, 0]["rejected"] == shown("assistant", "z") and not found[4, 0]["chosen_mask"]
-    assert (found[None, 0]["chosen"], found[None, 0]["rejected"]) == (shown("user", "n"), shown("user", "m"))
+    assert (found[1]["prompt"], found[1]["chosen"], found[1]["rejected"]) == (shown("user", "a"), "", "")
+    assert (found[2]["prompt"], found[2]["chosen"]) == ("", shown("user", "b"))
+    assert found[3]["prompt"] == shown("", "") and found[3]["rejected"] == shown("assistant", "")
+    assert found[4]["rejected"] == shown("assistant", "z") and not found[4]["chosen_mask"]
+    assert (found[None]["chosen"], found[None]["rejected"]) == (shown("user", "n"), shown("user", "m"))
     assert pairs(spark, [], []) == {}
 
 
-def test_long_conversations_come_in_segments(spark):
-    chosen = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(2_500)]
-    rejected = [*chosen[:2_000], (1, 2_000, "user", "other")]
-    found = pairs(spark, chosen, rejected)
-    assert sorted(found) == [(1, 0), (1, 1), (1, 2)]
-    whole = "".join(found[1, s]["prompt"] + found[1, s]["chosen"] for s in range(3))
-    assert whole == "".join(shown(r, t) for _, _, r, t in chosen)
-    assert found[1, 1]["prompt_turns"] == 2_000 - 1_024
+def test_a_long_pair_is_one_row(spark):
+    """2,050 turns that part at the last one, a null turn before them, and turns of equal number."""
+    shared = [(1, None, "system", "s"), *[(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(2_049)]]
+    shared += [(1, 7, "user", "again"), (1, 7, "user", "again")]
+    found = pairs(spark, [*shared, (1, 2_049, "assistant", "good")], [*shared, (1, 2_049, "assistant", "bad")])
+    (row,) = found.values()
+    turns = sorted({((-1 if t is None else t), r, x) for _, t, r, x in shared})
+    assert row["prompt"] == "".join(shown(r, x) for _, r, x in turns) and row["prompt_turns"] == 2_051
+    assert (row["chosen"], row["rejected"]) == (shown("assistant", "good"), shown("assistant", "bad"))
 
 
 def test_neighbour_pairs(spark):
