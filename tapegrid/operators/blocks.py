@@ -165,6 +165,66 @@ def order_counts(
     )
 
 
+def masked_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, members: Sequence[Column], sums: Sequence[Column] = ()
+) -> DataFrame:
+    """Standardised ranks of each distinct value within many overlapping sets of rows, from one sort.
+
+    ``members`` tells the sets a row belongs to. Returns ``keys, value, z, n, sums``: arrays over the
+    sets with the standardised rank (null where the set has no such value or all its rows tie), the
+    number of rows, and the totals of ``sums`` (one column per set) over the rows that share the value.
+    The sort is that of ``order_counts``, with one running count per set instead of a copy of the row.
+    """
+    sets = range(len(members))
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(
+            *[F.count(F.when(m, 1)).alias(f"_t{k}") for k, m in enumerate(members)],
+            *[F.sum(F.when(members[k], c)).alias(f"_s{k}") for k, c in enumerate(sums)],
+        )
+        .repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+        .withColumn("_slice", F.spark_partition_id())
+    )
+    sliced = settle(counts)
+    line = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    parts, totals = [], []
+    for k in sets:
+        ties = F.col(f"_t{k}").cast("double")
+        parts += [
+            F.sum(f"_t{k}").alias(f"_r{k}"),
+            F.sum(ties * ties * ties - ties).alias(f"_d{k}"),
+            F.count(F.when(ties > 0, 1)).alias(f"_v{k}"),
+        ]
+        n = F.sum(f"_r{k}").over(whole)
+        spread = (n * n - 1) / 12 - F.sum(f"_d{k}").over(whole) / (12 * n)
+        totals += [
+            F.coalesce(F.sum(f"_r{k}").over(line), F.lit(0)).alias(f"_o{k}"),
+            n.alias(f"_n{k}"),
+            F.when(F.sum(f"_v{k}").over(whole) > 1, F.sqrt(spread)).alias(f"_sd{k}"),
+        ]
+    offsets = sliced.groupBy(*keys, "_slice").agg(*parts).select(*keys, "_slice", *totals)
+    inside = (
+        Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    below = [F.coalesce(F.sum(f"_t{k}").over(inside), F.lit(0)).alias(f"_b{k}") for k in sets]
+    rows = sliced.select("*", *below).join(offsets, [*keys, "_slice"])
+
+    def rank(k: int) -> Column:
+        ties = F.col(f"_t{k}")
+        place = F.col(f"_o{k}") + F.col(f"_b{k}") + (ties + 1) / 2
+        return F.when(ties > 0, (place - (F.col(f"_n{k}") + 1) / 2) / F.col(f"_sd{k}"))
+
+    return rows.select(
+        *keys,
+        value,
+        F.array(*[rank(k) for k in sets]).alias("z"),
+        F.array(*[F.col(f"_n{k}") for k in sets]).alias("n"),
+        F.array(*[F.col(f"_s{k}") for k in range(len(sums))]).alias("sums"),
+    )
+
+
 def average_rank() -> Column:
     return F.col("below") + (F.col("ties") + 1) / 2
 

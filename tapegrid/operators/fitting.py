@@ -3,29 +3,41 @@
 A fitted model is a row of a parameter table keyed by ``coin, horizon, window, role``, where role
 ``inner`` is fitted on the training rows and ``refit`` on training and validation rows. Least
 squares is additive: sums are taken once per calendar month and windows add months, so an
-expanding window repeats no row. Ridge needs its clipped standard scores per window, so its
-products are summed by NumPy inside tasks and added by Spark.
+expanding window repeats no row. Ridge and the best feature need scales and ranks per window: rows
+carry a bit set of their windows instead of copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapegrid.config import RIDGE_ALPHAS, RIDGE_CLIP, Study
 from tapegrid.functions.columns import all_known, bar_position, moment, month_of, pick_column
-from tapegrid.operators.blocks import rank_products_sum, standardised_ranks
-from tapegrid.operators.folds import Fold, distinct_windows, window_rows
+from tapegrid.operators.blocks import masked_ranks
+from tapegrid.operators.folds import (
+    ROLES,
+    Fold,
+    distinct_windows,
+    has_bit,
+    role_mask,
+    window_groups,
+    window_rows,
+)
 from tapegrid.session import settle
 
 MODEL_KEYS = ["coin", "horizon", "window"]
-ROLES = ("inner", "refit")
+# Groups in which the vectors of one window are added first.
+SALTS = 64
 
 
 # ---------------------------------------------------------------- additive sums
@@ -39,18 +51,18 @@ def monthly_sums(
     ``tail`` rows are those whose label is still unknown when the month ends, and ``started``
     marks rows after the study's training start, which may fall inside a month.
     """
+    return monthly_records(rows, inputs, study).agg(*[F.sum(c).alias(n) for n, c in terms.items()])
+
+
+def monthly_records(rows: DataFrame, inputs: Sequence[str], study: Study) -> GroupedData:
     month_end = F.add_months(F.trunc("open_time", "month"), 1).cast("timestamp")
     tail = F.col("pos") + F.col("horizon") + 1 > bar_position(month_end, study.bar_seconds)
-    return (
-        rows.where(all_known([*inputs, "y"]))
-        .groupBy(
-            "coin",
-            "horizon",
-            month_of("open_time").alias("month"),
-            (F.col("open_time") >= moment(study.train_start)).alias("started"),
-            tail.alias("tail"),
-        )
-        .agg(*[F.sum(c).alias(n) for n, c in terms.items()])
+    return rows.where(all_known([*inputs, "y"])).groupBy(
+        "coin",
+        "horizon",
+        month_of("open_time").alias("month"),
+        (F.col("open_time") >= moment(study.train_start)).alias("started"),
+        tail.alias("tail"),
     )
 
 
@@ -58,6 +70,11 @@ def window_sums(
     monthly: DataFrame, folds: Sequence[Fold], study: Study, terms: Sequence[str]
 ) -> DataFrame:
     """Monthly sums added up per window and role: ``coin, horizon, window, role, terms``."""
+    return in_windows(monthly, folds, study).groupBy(*MODEL_KEYS, "role").agg(*[F.sum(t).alias(t) for t in terms])
+
+
+def in_windows(monthly: DataFrame, folds: Sequence[Fold], study: Study) -> DataFrame:
+    """The monthly records of each window and role."""
     entries = []
     for f in distinct_windows(folds):
         from_start = f.train_start == study.train_start
@@ -88,11 +105,7 @@ def window_sums(
     refit = monthly.withColumn("role", F.lit("refit")).withColumn(
         "_w", F.explode(F.filter(uses, lambda w: in_train(w) | in_valid(w)))
     )
-    return (
-        inner.unionByName(refit)
-        .groupBy("coin", "horizon", F.col("_w.window").alias("window"), "role")
-        .agg(*[F.sum(t).alias(t) for t in terms])
-    )
+    return inner.unionByName(refit).withColumn("window", F.col("_w.window")).drop("_w")
 
 
 def line_terms(x: Column, y: Column) -> dict[str, Column]:
@@ -148,27 +161,49 @@ def input_rank_correlations(
 ) -> DataFrame:
     """Spearman correlation of each input with the label, per window and role.
 
-    Window, role and input travel as small numbers through the sort, and get their names after it.
+    A row carries the bit set of its windows and roles and stands in the sort of an input once: label
+    ranks of all windows are found in one sort, joined back as an array, and summed per distinct value
+    of the input, whose running counts per window give the ranks of the other side.
     """
-    names = [f.window for f in distinct_windows(folds)]
-    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("window")).cast("int")
-    flagged = window_rows(rows, folds, inputs, study).where(F.col("refit"))
-    roles = F.when(F.col("train"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
-    keys = ["coin", "horizon", "_window", "_role"]
-    fitting = flagged.select(
-        "coin", "horizon", number.alias("_window"), F.explode(roles).alias("_role"), "y", *inputs
+    tables = [_rank_correlations(rows, group, inputs, study) for group in window_groups(folds)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _rank_correlations(
+    rows: DataFrame, windows: Sequence[Fold], inputs: Sequence[str], study: Study
+) -> DataFrame:
+    keys = ["coin", "horizon"]
+    fits = [(f.window, role) for f in windows for role in ROLES]
+    members = [has_bit(k) for k in range(len(fits))]
+    fitting = rows.withColumn("_mask", role_mask(windows, inputs, study)).where("_mask <> 0")
+    fitting = settle(fitting.select(*keys, "y", "_mask", *inputs))
+    labels = masked_ranks(fitting.select(*keys, "y", "_mask"), keys, "y", members)
+    ranked = fitting.join(labels.select(*keys, "y", F.col("z").alias("_zy")), [*keys, "y"])
+    long = ranked.select(*keys, "_mask", "_zy", F.posexplode(F.array(*inputs)).alias("place", "x"))
+    line = masked_ranks(long, [*keys, "place"], "x", members, [F.col("_zy")[k] for k in range(len(fits))])
+    products = [
+        (F.sum(F.col("z")[k] * F.col("sums")[k]) / F.max(F.col("n")[k])).alias(f"_p{k}") for k in range(len(fits))
+    ]
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(window).alias("window"),
+                F.lit(role).alias("role"),
+                F.col(f"_p{k}").alias("spearman"),
+                F.col(f"_n{k}").alias("n"),
+            )
+            for k, (window, role) in enumerate(fits)
+        ]
     )
-    ranked = standardised_ranks(fitting, keys, "y", "_zy")
-    long = ranked.select(*keys, "_zy", F.posexplode(F.array(*inputs)).alias("place", "x"))
-    table = rank_products_sum(long, [*keys, "place"], "x", "_zy", "spearman")
-    return table.select(
-        "coin",
-        "horizon",
-        F.array(*[F.lit(n) for n in names])[F.col("_window") - 1].alias("window"),
-        F.array(*[F.lit(r) for r in ROLES])[F.col("_role") - 1].alias("role"),
+    sizes = [F.max(F.col("n")[k]).alias(f"_n{k}") for k in range(len(fits))]
+    wide = line.groupBy(*keys, "place").agg(*products, *sizes)
+    return wide.select(*keys, "place", F.explode(entries).alias("_e")).where("_e.n > 0").select(
+        *keys,
+        "_e.window",
+        "_e.role",
         "place",
         F.array(*[F.lit(n) for n in inputs])[F.col("place")].alias("input"),
-        "spearman",
+        "_e.spearman",
     )
 
 
@@ -300,6 +335,117 @@ def training_means(
 # ---------------------------------------------------------------- ridge
 
 
+def monthly_moments(rows: DataFrame, inputs: Sequence[str], study: Study) -> DataFrame:
+    """Mergeable records per coin, horizon and month: row count, means and squared deviations."""
+    return monthly_records(rows, inputs, study).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.avg(c) for c in inputs]).alias("means"),
+        F.array(*[F.var_pop(c) for c in inputs]).alias("variances"),
+    )
+
+
+MOMENTS = T.StructType(
+    [T.StructField("centres", T.ArrayType(T.DoubleType())), T.StructField("spreads", T.ArrayType(T.DoubleType()))]
+)
+
+
+@F.pandas_udf(MOMENTS)
+def merged_moments(n: pd.Series, means: pd.Series, variances: pd.Series) -> pd.DataFrame:
+    """Mean and population spread from the records of several months."""
+    found = []
+    for sizes, m, v in zip(n, means, variances, strict=True):
+        weight = np.asarray(sizes, dtype=float)[:, None] / np.sum(sizes)
+        m, v = np.vstack(m), np.vstack(v)
+        centre = (weight * m).sum(axis=0)
+        found.append((centre, np.sqrt((weight * (v + (m - centre) ** 2)).sum(axis=0))))
+    return pd.DataFrame(found, columns=MOMENTS.names)
+
+
+def window_moments(
+    rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
+) -> DataFrame:
+    """``coin, horizon, window, role, centres, spreads`` of the inputs; no row is copied per window."""
+    monthly = monthly_moments(rows, inputs, study)
+    grouped = in_windows(monthly, folds, study).groupBy(*MODEL_KEYS, "role")
+    lists = grouped.agg(*[F.collect_list(c).alias(c) for c in ("n", "means", "variances")])
+    return lists.select(*MODEL_KEYS, "role", merged_moments("n", "means", "variances").alias("_m")).select(
+        *MODEL_KEYS, "role", "_m.*"
+    )
+
+
+def window_products(
+    rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study, moments: DataFrame
+) -> DataFrame:
+    """Cross products of ``1, clipped scores, y`` per window: arrays ``train``, ``valid``, ``refit``.
+
+    Rows are dealt by blocks of the time line, once, with the bit set of their windows; a task has the
+    rows of one block and the scales of its coin's windows, and gives one vector per window and part.
+    Vectors of a window are added over blocks, first in salted groups.
+    """
+    tables = [_products(rows, group, inputs, study, moments) for group in window_groups(folds)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+PARTS = ("train", "valid", "refit")
+
+
+def _products(
+    rows: DataFrame, windows: Sequence[Fold], inputs: Sequence[str], study: Study, moments: DataFrame
+) -> DataFrame:
+    names, size = [f.window for f in windows], len(inputs)
+    block = F.floor(F.col("pos") / F.lit(study.block_rows)).alias("_block")
+    fitting = rows.withColumn("_mask", role_mask(windows, inputs, study)).where("_mask <> 0")
+    fitting = settle(fitting.select("coin", "horizon", block, "_mask", "y", *inputs))
+    held = fitting.select("coin", "horizon", "_block").distinct().withColumnRenamed("_block", "_of")
+    scales = held.join(moments.where(F.col("window").isin(names)), ["coin", "horizon"]).select(
+        F.col("coin").alias("_coin"), F.col("horizon").alias("_horizon"), "_of", "window", "role", "centres", "spreads"
+    )
+    upper = np.triu_indices(size + 2)
+    kind = T.StructType(
+        [
+            rows.schema["coin"],
+            rows.schema["horizon"],
+            T.StructField("window", T.StringType()),
+            T.StructField("_salt", T.LongType()),
+            T.StructField("part", T.StringType()),
+            T.StructField("cells", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def products(data: pa.Table, scale: pa.Table) -> pa.Table:
+        mask = data["_mask"].to_numpy()
+        x = np.column_stack([data[n].to_numpy() for n in inputs]) if len(data) else np.empty((0, size))
+        y, out = data["y"].to_numpy(), []
+        for s in scale.to_pylist():
+            bit = 2 * names.index(s["window"])
+            train, valid = (mask >> bit & 1) == 1, (mask >> bit & 3) == 2
+            wanted = {"refit": train | valid} if s["role"] == "refit" else {"train": train, "valid": valid}
+            for part, used in wanted.items():
+                if not used.any():
+                    continue
+                z = (x[used] - np.array(s["centres"])) / np.array(s["spreads"])
+                u = np.column_stack([np.ones(len(z)), np.clip(z, -RIDGE_CLIP, RIDGE_CLIP), y[used]])
+                out.append((s["_coin"], s["_horizon"], s["window"], s["_of"] % SALTS, part, (u.T @ u)[upper].tolist()))
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in kind]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kind), strict=True)], names=kind.names)
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.vstack(group["cells"].to_pylist()).sum(axis=0)
+        return group.slice(0, 1).set_column(
+            group.schema.get_field_index("cells"), "cells", pa.array([total.tolist()], pa.list_(pa.float64()))
+        )
+
+    vectors = fitting.groupBy("coin", "horizon", "_block").cogroup(
+        scales.groupBy("_coin", "_horizon", "_of")
+    ).applyInArrow(products, kind)
+    keys = ["coin", "horizon", "window", "part"]
+    once = vectors.groupBy(*keys, "_salt").applyInArrow(added, kind)
+    total = once.groupBy(*keys).applyInArrow(added, kind)
+    return total.groupBy(*MODEL_KEYS).agg(
+        *[F.max(F.when(F.col("part") == p, F.col("cells"))).alias(p) for p in PARTS]
+    )
+
+
 def role_rows(
     rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
 ) -> DataFrame:
@@ -444,7 +590,12 @@ def fit_ridge_parts(
             for p in ("train", "valid", "refit")
         ]
     )
-    penalties = tuple(alphas)
+    return ridge_models(table, keys, alphas).join(moments, [*keys, "role"])
+
+
+def ridge_models(products: DataFrame, keys: Sequence[str], penalties: Sequence[float]) -> DataFrame:
+    """``keys, setting, role, intercept, weights`` from the cross products of the three parts."""
+    penalties = tuple(penalties)
 
     @F.pandas_udf(RIDGE)
     def solve(train: pd.Series, valid: pd.Series, refit: pd.Series) -> pd.DataFrame:
@@ -454,7 +605,7 @@ def fit_ridge_parts(
         ]
         return pd.DataFrame(solved, columns=RIDGE.names)
 
-    complete = table.dropna(subset=["train", "valid", "refit"])
+    complete = products.dropna(subset=["train", "valid", "refit"])
     chosen = complete.select(*keys, solve("train", "valid", "refit").alias("_m"))
     models = F.array(
         *[
@@ -466,20 +617,18 @@ def fit_ridge_parts(
             for role in ROLES
         ]
     )
-    exploded = chosen.select(
+    return chosen.select(
         *keys, F.col("_m.setting").alias("setting"), F.explode(models).alias("_f")
     ).select(*keys, "setting", "_f.*")
-    return exploded.join(moments, [*keys, "role"])
 
 
 def fit_ridge(
     rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
 ) -> DataFrame:
     """Ridge on clipped standard scores for every coin, horizon and window."""
-    parts = role_rows(rows, folds, inputs, study)
-    return fit_ridge_parts(
-        parts, MODEL_KEYS, "coin string, horizon int, window string", len(inputs)
-    )
+    moments = settle(with_unit_spread(window_moments(rows, folds, inputs, study)))
+    products = window_products(rows, folds, inputs, study, moments)
+    return ridge_models(products, MODEL_KEYS, RIDGE_ALPHAS).join(moments, [*MODEL_KEYS, "role"])
 
 
 def predict_scores(x: Column) -> Column:

@@ -354,8 +354,7 @@ def _(spark, folder):
     rows = folds.horizon_rows(lab.features, OWN, S.horizons)
     table = folds.monthly_folds(PERIODS["research"][0], S)
     months = F.create_map(*[F.lit(x) for f in table for x in (f.window, f.test_month)])
-    parts = fitting.role_rows(rows, table, OWN, S)
-    moments = fitting.input_moments(parts, fitting.MODEL_KEYS, len(OWN))
+    moments = fitting.window_moments(rows, table, OWN, S)
     return moments.select(
         "coin",
         "horizon",
