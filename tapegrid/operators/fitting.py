@@ -9,7 +9,7 @@ carry a bit set of their windows instead of copies.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,7 +31,6 @@ from tapegrid.operators.folds import (
     has_bit,
     role_mask,
     window_groups,
-    window_rows,
 )
 from tapegrid.session import settle
 
@@ -364,25 +363,46 @@ def merged_moments(n: pd.Series, means: pd.Series, variances: pd.Series) -> pd.D
 def window_moments(
     rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
 ) -> DataFrame:
-    """``coin, horizon, window, role, centres, spreads`` of the inputs; no row is copied per window."""
+    """``coin, horizon, window, role, rows, centres, spreads`` of the inputs; no row is copied per window."""
     monthly = monthly_moments(rows, inputs, study)
     grouped = in_windows(monthly, folds, study).groupBy(*MODEL_KEYS, "role")
-    lists = grouped.agg(*[F.collect_list(c).alias(c) for c in ("n", "means", "variances")])
-    return lists.select(*MODEL_KEYS, "role", merged_moments("n", "means", "variances").alias("_m")).select(
-        *MODEL_KEYS, "role", "_m.*"
+    lists = grouped.agg(
+        F.sum("n").alias("rows"), *[F.collect_list(c).alias(c) for c in ("n", "means", "variances")]
     )
+    merged = merged_moments("n", "means", "variances").alias("_m")
+    return lists.select(*MODEL_KEYS, "role", "rows", merged).select(*MODEL_KEYS, "role", "rows", "_m.*")
+
+
+def pooled_spreads(moments: DataFrame, size: int) -> DataFrame:
+    """``horizon, window, role, centres, spreads`` of inputs that every coin has on its own scale.
+
+    Each coin's scaled input has mean 0 and variance 1, or 0 where it is constant, on the rows of its
+    role; so the pooled scale follows from the coins' row counts, and no row is read again.
+    """
+    varies = [F.sum(F.when(F.col("spreads")[i] > 0, F.col("rows")).otherwise(0)) for i in range(size)]
+    pooled = moments.groupBy("horizon", "window", "role").agg(
+        F.array(*[F.lit(0.0)] * size).alias("centres"),
+        F.array(*[F.sqrt(v / F.sum("rows")) for v in varies]).alias("spreads"),
+    )
+    return with_unit_spread(pooled)
 
 
 def window_products(
-    rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study, moments: DataFrame
+    rows: DataFrame,
+    folds: Sequence[Fold],
+    inputs: Sequence[str],
+    study: Study,
+    moments: DataFrame,
+    keys: Sequence[str] = MODEL_KEYS,
 ) -> DataFrame:
     """Cross products of ``1, clipped scores, y`` per window: arrays ``train``, ``valid``, ``refit``.
+    Without the coin among ``keys`` they are added over coins.
 
     Rows are dealt by blocks of the time line, once, with the bit set of their windows; a task has the
     rows of one block and the scales of its coin's windows, and gives one vector per window and part.
     Vectors of a window are added over blocks, first in salted groups.
     """
-    tables = [_products(rows, group, inputs, study, moments) for group in window_groups(folds)]
+    tables = [_products(rows, group, inputs, study, moments, keys) for group in window_groups(folds)]
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -390,7 +410,12 @@ PARTS = ("train", "valid", "refit")
 
 
 def _products(
-    rows: DataFrame, windows: Sequence[Fold], inputs: Sequence[str], study: Study, moments: DataFrame
+    rows: DataFrame,
+    windows: Sequence[Fold],
+    inputs: Sequence[str],
+    study: Study,
+    moments: DataFrame,
+    keys: Sequence[str],
 ) -> DataFrame:
     names, size = [f.window for f in windows], len(inputs)
     block = F.floor(F.col("pos") / F.lit(study.block_rows)).alias("_block")
@@ -438,52 +463,19 @@ def _products(
     vectors = fitting.groupBy("coin", "horizon", "_block").cogroup(
         scales.groupBy("_coin", "_horizon", "_of")
     ).applyInArrow(products, kind)
-    keys = ["coin", "horizon", "window", "part"]
-    once = vectors.groupBy(*keys, "_salt").applyInArrow(added, kind)
-    total = once.groupBy(*keys).applyInArrow(added, kind)
-    return total.groupBy(*MODEL_KEYS).agg(
+    once = vectors.groupBy(*keys, "part", "_salt").applyInArrow(added, kind)
+    total = once.groupBy(*keys, "part").applyInArrow(added, kind)
+    return total.groupBy(*keys).agg(
         *[F.max(F.when(F.col("part") == p, F.col("cells"))).alias(p) for p in PARTS]
     )
 
 
-def role_rows(
-    rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
-) -> DataFrame:
-    """Fitting rows, one copy per part (``train``, ``valid``, ``refit``), inputs as array ``x``."""
-    flagged = window_rows(rows, folds, inputs, study).where(F.col("refit"))
-    parts = F.array(F.when(F.col("train"), "train").otherwise("valid"), F.lit("refit"))
-    return flagged.select(
-        *MODEL_KEYS,
-        F.explode(parts).alias("part"),
-        "pos",
-        "y",
-        "fwd_logret",
-        F.array(*inputs).alias("x"),
-    )
-
-
-def input_moments(parts: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """Mean and population spread of each input over train rows and over refit rows."""
-    return (
-        parts.where(F.col("part").isin("train", "refit"))
-        .groupBy(*keys, F.when(F.col("part") == "train", "inner").otherwise("refit").alias("role"))
-        .agg(
-            F.array(*[F.avg(F.col("x")[i]) for i in range(size)]).alias("centres"),
-            F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(size)]).alias("spreads"),
-        )
-    )
-
-
 def with_unit_spread(moments: DataFrame) -> DataFrame:
     """A constant input keeps its scale instead of dividing by zero."""
     fixed = F.transform("spreads", lambda s: F.when(s > 0, s).otherwise(F.lit(1.0)))
     return moments.withColumn("spreads", fixed)
 
 
-def role_of_part() -> Column:
-    return F.when(F.col("part") == "refit", "refit").otherwise("inner")
-
-
 def standard_scores(x: Column) -> Column:
     """Inputs on the scale of the joined moments. Array functions keep the generated code small."""
     moved = F.zip_with(x, F.col("centres"), lambda value, centre: value - centre)
@@ -495,44 +487,6 @@ def clipped_scores(x: Column) -> Column:
     return F.transform(standard_scores(x), lambda z: F.greatest(F.least(z, top), bottom))
 
 
-def summed_products(
-    rows: DataFrame, keys: Sequence[str], vector: str, size: int, key_schema: str
-) -> DataFrame:
-    """Cross-product cells of ``1, vector`` per key, added in NumPy per task and then by Spark."""
-    upper = np.triu_indices(size + 1)
-    keys = list(keys)
-
-    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, group in batch.groupby(keys, sort=False):
-                x = np.column_stack([np.ones(len(group)), np.vstack(group[vector].to_numpy())])
-                cells = (x.T @ x)[upper]
-                held[key] = held[key] + cells if key in held else cells
-                if len(held) >= 256:
-                    yield emit(held)
-                    held = {}
-        if held:
-            yield emit(held)
-
-    def emit(held: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        frame = pd.DataFrame(list(held), columns=keys)
-        frame["cells"] = list(held.values())
-        return frame
-
-    partial = rows.select(*keys, vector).mapInPandas(
-        per_task, f"{key_schema}, cells array<double>"
-    )
-    return (
-        partial.select(*keys, F.posexplode("cells").alias("_at", "_cell"))
-        .groupBy(*keys, "_at")
-        .agg(F.sum("_cell").alias("_cell"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_cell"))).alias("_cells"))
-        .select(*keys, F.col("_cells._cell").alias("cells"))
-    )
-
-
 RIDGE = T.StructType(
     [
         T.StructField("alpha", T.DoubleType()),
@@ -567,32 +521,6 @@ def choose_ridge(
     }
 
 
-def fit_ridge_parts(
-    parts: DataFrame,
-    keys: Sequence[str],
-    key_schema: str,
-    size: int,
-    alphas: Sequence[float] = RIDGE_ALPHAS,
-) -> DataFrame:
-    """Ridge per key from rows tagged ``train``, ``valid`` and ``refit`` with input array ``x``."""
-    keys = list(keys)
-    moments = settle(with_unit_spread(input_moments(parts, keys, size)))
-    scored = parts.withColumn("role", role_of_part()).join(moments, [*keys, "role"])
-    scored = scored.select(
-        *keys, "part", F.concat(clipped_scores(F.col("x")), F.array("y")).alias("_u")
-    )
-    cells = summed_products(
-        scored, [*keys, "part"], "_u", size + 1, f"{key_schema}, part string"
-    )
-    table = cells.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("part") == p, F.col("cells"))).alias(p)
-            for p in ("train", "valid", "refit")
-        ]
-    )
-    return ridge_models(table, keys, alphas).join(moments, [*keys, "role"])
-
-
 def ridge_models(products: DataFrame, keys: Sequence[str], penalties: Sequence[float]) -> DataFrame:
     """``keys, setting, role, intercept, weights`` from the cross products of the three parts."""
     penalties = tuple(penalties)
@@ -628,7 +556,8 @@ def fit_ridge(
     """Ridge on clipped standard scores for every coin, horizon and window."""
     moments = settle(with_unit_spread(window_moments(rows, folds, inputs, study)))
     products = window_products(rows, folds, inputs, study, moments)
-    return ridge_models(products, MODEL_KEYS, RIDGE_ALPHAS).join(moments, [*MODEL_KEYS, "role"])
+    models = ridge_models(products, MODEL_KEYS, RIDGE_ALPHAS)
+    return models.join(moments.drop("rows"), [*MODEL_KEYS, "role"])
 
 
 def predict_scores(x: Column) -> Column:

@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapegrid.config import QUANTILES, Study
+from tapegrid.config import QUANTILES, RIDGE_ALPHAS, Study
 from tapegrid.operators.blocks import join_ranks, order_counts, quantiles_of
 from tapegrid.operators.fitting import (
     FAMILIES,
     MODEL_KEYS,
     Family,
-    fit_ridge_parts,
-    input_moments,
+    pooled_spreads,
     predict_scores,
-    role_of_part,
-    role_rows,
+    ridge_models,
     standard_scores,
     training_means,
+    window_moments,
+    window_products,
     with_unit_spread,
 )
 from tapegrid.operators.folds import Fold, horizon_rows, monthly_folds, test_rows, window_rows
@@ -167,15 +167,15 @@ def pooled_out_of_sample(
     study = study.with_changes(horizons=horizons)
     rows = horizon_rows(frame, inputs, horizons)
     folds = monthly_folds(months, study)
-    parts = role_rows(rows, folds, inputs, study)
-    moments = settle(with_unit_spread(input_moments(parts, MODEL_KEYS, len(inputs))))
-    own_scale = standard_scores(F.col("x")).alias("x")
-    scaled = parts.withColumn("role", role_of_part()).join(moments, [*MODEL_KEYS, "role"])
-    scaled = scaled.select(*MODEL_KEYS, "part", "pos", "y", "fwd_logret", own_scale)
+    raw = settle(window_moments(rows, folds, inputs, study))
+    moments = with_unit_spread(raw).drop("rows")
     pool_keys = ["horizon", "window"]
-    models = settle(
-        fit_ridge_parts(scaled, pool_keys, "horizon int, window string", len(inputs))
-    )
+    pooled = settle(pooled_spreads(raw, len(inputs)))
+    across = pooled.select(*pool_keys, "role", F.col("spreads").alias("_across"))
+    both = F.zip_with("spreads", "_across", lambda own, across: own * across)
+    scales = moments.join(across, [*pool_keys, "role"]).withColumn("spreads", both).drop("_across")
+    products = window_products(rows, folds, inputs, study, settle(scales), pool_keys)
+    models = settle(ridge_models(products, pool_keys, RIDGE_ALPHAS).join(pooled, [*pool_keys, "role"]))
     own = moments.where(F.col("role") == "refit").drop("role")
     final = models.where(F.col("role") == "refit").drop("role", "setting")
     first = models.where(F.col("role") == "inner").drop("role", "setting")

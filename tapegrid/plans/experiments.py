@@ -516,19 +516,20 @@ def coins_and_portfolio(strategy: DataFrame, portfolio: DataFrame, fee: str = "t
 
 
 def pooling_dailies(
-    lab: Lab, horizon: int, periods: Sequence[str] = ("research", "forward")
+    lab: Lab, horizons: tuple[int, ...] | None = None, periods: Sequence[str] = ("research", "forward")
 ) -> tuple[DataFrame, DataFrame]:
+    """Daily skill of one model for all coins and of one each; all horizons in one walk."""
     keys = ("coin", "horizon", "period")
-    pooled = union([lab.pooled_predictions(period=p, horizons=(horizon,)) for p in periods])
-    single = union([lab.predictions("ridge", period=p, horizons=(horizon,)) for p in periods])
+    pooled = union([lab.pooled_predictions(period=p, horizons=horizons) for p in periods])
+    single = union([lab.predictions("ridge", period=p, horizons=horizons) for p in periods])
     return (
-        lab.daily_ic(("pooling", "one", horizon, tuple(periods)), pooled, keys),
-        lab.daily_ic(("pooling", "each", horizon, tuple(periods)), single, keys),
+        lab.daily_ic(("pooling", "one", horizons, tuple(periods)), pooled, keys),
+        lab.daily_ic(("pooling", "each", horizons, tuple(periods)), single, keys),
     )
 
 
 def pooled_model_tables(lab: Lab, horizon: int) -> dict[str, DataFrame]:
-    pooled, single = pooling_dailies(lab, horizon)
+    pooled, single = pooling_dailies(lab, (horizon,))
     table = decisions.comparison_table(pooled, single, lab.sigma, ["horizon", "period"], lab.study)
     both = union(
         [pooled.withColumn("model", F.lit("pooled")), single.withColumn("model", F.lit("per_coin"))]

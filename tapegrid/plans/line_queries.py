@@ -284,7 +284,7 @@ def _(spark, folder):
 
 @query("pooled_predictions", None)
 def _(spark, folder):
-    return lines_lab(spark, folder).pooled_predictions(horizons=(2,)).select(*PRED_COLUMNS)
+    return lines_lab(spark, folder).pooled_predictions().select(*PRED_COLUMNS)
 
 
 PAIR = ("x_trail_ret_2", "x_candle_body_pct")
@@ -340,6 +340,75 @@ def _(spark, folder):
     ).select(*PRED_COLUMNS)
 
 
+def pooled_sql(period: str, tag: str = "") -> o.Query:
+    """Two-input ridge over all coins: own scale, then the scale of all, six penalties, one choice."""
+    q, _ = walked(period, inputs=PAIR, tag=tag)
+    a, b = PAIR
+    own, key = "coin, horizon, test_month", "horizon, test_month"
+    alphas = ", ".join(f"({x})" for x in (1e2, 1e3, 1e4, 1e5, 1e6, 1e7))
+    det = "((saa + alpha) * (sbb + alpha) - sab * sab)"
+    za = f"least(greatest(({a} - ma) / sa / qa, -5), 5)"
+    zb = f"least(greatest(({b} - mb) / sb / qb, -5), 5)"
+    return q.extend(
+        {
+            f"own{tag}": f"""SELECT {own}, role, avg({a}) AS ma, stddev_pop({a}) AS sa, avg({b}) AS mb,
+                stddev_pop({b}) AS sb FROM roles{tag} GROUP BY ALL""",
+            f"across{tag}": f"""SELECT {key}, role, stddev_pop(({a} - ma) / sa) AS qa,
+                stddev_pop(({b} - mb) / sb) AS qb
+                FROM roles{tag} JOIN own{tag} USING ({own}, role) GROUP BY ALL""",
+            f"scales{tag}_two": f"SELECT * FROM own{tag} JOIN across{tag} USING ({key}, role)",
+            f"scored{tag}": f"""SELECT {key}, role, y, {za} AS za, {zb} AS zb
+                FROM roles{tag} JOIN scales{tag}_two USING ({own}, role)""",
+            f"sums{tag}": f"""SELECT {key}, role, avg(za) AS ca, avg(zb) AS cb, avg(y) AS cy,
+                count(*) * var_pop(za) AS saa, count(*) * var_pop(zb) AS sbb,
+                count(*) * covar_pop(za, zb) AS sab, count(*) * covar_pop(za, y) AS say,
+                count(*) * covar_pop(zb, y) AS sby FROM scored{tag} GROUP BY ALL""",
+            f"fits{tag}": f"""SELECT {key}, role, alpha, ca, cb, cy,
+                (say * (sbb + alpha) - sby * sab) / {det} AS w1,
+                (sby * (saa + alpha) - say * sab) / {det} AS w2
+                FROM sums{tag} CROSS JOIN (VALUES {alphas}) t(alpha)""",
+            f"errors{tag}": f"""SELECT {key}, alpha,
+                avg((y - (cy + w1 * ({za} - ca) + w2 * ({zb} - cb))) ** 2) AS mse
+                FROM (SELECT * FROM fitting{tag} WHERE valid) v
+                JOIN (SELECT * FROM scales{tag}_two WHERE role = 'inner') m USING ({own})
+                JOIN (SELECT * EXCLUDE (role) FROM fits{tag} WHERE role = 'inner') f USING ({key}) GROUP BY ALL""",
+            f"picked{tag}": f"""SELECT {key}, alpha FROM errors{tag} QUALIFY row_number() OVER
+                (PARTITION BY {key} ORDER BY mse, alpha) = 1""",
+            f"model{tag}": f"""SELECT {own}, role, w1, w2, cy - w1 * ca - w2 * cb AS intercept, ma, sa, mb, sb,
+                qa, qb, 'alpha=' || format('{{:.0e}}', alpha) AS setting
+                FROM fits{tag} JOIN picked{tag} USING ({key}, alpha) JOIN scales{tag}_two USING ({key}, role)""",
+            **o.levels(f"model{tag}", f"(intercept + w1 * {za} + w2 * {zb})", tag),
+        }
+    )
+
+
+def pooled_pair(spark, folder, period):
+    months, end = PERIODS[period]
+    return walkforward.pooled_out_of_sample(lines_lab(spark, folder).features, S, PAIR, months, end)
+
+
+@query("pooled_two_inputs", pooled_sql("research").select(PRED, "predictions"))
+def _(spark, folder):
+    return pooled_pair(spark, folder, "research").select(*PRED_COLUMNS)
+
+
+@query("pooled_two_inputs_forward", pooled_sql("forward").select(PRED, "predictions"))
+def _(spark, folder):
+    return pooled_pair(spark, folder, "forward").select(*PRED_COLUMNS)
+
+
+@query(
+    "pooled_two_inputs_settings",
+    pooled_sql("research").sql(
+        f"""SELECT DISTINCT horizon, test_month, setting FROM predictions WHERE coin = '{COINS[0]}'"""
+    ),
+)
+def _(spark, folder):
+    """The penalty each month's model of all coins has chosen."""
+    frame = pooled_pair(spark, folder, "research")
+    return frame.where(F.col("coin") == COINS[0]).select("horizon", "test_month", "setting").distinct()
+
+
 @query(
     "input_moments",
     walked(inputs=OWN)[0]
@@ -1738,11 +1807,11 @@ def _(spark, folder):
 def _(spark, folder):
     """One ridge for all coins against one ridge each."""
     lab = lines_lab(spark, folder)
-    pooled, single = exp.pooling_dailies(lab, 2, ("research",))
+    pooled, single = exp.pooling_dailies(lab)
     return decisions.comparison_table(pooled, single, lab.sigma, ["horizon", "period"], S)
 
 
 @query("pooled_settings", None)
 def _(spark, folder):
-    frame = lines_lab(spark, folder).pooled_predictions(horizons=(2,))
-    return decisions.settings_table(frame.where(F.col("coin") == COINS[0]), ["period"])
+    frame = lines_lab(spark, folder).pooled_predictions()
+    return decisions.settings_table(frame.where(F.col("coin") == COINS[0]), ["horizon", "period"])

@@ -168,3 +168,25 @@ def test_the_shared_folder_is_the_sessions():
     assert shared_folder(FakeSession({}, folder="hdfs://set/by/code")) == "hdfs://set/by/code"
     with pytest.raises(RuntimeError):
         shared_folder(FakeSession({}))
+
+
+def test_masked_ranks_are_the_ranks_of_each_set(spark):
+    rng = np.random.default_rng(12)
+    table = pd.DataFrame(
+        {"k": rng.integers(0, 3, 400), "v": rng.integers(0, 60, 400).astype(float), "m": rng.integers(0, 8, 400), "w": rng.normal(size=400)}
+    )
+    table.loc[table["k"] == 2, "m"] &= 3  # a set without rows
+    df = spark.createDataFrame(table).repartition(5)
+    members = [F.col("m").bitwiseAND(F.lit(1 << i)) != 0 for i in range(3)]
+    found = blocks.masked_ranks(df, ["k"], "v", members, [F.col("w")] * 3).collect()
+    for i in range(3):
+        inside = table[(table["m"] // 2**i) % 2 == 1]
+        ranks = inside.groupby("k")["v"].rank()
+        z = (ranks - ranks.groupby(inside["k"]).transform("mean")) / ranks.groupby(inside["k"]).transform("std", ddof=0)
+        wanted = {(k, v): zs for k, v, zs in zip(inside["k"], inside["v"], z)}
+        sums = inside.groupby(["k", "v"])["w"].sum().to_dict()
+        known = {(r["k"], r["v"]): r for r in found if r["z"][i] is not None}
+        assert set(known) == set(wanted)
+        for key, r in known.items():
+            assert abs(r["z"][i] - wanted[key]) < 1e-9 and abs(r["sums"][i] - sums[key]) < 1e-9
+            assert r["n"][i] == (inside["k"] == key[0]).sum()

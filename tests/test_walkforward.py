@@ -176,14 +176,51 @@ def test_ridge(frame, panel, study):
 
 
 def test_ridge_clips_far_inputs(spark):
-    rng = np.random.default_rng(1)
-    x = rng.standard_normal((400, 1))
-    rows = [(p, [float(v[0])], float(v[0] + 0.1 * e)) for p in ("train", "valid", "refit") for v, e in zip(x, rng.standard_normal(400))]
-    parts = spark.createDataFrame([("k", *r) for r in rows], "k string, part string, x array<double>, y double")
-    model = fitting.fit_ridge_parts(parts, ["k"], "k string", 1).where("role = 'refit'")
-    far = model.crossJoin(spark.createDataFrame([(50.0,), (5_000.0,)], "v double"))
-    found = far.select(fitting.predict_scores(F.array("v")).alias("p")).collect()
-    assert found[0]["p"] == found[1]["p"] > 1
+    model = spark.createDataFrame(
+        [(0.5, [2.0], [1.0], [3.0])],
+        "intercept double, weights array<double>, centres array<double>, spreads array<double>",
+    )
+    far = model.crossJoin(spark.createDataFrame([(7.0,), (50.0,), (5_000.0,), (-900.0,)], "v double"))
+    found = [r["p"] for r in far.select(fitting.predict_scores(F.array("v")).alias("p")).collect()]
+    assert found == [0.5 + 2 * 2, 10.5, 10.5, -9.5]
+
+
+def test_masks_are_the_roles_of_the_windows(frame, study):
+    """Bits of a row against the rows of every window, at any number of windows a mask."""
+    months = [f"2024-{m:02d}" for m in range(3, 7)]
+    for policy in folds.RETRAINING:
+        table = folds.monthly_folds(months, study, policy)
+        rows = folds.horizon_rows(frame, INPUTS, (H,))
+        wanted = {
+            (r["coin"], r["pos"], r["window"], role)
+            for r in folds.window_rows(rows, table, INPUTS, study).collect()
+            for role, used in (("inner", r["train"]), ("refit", r["refit"]))
+            if used
+        }
+        windows = folds.distinct_windows(table)
+        masked = rows.withColumn("_mask", folds.role_mask(windows, INPUTS, study)).select("coin", "pos", "_mask")
+        found = {
+            (r["coin"], r["pos"], f.window, role)
+            for r in masked.collect()
+            for w, f in enumerate(windows)
+            for i, role in enumerate(folds.ROLES)
+            if r["_mask"] >> (2 * w + i) & 1
+        }
+        assert found == wanted and found
+
+
+def test_more_windows_than_a_mask_holds(frame, study, monkeypatch):
+    rows, table = folds.horizon_rows(frame, INPUTS, (H,)), folds.monthly_folds(MONTHS, study)
+
+    def fits():
+        rho = fitting.input_rank_correlations(rows, table, INPUTS, study).toPandas()
+        ridge = fitting.fit_ridge(rows, table, INPUTS, study).toPandas()
+        return [t.sort_values(k).reset_index(drop=True) for t, k in ((rho, ["coin", "window", "role", "place"]), (ridge, ["coin", "window", "role"]))]
+
+    whole = fits()
+    monkeypatch.setattr(folds, "WINDOWS_PER_MASK", 1)
+    for a, b in zip(whole, fits(), strict=True):
+        pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
 
 
 def test_pooled_model_with_one_coin_is_the_coins_own(frame, study):
