@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -83,6 +84,19 @@ def swaps(words: set[str], settings: Settings) -> list[set[str]]:
     return [{m.get(w, w) for w in words} for m in (following, neutral)] if following else []
 
 
+def counterfactuals(words: set[str], settings: Settings) -> list[set[str]]:
+    """Texts that may score no differently: the text with its identity terms exchanged, or, where it
+    has none, with a term put in and with that term exchanged for the next of its group. The term is
+    drawn by a digest of the words."""
+    found = swaps(words, settings)
+    if found or not settings.identity:
+        return found
+    draw = zlib.crc32(" ".join(sorted(words)).encode())
+    group = settings.identity[draw % len(settings.identity)]
+    first = draw // len(settings.identity) % len(group)
+    return [words | {group[first]}, words | {group[(first + 1) % len(group)]}]
+
+
 # --- training -------------------------------------------------------------------------------------
 
 
@@ -140,30 +154,36 @@ def vocabulary(rows: DataFrame, settings: Settings) -> list[str]:
 
 
 def encoded_rows(rows: DataFrame, terms: Sequence[str], settings: Settings) -> list[tuple]:
-    """(toxic, feature numbers, feature numbers of the swapped texts) of the bounded sample."""
+    """(toxic, feature numbers, changes) of the bounded sample: per counterfactual the features that
+    it takes out and those it puts in, which are few."""
     shared = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = shared.value
 
-        def code(words: set[str]) -> list[int]:
-            return sorted(numbers[f] for f in features(words) if f in numbers)
+        def code(words: set[str]) -> set[int]:
+            return {numbers[f] for f in features(words) if f in numbers}
+
+        def changes(words: set[str], own: set[int]) -> list[list[list[int]]]:
+            others = map(code, counterfactuals(words, settings))
+            return [[sorted(own - other), sorted(other - own)] for other in others]
 
         for frame in frames:
             words = [set(TOKEN.findall((t or "").lower())) for t in frame["text"]]
+            own = [code(w) for w in words]
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"],
                     "toxic": (frame["toxic"] > 0).astype(int),
-                    "own": [code(w) for w in words],
-                    "swapped": [[code(s) for s in swaps(w, settings)] for w in words],
+                    "own": [sorted(o) for o in own],
+                    "changes": [changes(w, o) for w, o in zip(words, own, strict=True)],
                 }
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, toxic int, own array<int>, swapped array<array<int>>"
+    schema = f"doc_id {kind}, toxic int, own array<int>, changes array<array<array<int>>>"
     found = rows.select("doc_id", "text", "toxic").mapInPandas(run, schema).collect()
-    return sorted((r["doc_id"], r["toxic"], r["own"], r["swapped"]) for r in found)
+    return sorted((r["doc_id"], r["toxic"], r["own"], r["changes"]) for r in found)
 
 
 def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,32 +193,45 @@ def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), columns
 
 
-def fit_weights(rows: Sequence[tuple], size: int, settings: Settings) -> tuple[float, np.ndarray]:
-    """Logistic regression by Adam on the whole sample.
+class Loss:
+    """Mean log loss of the sample, plus ``fairness`` times the mean squared difference of the log odds
+    of a text and of its counterfactuals, plus a ridge term. The last parameter is the bias."""
+
+    def __init__(self, rows: Sequence[tuple], size: int, settings: Settings):
+        self.toxic = np.array([r[1] for r in rows], dtype=float)
+        self.at, self.column = _flat([r[2] for r in rows])
+        pairs = [change for r in rows for change in r[3]]
+        out_at, out = _flat([taken for taken, _ in pairs])
+        in_at, put = _flat([put for _, put in pairs])
+        self.pair_at, self.pair_column = np.append(out_at, in_at), np.append(out, put)
+        self.sign = np.append(np.ones(len(out)), -np.ones(len(put)))
+        self.pairs, self.size, self.settings = len(pairs), size, settings
+
+    def __call__(self, parameters: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and gradient."""
+        weights, bias, n = parameters[:-1], parameters[-1], len(self.toxic)
+        logit = np.clip(np.bincount(self.at, weights[self.column], n) + bias, -30, 30)
+        error = (1 / (1 + np.exp(-logit)) - self.toxic) / n
+        ridge = self.settings.ridge
+        value = np.mean(np.log1p(np.exp(logit)) - self.toxic * logit) + ridge / 2 * weights @ weights
+        gradient = np.append(np.bincount(self.column, error[self.at], self.size) + ridge * weights, error.sum())
+        if self.pairs:
+            gap = np.bincount(self.pair_at, self.sign * weights[self.pair_column], self.pairs)
+            value += self.settings.fairness * np.mean(gap**2)
+            back = 2 * self.settings.fairness * gap / self.pairs
+            gradient[:-1] += np.bincount(self.pair_column, self.sign * back[self.pair_at], self.size)
+        return float(value), gradient
 
-    The loss is the mean log loss, plus ``fairness`` times the mean squared difference of the log
-    odds of a text and of its identity swaps, plus a ridge term.
-    """
-    toxic = np.array([r[1] for r in rows], dtype=float)
-    at, column = _flat([r[2] for r in rows])
-    pairs = [(i, swapped) for i, r in enumerate(rows) for swapped in r[3]]
-    origin = np.array([i for i, _ in pairs], dtype=np.int64)
-    pair_at, pair_column = _flat([s for _, s in pairs])
-    n = len(rows)
+
+def fit_weights(rows: Sequence[tuple], size: int, settings: Settings) -> tuple[float, np.ndarray]:
+    """Logistic regression with the counterfactual penalty, by Adam on the whole sample."""
+    loss = Loss(rows, size, settings)
+    n, toxic = len(rows), loss.toxic.sum()
     parameters = np.zeros(size + 1)
-    parameters[-1] = np.log((toxic.sum() + 0.5) / (n - toxic.sum() + 1.5))
+    parameters[-1] = np.log((toxic + 0.5) / (n - toxic + 1.5))
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, settings.steps + 1 if 0 < toxic.sum() < n else 1):
-        weights, bias = parameters[:-1], parameters[-1]
-        logit = np.bincount(at, weights[column], n) + bias
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) / n
-        gradient = np.append(np.bincount(column, error[at], size) + settings.ridge * weights, error.sum())
-        if len(pairs):
-            moved = np.bincount(pair_at, weights[pair_column], len(pairs)) + bias
-            gap = 2 * settings.fairness * (logit[origin] - moved) / len(pairs)
-            back = np.bincount(origin, gap, n)
-            gradient[:-1] += np.bincount(column, back[at], size)
-            gradient[:-1] -= np.bincount(pair_column, gap[pair_at], size)
+    for step in range(1, settings.steps + 1 if 0 < toxic < n else 1):
+        gradient = loss(parameters)[1]
         mean += 0.1 * (gradient - mean)
         square += 0.001 * (gradient**2 - square)
         rate = settings.learning_rate * min(1.0, 2 * (1 - step / (settings.steps + 1)))
@@ -266,8 +299,21 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
 
+def flagged_mentions(docs: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:  # noqa: B008
+    """``term, clean, flagged``: of the texts under one half, how many a neutral mention of each identity
+    term puts at one half or more."""
+    terms = F.array(*[F.lit(t) for group in settings.identity for t in group])
+    clean = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("score", score_column(model, docs))
+    told = clean.where("score < 0.5").select("text", F.explode(terms).alias("term"))
+    told = told.withColumn("text", F.concat_ws(" ", "text", "term"))
+    return (
+        told.withColumn("score", score_column(model, docs))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("clean"), F.count_if(F.col("score") >= 0.5).alias("flagged"))
+    )
+
+
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under one half, all columns kept."""
-    return docs.withColumn("_toxic_score", score_column(model, docs, text_col)).where(
-        F.col("_toxic_score") < 0.5
-    ).drop("_toxic_score")
+    score = score_column(model, docs, text_col)
+    return docs.select(F.struct("*").alias("row"), score.alias("score")).where("score < 0.5").select("row.*")

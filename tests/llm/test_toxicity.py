@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tapegrid.llm import toxicity
@@ -96,3 +97,52 @@ def test_swaps_exchange_within_a_group_and_with_the_neutral_term():
     found = toxicity.swaps(words, toxicity.Settings())
     assert {"the", "christian", "men"} in found and {"the", "person"} in found
     assert toxicity.swaps({"the"}, toxicity.Settings()) == []
+
+
+def test_texts_without_a_term_get_one(spark):
+    settings = toxicity.Settings()
+    words = {"plain", "words"}
+    first, second = toxicity.counterfactuals(words, settings)
+    (a,), (b,) = first - words, second - words
+    group = next(g for g in settings.identity if a in g)
+    assert b == group[(group.index(a) + 1) % len(group)] and words <= first & second
+    assert toxicity.counterfactuals(words, settings) == [first, second]
+    assert toxicity.counterfactuals({"women"}, settings) == toxicity.swaps({"women"}, settings)
+    docs, labels = frames(spark, *labelled())
+    rows = toxicity.training_rows(docs, labels, SETTINGS)
+    sample = toxicity.encoded_rows(rows, toxicity.vocabulary(rows, SETTINGS), SETTINGS)
+    assert all(len(r[3]) == 2 and all(put for _, put in r[3]) for r in sample)
+
+
+def test_gradient_of_the_loss():
+    rng = np.random.default_rng(7)
+
+    def some(n):
+        return sorted(rng.choice(12, rng.integers(0, n), replace=False).tolist())
+
+    rows = [(i, int(rng.random() < 0.4), some(8), [[some(3), some(3)] for _ in range(rng.integers(0, 3))]) for i in range(30)]
+    loss = toxicity.Loss(rows, 12, toxicity.Settings(fairness=3.0, ridge=0.05))
+    at = rng.normal(size=13)
+    found = loss(at)[1]
+    for i in range(13):
+        step = np.zeros(13)
+        step[i] = 1e-5
+        assert abs((loss(at + step)[0] - loss(at - step)[0]) / 2e-5 - found[i]) < 1e-7
+
+
+def test_fewer_neutral_mentions_are_flagged(spark):
+    docs, labels = frames(spark, *labelled(group="muslim"))
+    few = toxicity.Settings(max_rows=400, terms=200, steps=200, fairness=0.0)
+    flagged = []
+    for settings in (few, SETTINGS):
+        found = toxicity.flagged_mentions(docs, toxicity.train(docs, labels, settings), settings).collect()
+        assert len(found) == sum(map(len, settings.identity))
+        flagged.append(sum(r["flagged"] for r in found))
+    assert flagged[1] < flagged[0]
+
+
+def test_clashing_columns_stay(spark):
+    docs, labels = frames(spark, *labelled(60))
+    named = docs.selectExpr("*", "1 as row", "2 as _toxic_score")
+    kept = toxicity.keep_clean(named, toxicity.train(docs, labels, SETTINGS))
+    assert kept.columns == named.columns and kept.count() > 0
