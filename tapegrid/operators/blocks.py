@@ -282,18 +282,6 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str) -> D
     return ranked.groupBy(*keys).agg(F.avg(F.col("_za") * F.col("_zb")).alias(name))
 
 
-def rank_products_sum(
-    df: DataFrame, keys: Sequence[str], value: str, z: str, name: str
-) -> DataFrame:
-    """Mean product of the standardised ranks of ``value`` and a given standardised column.
-
-    The given column is summed per distinct value first, so no rank is joined back to the rows.
-    """
-    ordered = order_counts(df, keys, value, {"_z": F.col(z)})
-    product = F.sum(standard_rank() * F.col("_z")) / F.max("n")
-    return ordered.groupBy(*keys).agg(product.alias(name))
-
-
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[str, float]
 ) -> DataFrame:
