@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -22,6 +23,10 @@ UNKNOWN_TEXT = " \u2047 "
 NO_PAIR = np.iinfo(np.int32).max
 CACHED_UNITS = 150_000
 WORDS_PER_ROUND = 1 << 15
+# Words of more letters are encoded one by one, their occurrences held by rank.
+LONG_WORD = 1 << 9
+# So few occurrences are merged one after the other instead of as arrays.
+FEW = 8
 ROWS_AT_ONCE = 128
 
 
@@ -69,8 +74,8 @@ class Pieces:
     def _pair_tables(self, plain: Sequence[int], ids: dict[str, int]) -> None:
         """Merged piece of every pair of pieces, as an open-addressed table of arrays.
 
-        A merge is ``careful`` if its piece can meet a neighbour in a pair of the same or a better
-        rank; then another merge may come between two of its occurrences.
+        A merge is ``careful`` if its piece, or one of the same rank, can meet a neighbour in a pair of
+        the same or a better rank; then another merge may come between two of its occurrences.
         """
         keys, merged = [], []
         careful = np.zeros(len(self.names), dtype=bool)
@@ -87,7 +92,9 @@ class Pieces:
                 for part in (left, right):
                     if len(self.names[part]) > 1 and self.rank[i] <= self.rank[part]:
                         careful[part] = True
-        self.careful = careful
+        self.careful_ranks = set(self.rank[careful].tolist())
+        self.careful = np.isin(self.rank, self.rank[careful])
+        self.pair_of = dict(zip(keys, merged, strict=True))
         bits = max(int(len(keys) * 4).bit_length(), 4)
         self.shift = np.uint64(64 - bits)
         table = np.full(1 << bits, -1, dtype=np.int64)
@@ -192,6 +199,117 @@ class Pieces:
             pair[inner] = self.merged(symbol[inner], symbol[inner + 1])
         return self._gathered(done_symbol, done_word, len(words))
 
+    def encode_long(self, word: str) -> bytes:
+        """Ids of one long word, by the same rounds, each of which touches only its own merges.
+
+        Symbols are linked to their neighbours instead of moved together, and the places of pairs wait
+        in a list per rank. A round takes the best list and merges its occurrences from the left
+        without overlap, up to the first that makes a pair of the same or a better rank; the others
+        wait again. So a word of n letters costs n log n, however many ranks it goes through.
+        """
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbol = self.char[points].astype(np.int64)
+        symbol = np.where(symbol < 0, -1 - points.astype(np.int64), symbol)
+        n = len(symbol)
+        # One more place than symbols: the neighbour of both ends, in no pair.
+        symbol = np.append(symbol, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n], before[0] = n, n
+        alive = np.ones(n + 1, dtype=bool)
+        pair = self.merged(symbol, symbol[after])
+        waiting: dict[int, list[int]] = {}
+        best: list[int] = []
+
+        def wait_one(rank: int, place: int) -> None:
+            held = waiting.get(rank)
+            if held is None:
+                waiting[rank] = [place]
+                heapq.heappush(best, rank)
+            elif rank in self.careful_ranks:
+                heapq.heappush(held, place)
+            else:
+                held.append(place)
+
+        def wait(places: np.ndarray) -> None:
+            for rank, place in zip(self.rank[pair[places]].tolist(), places.tolist(), strict=True):
+                wait_one(rank, place)
+
+        def merge_few(rank: int, places: list[int]) -> list[int]:
+            """Merges from the left; the places left over when a pair as good comes up."""
+            for i, place in enumerate(places):
+                made = int(pair[place])
+                if not alive[place] or made < 0 or self.rank[made] != rank:
+                    continue
+                gone = int(after[place])
+                symbol[place], alive[gone], after[place] = made, False, after[gone]
+                before[after[gone]] = place
+                least = NO_PAIR
+                for left in (int(before[place]), place):
+                    if left == n:
+                        continue
+                    new = self.pair_of.get(int(symbol[left]) << 32 | int(symbol[after[left]]), -1)
+                    pair[left] = new
+                    if new >= 0:
+                        least = min(least, int(self.rank[new]))
+                        wait_one(int(self.rank[new]), left)
+                if least <= rank:
+                    return places[i + 1 :]
+            return []
+
+        wait(np.flatnonzero(pair >= 0))
+        portion: dict[int, int] = {}
+        while best:
+            rank = best[0]
+            held, most = waiting[rank], portion.get(rank, FEW)
+            if rank in self.careful_ranks and len(held) > most:
+                # The leftmost ones; more of them the longer none has come between.
+                found = [heapq.heappop(held) for _ in range(most)]
+                portion[rank] = 2 * most
+            else:
+                found = waiting.pop(rank)
+                heapq.heappop(best)
+            if len(found) <= FEW:
+                left_over = merge_few(rank, sorted(set(found)))
+                for place in left_over:
+                    wait_one(rank, place)
+                if left_over:
+                    portion[rank] = 2 * (len(found) - len(left_over))
+                continue
+            at = np.unique(np.array(found))
+            at = at[alive[at] & (pair[at] >= 0)]
+            at = at[self.rank[pair[at]] == rank]
+            if not len(at):
+                continue
+            joined = np.zeros(len(at), dtype=bool)
+            joined[1:] = at[1:] == after[at[:-1]]
+            run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+            take = at[(np.arange(len(at)) - run) % 2 == 0]
+            made = pair[take].astype(np.int64)
+            if self.careful[made].any():
+                # What stands left of an occurrence when its turn comes: the one before it is merged.
+                left = symbol[before[take]]
+                touch = np.flatnonzero(after[after[take[:-1]]] == take[1:])
+                left[touch + 1] = made[touch]
+                right = symbol[after[after[take]]]
+                new = np.stack([self.merged(left, made), self.merged(made, right)])
+                bad = np.flatnonzero(((new >= 0) & (self.rank[new] <= rank)).any(axis=0))
+                if len(bad):
+                    take, made = take[: bad[0] + 1], made[: bad[0] + 1]
+                    portion[rank] = 2 * len(take)
+                    wait(at[at > take[-1]])
+            gone = after[take]
+            symbol[take] = made
+            alive[gone] = False
+            after[take] = after[gone]
+            before[after[take]] = take
+            before[0], after[n] = n, n
+            touched = np.unique(np.concatenate([before[take], take]))
+            touched = touched[touched < n]
+            pair[touched] = self.merged(symbol[touched], symbol[after[touched]])
+            wait(touched[pair[touched] >= 0])
+        left = symbol[:n][alive[:n]]
+        return self._gathered([left], [np.zeros(len(left), dtype=np.int64)], 1)[0]
+
     def _pairs(self, symbol: np.ndarray, word: np.ndarray) -> np.ndarray:
         pair = np.full(len(symbol), -1, dtype=np.int32)
         if len(symbol) > 1:
@@ -275,6 +393,8 @@ class Encoder:
             self.known.clear()
         known = self.known
         fresh = list({u for text in units for u in text if u not in known})
+        long = [u for u in fresh if len(u) > LONG_WORD]
+        fresh = [u for u in fresh if len(u) <= LONG_WORD]
         start = 0
         while start < len(fresh):
             # So many words at once, fewer if they are long.
@@ -286,6 +406,8 @@ class Encoder:
             marked = [u.replace(" ", SPACE) for u in part]
             known.update(zip(part, self.pieces.encode_words(marked), strict=True))
             start = stop
+        for unit in long:
+            known[unit] = self.pieces.encode_long(unit.replace(" ", SPACE))
         end = np.int32(self.pieces.end).tobytes()
         joined = (b"".join([*map(known.__getitem__, text), end]) for text in units)
         return [np.frombuffer(ids, dtype=np.int32) for ids in joined]

@@ -55,6 +55,33 @@ def test_many_stray_bytes(library, encoder):
     assert encoder.pieces.decode(ids) == library.decode(ids)
 
 
+def test_long_words(library, encoder):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(100_000)), "".join(rng.choice("ACGT") for _ in range(100_000))]
+    texts += [c * 20_000 for c in "a=人𐍈"] + [unit * 3_000 for unit in ("th", "the", "and", "aab", "=-", "é人")]
+    texts += ["".join(rng.choice("then ad▁"[: rng.randint(2, 8)]) for _ in range(3_000)) for _ in range(40)]
+    texts += ["".join(rng.choice("then ad-=") for _ in range(3_000)).replace(" ", "") for _ in range(20)]
+    wanted = library.encode(texts, add_eos=True)
+    assert [f.tolist() for f in encoder.encode(texts)] == wanted
+
+
+@pytest.mark.parametrize("blanks", [15, 31, 47, 100, 399, 400, 511, 1_200, 4_000])
+def test_runs_of_blanks(library, encoder, blanks):
+    texts = [" " * blanks, " " * blanks + "x", "y" + " " * blanks + "x " + " " * blanks]
+    assert [f.tolist() for f in encoder.encode(texts)] == library.encode(texts, add_eos=True)
+
+
+def test_long_and_short_words_by_the_same_merges(library, encoder, monkeypatch):
+    texts = [*EDGES, *random_texts()][:800]
+    monkeypatch.setattr(pieces, "LONG_WORD", 0)
+    monkeypatch.setattr(pieces, "FEW", 1)
+    wanted = library.encode(texts, add_eos=True)
+    assert [f.tolist() for f in pieces.Encoder(model_path()).encode(texts)] == wanted
+    monkeypatch.setattr(pieces, "FEW", 1_000)
+    assert [f.tolist() for f in pieces.Encoder(model_path()).encode(texts)] == wanted
+
+
 def test_forgetting_words_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "CACHED_UNITS", 10)
     monkeypatch.setattr(pieces, "WORDS_PER_ROUND", 7)
