@@ -36,6 +36,11 @@ WINDOW_DAYS = 65_536
 FIRST_DAY = "1900-01-01"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _power(width: Column) -> Column:
     """10 to a whole power, exact up to 18."""
     return F.rpad(F.lit("1"), (width + 1).cast("int"), "0").cast("bigint")
@@ -74,45 +79,54 @@ def _feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A string of 2 to 36 digits to one of the same length, one to one."""
-    width = F.length(digits)
-    half = F.floor(width / 2).cast("int")
-    rest = (width - half).cast("int")
-    left, right = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, rest)
-    out = _feistel(left.cast("bigint"), right.cast("bigint"), _power(half), _power(rest), key, kind)
-    return F.concat(
-        F.lpad(out["a"].cast("string"), half, "0"), F.lpad(out["b"].cast("string"), rest, "0")
-    )
+    def halves(digits: Column) -> Column:
+        width = F.length(digits)
+        half = F.floor(width / 2).cast("int")
+        rest = (width - half).cast("int")
+        left, right = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, rest)
+        mixed = _feistel(left.cast("bigint"), right.cast("bigint"), _power(half), _power(rest), key, kind)
+        return _let(
+            mixed,
+            lambda out: F.concat(
+                F.lpad(out["a"].cast("string"), half, "0"), F.lpad(out["b"].cast("string"), rest, "0")
+            ),
+        )
+
+    return _let(digits, halves)
 
 
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string whose last digit is the check digit."""
-    places = F.sequence(F.lit(1), F.length(digits))
+    def total_of(digits: Column) -> Column:
+        def add(total: Column, place: Column) -> Column:
+            digit = F.substring(digits, place, F.lit(1)).cast("int")
+            twice = digit * 2
+            doubled = twice - F.when(twice > 9, 9).otherwise(0)
+            return total + F.when((F.length(digits) - place) % 2 == 1, doubled).otherwise(digit)
 
-    def add(total: Column, place: Column) -> Column:
-        digit = F.substring(digits, place, F.lit(1)).cast("int")
-        twice = digit * 2
-        doubled = twice - F.when(twice > 9, 9).otherwise(0)
-        return total + F.when((F.length(digits) - place) % 2 == 1, doubled).otherwise(digit)
+        return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
-    return F.aggregate(places, F.lit(0), add)
+    return _let(digits, total_of)
 
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """The digits of ``shape`` replaced in order; everything else stays."""
-    places = F.sequence(F.lit(1), F.length(shape))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
 
-    def put(acc: Column, place: Column) -> Column:
-        one = F.substring(shape, place, F.lit(1))
-        is_digit = one.between("0", "9")
-        return F.struct(
-            F.concat(
-                acc["out"], F.when(is_digit, F.substring(digits, acc["next"], F.lit(1))).otherwise(one)
-            ).alias("out"),
-            (acc["next"] + F.when(is_digit, 1).otherwise(0)).cast("int").alias("next"),
-        )
+    def filled(digits: Column) -> Column:
+        def put(acc: Column, place: Column) -> Column:
+            one = F.substring(shape, place, F.lit(1))
+            is_digit = one.between("0", "9")
+            return F.struct(
+                F.concat(
+                    acc["out"], F.when(is_digit, F.substring(digits, acc["next"], F.lit(1))).otherwise(one)
+                ).alias("out"),
+                (acc["next"] + F.when(is_digit, 1).otherwise(0)).cast("int").alias("next"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(shape)), start, put)["out"]
 
-    return F.aggregate(places, start, put)["out"]
+    return _let(digits, filled)
 
 
 def _part(text: Column, start: int, length: int) -> Column:
@@ -122,28 +136,55 @@ def _part(text: Column, start: int, length: int) -> Column:
 def _is_card(value: Column) -> Column:
     """Whether digits pass the Luhn check and are not all zero."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return (_luhn_sum(digits) % 10 == 0) & (F.regexp_replace(digits, "0", "") != "")
+    return _let(digits, lambda d: (_luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"))
 
 
 def card_pseudonym(value: Column, key: str) -> Column:
     """13 to 19 digits that pass the Luhn check: all but the check digit are permuted."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(_is_card(value), _refilled(value, F.concat(body, check)))
 
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
+    body = _let(digits, lambda d: permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))
+    return F.when(_is_card(value), _refilled(value, _let(body, checked)))
+
+
+def _first_fit(windows: Column) -> Column:
+    """Of windows in the order of their first group those that begin after the last one taken."""
+    none = F.filter(windows, lambda w: F.lit(False))
+    return F.aggregate(
+        windows,
+        F.struct(F.lit(0).alias("end"), none.alias("taken")),
+        lambda acc, w: F.when(w["first"] < acc["end"], acc).otherwise(
+            F.struct(
+                (w["first"] + w["groups"]).alias("end"), F.concat(acc["taken"], F.array(w)).alias("taken")
+            )
+        ),
+    )["taken"]
+
+
+def _card_at(cards: Column) -> Column:
+    """Per group, up to the last card: the number of the card that begins there, -2 inside, -1 outside."""
+
+    def marks(card: Column, number: Column) -> Column:
+        last = F.get(cards, number - 1)
+        end = F.when(number == 0, F.lit(0)).otherwise(last["first"] + last["groups"])
+        return F.concat(
+            F.array_repeat(F.lit(-1), card["first"] - end),
+            F.array(number),
+            F.array_repeat(F.lit(-2), card["groups"] - 1),
+        )
+
+    return F.flatten(F.transform(cards, marks))
 
 
 def _cards_inside(run: Column) -> Column:
-    """The cards of a run of digit groups, as ``(rank, longest first, first group, groups, card)``.
+    """The cards of a run of digit groups, as ``(first group, rank, longest first, groups, card)``.
 
     A card is 13 to 19 digits from the start of a group to the end of one that pass the Luhn check.
-    Cards that overlap give way: printed groupings stand before others, then the longer before the
-    shorter, then the left one before the right one.
+    Cards that overlap give way: printed groupings stand before others, then the left one before the
+    right one, then the longer before the shorter. Two scans from the left find them.
     """
     # The next 19 digits from every group on, as far as whole groups go.
     tails = F.regexp_extract_all(
@@ -156,27 +197,30 @@ def _cards_inside(run: Column) -> Column:
         return F.transform(
             valid,
             lambda c: F.struct(
+                place.alias("first"),
                 F.when(c.rlike(PRINTED), 0).when(c.rlike(PRINTED_19), 1).otherwise(2).alias("rank"),
                 (-F.length(F.regexp_replace(c, "[^0-9]", ""))).alias("longest"),
-                place.alias("first"),
                 F.size(F.split(c, r"[ \-]")).alias("groups"),
                 c.alias("card"),
             ),
         )
 
-    ranked = F.array_sort(F.flatten(F.transform(tails, windows)))
-    none = F.filter(ranked, lambda w: F.lit(False))
-    return F.aggregate(
-        ranked,
-        none,
-        lambda taken, w: F.when(
-            F.exists(
-                taken,
-                lambda t: (w["first"] < t["first"] + t["groups"]) & (t["first"] < w["first"] + w["groups"]),
-            ),
-            taken,
-        ).otherwise(F.concat(taken, F.array(w))),
-    )
+    def free(window: Column, taken: Column) -> Column:
+        places = F.sequence(window["first"], window["first"] + window["groups"] - 1)
+        return ~F.exists(places, lambda p: F.coalesce(F.get(taken, p), F.lit(-1)) != -1)
+
+    def both(ranked: Column, printed: Column) -> Column:
+        others = _let(
+            _card_at(printed),
+            lambda taken: F.filter(ranked, lambda w: F.when(w["rank"] < 2, False).otherwise(free(w, taken))),
+        )
+        return F.sort_array(F.concat(printed, _let(others, _first_fit)))
+
+    def settled(ranked: Column) -> Column:
+        printed = _let(F.filter(ranked, lambda w: w["rank"] < 2), _first_fit)
+        return _let(printed, lambda found: both(ranked, found))
+
+    return _let(F.sort_array(F.flatten(F.transform(tails, windows))), settled)
 
 
 def _answer(text: Column, found: Column, replaced: Column) -> Column:
@@ -190,23 +234,38 @@ def run_pseudonym(run: Column, key: str) -> Column:
     """
     groups = F.regexp_extract_all(run, F.lit(r"[0-9]+[ \-]?"), 0)
 
-    def put(cards: Column) -> Column:
+    def filled(groups: Column, cards: Column, card_at: Column) -> Column:
+        def with_end(card: Column) -> Column:
+            last = F.get(groups, card["first"] + card["groups"] - 1)
+            return F.concat(card["new"], F.regexp_extract(last, r"[ \-]$", 0))
+
         def group(one: Column, place: Column) -> Column:
-            def piece(here: Column) -> Column:
-                last = groups[(here["first"] + here["groups"] - 1).cast("int")]
-                return (
-                    F.when(here.isNull(), one)
-                    .when(here["first"] < place, F.lit(""))
-                    .otherwise(F.concat(card_pseudonym(here["card"], key), F.regexp_extract(last, r"[ \-]$", 0)))
-                )
-
-            of_group = F.filter(cards, lambda c: place.between(c["first"], c["first"] + c["groups"] - 1))
-            return _let(F.get(of_group, F.lit(0)), piece)
-
-        changed = F.filter(cards, lambda c: card_pseudonym(c["card"], key) != c["card"])
+            return _let(
+                F.get(card_at, place),
+                lambda number: F.when(number >= 0, with_end(F.get(cards, number)))
+                .when(number == -2, F.lit(""))
+                .otherwise(one),
+            )
+
+        return F.array_join(F.transform(groups, group), "")
+
+    def put(cards: Column) -> Column:
+        text = _let(groups, lambda g: _let(_card_at(cards), lambda at: filled(g, cards, at)))
+        changed = F.filter(cards, lambda c: c["new"] != c["card"])
         short = F.length(F.regexp_replace(run, "[^0-9]", "")) <= CARD_DIGITS[-1]
         return F.when(F.size(cards) == 0, _answer(run, short, F.lit(0))).otherwise(
-            _answer(F.array_join(F.transform(groups, group), ""), F.size(cards), F.size(changed))
+            _answer(text, F.size(cards), F.size(changed))
+        )
+
+    def renewed(cards: Column) -> Column:
+        return F.transform(
+            cards,
+            lambda c: F.struct(
+                c["first"].alias("first"),
+                c["groups"].alias("groups"),
+                c["card"].alias("card"),
+                card_pseudonym(c["card"], key).alias("new"),
+            ),
         )
 
     def alone(new: Column) -> Column:
@@ -216,22 +275,22 @@ def run_pseudonym(run: Column, key: str) -> Column:
     card = F.when(run.rlike(PRINTED), card_pseudonym(run, key))
     return _let(
         card,
-        lambda new: F.when(new.isNotNull() | one_group, alone(new)).otherwise(_let(_cards_inside(run), put)),
+        lambda new: F.when(new.isNotNull() | one_group, alone(new)).otherwise(_let(renewed(_cards_inside(run)), put)),
     )
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
     """Ten digits, area from 2: the digits but the first of area and exchange are permuted."""
-    digits = F.substring(F.regexp_replace(value, "[^0-9]", ""), -10, 10)
-    country = F.length(F.regexp_replace(value, "[^0-9]", "")) - 10
-    body = permuted_digits(
-        F.concat(_part(digits, 2, 2), _part(digits, 5, 6)), key, "phone"
-    )
-    new = F.concat(
-        _part(digits, 1, 1), _part(body, 1, 2), _part(digits, 4, 1), _part(body, 3, 6)
-    )
-    kept = F.substring(F.regexp_replace(value, "[^0-9]", ""), F.lit(1), country)
-    return _refilled(value, F.concat(kept, new))
+    def new_number(all_digits: Column) -> Column:
+        digits = F.substring(all_digits, -10, 10)
+        kept = F.substring(all_digits, F.lit(1), F.length(all_digits) - 10)
+        body = permuted_digits(F.concat(_part(digits, 2, 2), _part(digits, 5, 6)), key, "phone")
+        return _let(
+            body,
+            lambda b: F.concat(kept, _part(digits, 1, 1), _part(b, 1, 2), _part(digits, 4, 1), _part(b, 3, 6)),
+        )
+
+    return _refilled(value, _let(F.regexp_replace(value, "[^0-9]", ""), new_number))
 
 
 def social_pseudonym(value: Column, key: str) -> Column:
@@ -241,15 +300,18 @@ def social_pseudonym(value: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
     rest = (group - 1) * 9_999 + serial - 1
-    out = _feistel(place, rest, F.lit(898), F.lit(99 * 9_999), key, "social")
-    new_area = out["a"] + 1 + F.when(out["a"] + 1 >= 666, 1).otherwise(0)
-    new_group = F.floor(out["b"] / 9_999) + 1
-    new_serial = out["b"] % 9_999 + 1
-    new = F.concat(
-        F.lpad(new_area.cast("string"), 3, "0"),
-        F.lpad(new_group.cast("string"), 2, "0"),
-        F.lpad(new_serial.cast("string"), 4, "0"),
-    )
+
+    def written(out: Column) -> Column:
+        new_area = out["a"] + 1 + F.when(out["a"] + 1 >= 666, 1).otherwise(0)
+        new_group = F.floor(out["b"] / 9_999) + 1
+        new_serial = out["b"] % 9_999 + 1
+        return F.concat(
+            F.lpad(new_area.cast("string"), 3, "0"),
+            F.lpad(new_group.cast("string"), 2, "0"),
+            F.lpad(new_serial.cast("string"), 4, "0"),
+        )
+
+    new = _let(_feistel(place, rest, F.lit(898), F.lit(99 * 9_999), key, "social"), written)
     return F.when(valid, _refilled(value, new))
 
 
@@ -260,8 +322,12 @@ def ip_pseudonym(value: Column, key: str) -> Column:
     valid = (number[0] < 256) & (number[1] < 256) & (number[2] < 256) & (number[3] < 256)
     size = F.lit(65_536)
     out = _feistel(number[0] * 256 + number[1], number[2] * 256 + number[3], size, size, key, "ip")
-    parts = [F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256]
-    return F.when(valid, F.concat_ws(".", *[p.cast("int").cast("string") for p in parts]))
+
+    def written(out: Column) -> Column:
+        parts = [F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256]
+        return F.concat_ws(".", *[p.cast("int").cast("string") for p in parts])
+
+    return F.when(valid, _let(out, written))
 
 
 def date_pseudonym(value: Column, key: str) -> Column:
@@ -278,14 +344,17 @@ def date_pseudonym(value: Column, key: str) -> Column:
     offset = F.datediff(date, start)
     size = F.lit(256)
     out = _feistel(F.floor(offset / 256), offset % 256, size, size, key, "date")
-    new = F.date_add(start, (out["a"] * 256 + out["b"]).cast("int"))
+    new = _let(out, lambda o: F.date_add(start, (o["a"] * 256 + o["b"]).cast("int")))
     mark = value.substr(3, 1)
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(
-        F.concat_ws(
-            "", F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")
+
+    def written(day: Column) -> Column:
+        return F.when(iso, F.date_format(day, "yyyy-MM-dd")).otherwise(
+            F.concat_ws(
+                "", F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")
+            )
         )
-    )
-    return F.when(offset.between(0, WINDOW_DAYS - 1), text)
+
+    return F.when(offset.between(0, WINDOW_DAYS - 1), _let(new, written))
 
 
 def _hex_of(value: Column, key: str, kind: str, length: Column) -> Column:

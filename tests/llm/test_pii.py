@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +111,55 @@ def test_a_text_with_a_shape_passes_the_hints(spark):
     assert frame.where(F.col("text").rlike(pii.HINTS)).count() == len(texts)
     bare, beside = replaced(spark, ["deadbeef" * 4, "deadbeef" * 4 + " 1"])
     assert bare["text"] + " 1" == beside["text"] and "deadbeef" not in bare["text"]
+
+
+def cards_by_hand(text):
+    """First group, number of groups and digits of the cards of a run: printed groupings, then others."""
+    groups = text.split(" ")
+    windows = []
+    for first in range(len(groups)):
+        for last in range(first, len(groups)):
+            digits = "".join(groups[first : last + 1])
+            if 13 <= len(digits) <= 19 and luhn(digits) and digits.strip("0"):
+                sizes = [len(g) for g in groups[first : last + 1]]
+                printed = len(sizes) == 1 or sizes in ([4, 4, 4, 4], [4, 6, 4], [4, 6, 5], [4, 4, 5])
+                rank = 0 if printed else 1 if sizes == [4, 4, 4, 4, 3] else 2
+                windows.append((first, rank, -len(digits), last - first + 1, " ".join(groups[first : last + 1])))
+    taken = []
+    for ranks in ((0, 1), (2,)):
+        for w in sorted(w for w in windows if w[1] in ranks):
+            if all(w[0] + w[3] <= t[0] or t[0] + t[3] <= w[0] for t in taken):
+                taken.append(w)
+    return sorted(taken)
+
+
+def test_cards_in_runs_of_digit_groups(spark):
+    rng = random.Random(4)
+    texts = []
+    for sizes in ([1], [4], [4, 4, 4, 6, 5], [1, 2, 3, 7], [2, 13, 16, 20]):
+        texts += [" ".join("".join(rng.choice("0123456789") for _ in range(rng.choice(sizes))) for _ in range(60)) for _ in range(6)]
+    found = [cards_by_hand(t) for t in texts]
+    assert sum(map(len, found)) > 60
+    values = spark.createDataFrame([(c[-1],) for cards in found for c in cards], "v string").distinct()
+    new = {r["v"]: r["new"] for r in values.select("v", pii.card_pseudonym(F.col("v"), KEY).alias("new")).collect()}
+    rows = replaced(spark, texts)
+    for text, cards, row in zip(texts, found, rows, strict=True):
+        out, end = [], 0
+        for first, _, _, groups, card in cards:
+            out += text.split(" ")[end:first] + [new[card]]
+            end = first + groups
+        assert row["text"] == " ".join(out + text.split(" ")[end:])
+        assert row["n_found"] == len(cards) and row["n_replaced"] == sum(new[c[-1]] != c[-1] for c in cards)
+
+
+def test_a_long_column_of_digits_takes_linear_time(spark):
+    def seconds(n):
+        text = " ".join(str(i * i % 10) for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        query = pii.pseudonymise(docs, key=KEY)
+        begin = time.monotonic()
+        assert len(query.first()["text"]) == len(text)
+        return time.monotonic() - begin
+
+    seconds(10)
+    assert seconds(20_000) < 20
