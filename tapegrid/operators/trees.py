@@ -1,62 +1,65 @@
-"""Boosted trees with MLlib: early stopping on the validation month, then a refit.
+"""Boosted trees of all coins, horizons and windows at once, from binned histograms summed in Spark.
 
-MLlib trains one distributed model per call. The fitting rows are written by coin, horizon and
-window, so a model opens only its own files, and a few models are trained at a time. The inner
-training goes to the limit of rounds, and the best round before ``patience`` rounds without a better
-one stands. Depth-limited trees stand in for leaf-limited ones, so
-results agree in kind with other boosters, not in value.
+Rows are binned once and dealt by blocks of the time line; a block carries the bit set of the windows
+that use a row, and the scores of every model so far, so no row is copied per window. A job adds the
+residuals of every open node of every model per input and bin, and finds the best split of a node where
+its sums meet. Trees grow best leaf first up to a number of leaves. The driver holds trees only, whose
+number is that of the models times rounds.
+
+Residuals are added as whole numbers (``UNIT`` per unit of the label's scale), so the sums, and with them
+the trees, do not depend on the order in which Spark adds them.
+
+Every window has two models, trained side by side: ``inner`` on the training rows, whose error in the
+validation month says how many rounds are best, and ``refit`` on both. Training of a window stops when
+``patience`` rounds in a row brought no better error, or no leaf can be split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import reduce
+import heapq
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapegrid.config import ROWS_PER_LEAF_PER_HORIZON_BAR, Study
+from tapegrid.functions.columns import all_known, moment
+from tapegrid.operators.blocks import order_counts
 from tapegrid.operators.fitting import MODEL_KEYS
 from tapegrid.operators.folds import (
-    distinct_windows,
+    Fold,
     horizon_rows,
     monthly_folds,
+    role_mask,
     test_rows,
+    window_groups,
     window_rows,
 )
 from tapegrid.operators.walkforward import OUTPUT, prediction_scale
-from tapegrid.session import settle
+from tapegrid.session import Scratch, settle
+
+UNIT = float(1 << 24)
+HELD_SUMS = 512  # node histograms a task holds before it hands them on
+INNER, REFIT = 0, 1
 
 
 @dataclass(frozen=True)
 class TreeSettings:
     rounds: int = 2_000
     patience: int = 100
-    depth: int = 4
+    leaves: int = 15
     step: float = 0.03
+    penalty: float = 10.0
     row_share: float = 0.7
-    column_share: str = "0.7"
-    models_at_once: int = 4
+    column_share: float = 0.7
+    bins: int = 63  # at most 255: a code is one byte
     rows_per_leaf_per_bar: int = ROWS_PER_LEAF_PER_HORIZON_BAR
-
-
-def booster(study: Study, horizon: int, rounds: int, settings: TreeSettings) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol="y",
-        featuresCol="_features",
-        predictionCol="pred",
-        maxIter=rounds,
-        maxDepth=settings.depth,
-        stepSize=settings.step,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy=settings.column_share,
-        minInstancesPerNode=settings.rows_per_leaf_per_bar * horizon,
-        seed=study.seed,
-    )
+    rows_per_block: int = 16_384
+    state_rounds: int = 10  # rounds between two written states of the scores
 
 
 def best_round(errors: Sequence[float], patience: int) -> int:
@@ -70,6 +73,530 @@ def best_round(errors: Sequence[float], patience: int) -> int:
     return best + 1
 
 
+# ---------------------------------------------------------------- one tree
+
+
+@dataclass(frozen=True)
+class Split:
+    gain: float
+    column: int
+    cut: int
+    left_rows: int
+    left_sum: float
+
+
+@dataclass
+class Node:
+    rows: int
+    total: float
+    split: Split | None = None
+    children: tuple[int, int] | None = None
+
+
+@dataclass
+class Growth:
+    """A tree while it grows. Nodes in ``waiting`` have no histogram yet."""
+
+    leaves: int
+    least: int
+    nodes: list[Node] = field(default_factory=lambda: [Node(0, 0.0)])
+    waiting: list[int] = field(default_factory=lambda: [0])
+
+    def learn(self, place: int, rows: int, total: float, split: Split | None) -> None:
+        self.nodes[place] = Node(rows, total, split)
+
+    def chosen(self) -> list[int]:
+        """Nodes to split, best gain first among the leaves at hand.
+
+        Nodes whose gain is not known yet can only push known ones out, so a node left out here is
+        never split, and asking for the children of these alone finds the tree.
+        """
+        heap = [(-self.nodes[0].split.gain, 0)] if self.nodes[0].split else []
+        found = []
+        while heap and len(found) < self.leaves - 1:
+            _, place = heapq.heappop(heap)
+            found.append(place)
+            for child in self.nodes[place].children or ():
+                if self.nodes[child].split:
+                    heapq.heappush(heap, (-self.nodes[child].split.gain, child))
+        return found
+
+    def advance(self) -> None:
+        """Make the children of chosen nodes, and wait for those large enough to be split."""
+        self.waiting = []
+        for place in self.chosen():
+            node = self.nodes[place]
+            if node.children:
+                continue
+            s = node.split
+            first = len(self.nodes)
+            node.children = (first, first + 1)
+            self.nodes.append(Node(s.left_rows, s.left_sum))
+            self.nodes.append(Node(node.rows - s.left_rows, node.total - s.left_sum))
+            self.waiting += [c for c in node.children if self.nodes[c].rows >= 2 * self.least]
+
+    def table(self, value: Callable[[Node], float]) -> tuple[np.ndarray, list[int]]:
+        """Rows ``column, cut, left, right, value`` over the nodes that are left, and their places."""
+        splits = set(self.chosen())
+        order = [0]
+        for place in order:
+            if place in splits and self.nodes[place].children:
+                order.extend(self.nodes[place].children)
+        at = {place: i for i, place in enumerate(order)}
+        table = np.full((5, len(order)), -1.0)
+        for i, place in enumerate(order):
+            node = self.nodes[place]
+            table[4, i] = value(node)
+            if place in splits and node.children:
+                left, right = node.children
+                table[:4, i] = node.split.column, node.split.cut, at[left], at[right]
+        return table, order
+
+
+def leaf_of(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Node every row ends in; ``codes`` has one line per input."""
+    column, cut, left, right = table[:4].astype(np.int64)
+    row = np.arange(codes.shape[1])
+    node = np.zeros(codes.shape[1], dtype=np.int64)
+    while True:
+        asked = column[node]
+        inside = asked >= 0
+        if not inside.any():
+            return node
+        below = codes[np.maximum(asked, 0), row] <= cut[node]
+        node = np.where(inside, np.where(below, left[node], right[node]), node)
+
+
+def added(tables: Iterable[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Sum of the trees' values per row, in the order of the trees."""
+    total = np.zeros(codes.shape[1])
+    for table in tables:
+        total += table[4][leaf_of(table, codes)]
+    return total
+
+
+def best_split(sums: np.ndarray, counts: np.ndarray, least: int, penalty: float) -> Split | None:
+    """Split with the largest gain; ``sums`` and ``counts`` have one line per input and a bin a column.
+    Among equal gains the first input and the lowest cut win."""
+    left_sum, left_rows = np.cumsum(sums, axis=1) / UNIT, np.cumsum(counts, axis=1)
+    total, rows = left_sum[:, -1:], left_rows[:, -1:]
+    right_sum, right_rows = total - left_sum, rows - left_rows
+    gain = left_sum**2 / (left_rows + penalty) + right_sum**2 / (right_rows + penalty)
+    gain -= total**2 / (rows + penalty)
+    gain[(left_rows < least) | (right_rows < least)] = -np.inf
+    column, cut = np.unravel_index(np.argmax(gain), gain.shape)
+    if not gain[column, cut] > 1e-9:
+        return None
+    place = column, cut
+    return Split(float(gain[place]), int(column), int(cut), int(left_rows[place]), float(left_sum[place]))
+
+
+# ---------------------------------------------------------------- rows
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Places of the models: coin, then horizon, then window, then role."""
+
+    coins: tuple[str, ...]
+    horizons: tuple[int, ...]
+    windows: tuple[str, ...]
+    inputs: tuple[str, ...]
+
+    @property
+    def per_horizon(self) -> int:
+        return 2 * len(self.windows)
+
+    @property
+    def per_coin(self) -> int:
+        return len(self.horizons) * self.per_horizon
+
+    def inner_cells(self) -> range:
+        return range(INNER, len(self.coins) * self.per_coin, 2)
+
+    def horizon(self, cell: int) -> int:
+        return self.horizons[cell % self.per_coin // self.per_horizon]
+
+    def key(self, cell: int) -> tuple[str, int, str]:
+        coin, place = divmod(cell, self.per_coin)
+        return self.coins[coin], self.horizon(cell), self.windows[place % self.per_horizon // 2]
+
+
+def early_rows(frame: DataFrame, windows: Sequence[Fold], inputs: Sequence[str]) -> DataFrame:
+    """Rows before the validation month of the earliest window, known to every model."""
+    first = min(windows, key=lambda f: f.cut)
+    time = F.col("open_time")
+    known = (time >= moment(first.train_start)) & (time < moment(first.valid_start))
+    return frame.where(known & all_known(inputs))
+
+
+def bin_borders(early: DataFrame, inputs: Sequence[str], bins: int) -> dict[str, list[np.ndarray]]:
+    """Per coin and input the exact quantiles that end the bins: at most ``bins`` values each."""
+    sides = F.array(
+        *[F.struct(F.lit(i).alias("side"), F.col(c).cast("double").alias("value")) for i, c in enumerate(inputs)]
+    )
+    stacked = early.select("coin", F.explode(sides).alias("_s")).select(
+        "coin", F.col("_s.side").alias("side"), F.col("_s.value").alias("value")
+    )
+    ordered = order_counts(stacked, ["coin", "side"], "value")
+    reached = F.floor((F.col("below") + F.col("ties")) * bins / F.col("n"))
+    ends = ordered.where(F.floor(F.col("below") * bins / F.col("n")) < reached)
+    lists = ends.groupBy("coin", "side").agg(F.sort_array(F.collect_list("value")).alias("borders"))
+    found: dict[str, list[np.ndarray]] = {}
+    for row in lists.collect():
+        found.setdefault(row["coin"], [np.empty(0)] * len(inputs))[row["side"]] = np.array(row["borders"])
+    return found
+
+
+def label_scales(early: DataFrame, horizons: Sequence[int]) -> dict[tuple[str, int], float]:
+    """Power of two next to each label's spread; it sets the unit of the whole-number sums only."""
+    spreads = early.groupBy("coin").agg(*[F.stddev_pop(f"y_{h}").alias(f"{h}") for h in horizons])
+    return {
+        (row["coin"], h): 2.0 ** np.ceil(np.log2(row[f"{h}"])) if row[f"{h}"] else 1.0
+        for row in spreads.collect()
+        for h in horizons
+    }
+
+
+def codes_of(table: pd.DataFrame, inputs: Sequence[str], borders: Sequence[np.ndarray]) -> np.ndarray:
+    """Number of borders below each value, one line per input."""
+    lines = [np.searchsorted(b, table[c].to_numpy(dtype=float)) for c, b in zip(inputs, borders, strict=True)]
+    return np.array(lines, dtype=np.uint8).reshape(len(inputs), len(table))
+
+
+BLOCK = "coin int, block long, rows int, codes binary, y binary, mask binary, score binary"
+BLOCK_NAMES = [c.split()[0] for c in BLOCK.split(",")]
+
+
+def binned_blocks(
+    frame: DataFrame,
+    windows: Sequence[Fold],
+    layout: Layout,
+    study: Study,
+    borders: dict[str, list[np.ndarray]],
+    scales: dict[tuple[str, int], float],
+    rows_per_block: int,
+) -> DataFrame:
+    """One row per coin and block of the time line: codes, scaled labels, window bits and scores of 0."""
+    inputs, horizons, coins = layout.inputs, layout.horizons, layout.coins
+
+    def mask(h: int) -> Column:
+        return F.col(f"_mask_{h}")
+
+    for h in horizons:
+        dated = frame.withColumn("horizon", F.lit(h)).withColumn("y", F.col(f"y_{h}"))
+        frame = dated.withColumn(f"_mask_{h}", role_mask(windows, inputs, study)).drop("horizon", "y")
+    used = F.greatest(*[mask(h) for h in horizons], F.lit(0)) != 0
+    rows = frame.where(used).select(
+        "coin",
+        F.floor(F.col("pos") / rows_per_block).alias("_block"),
+        "pos",
+        *inputs,
+        *[F.coalesce(F.col(f"y_{h}"), F.lit(0.0)).alias(f"y_{h}") for h in horizons],
+        *[mask(h) for h in horizons],
+    )
+
+    def pack(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        coin, block = key
+        table = table.sort_values("pos", kind="stable")
+        y = np.array([table[f"y_{h}"].to_numpy(dtype=float) / scales[coin, h] for h in horizons])
+        masks = np.array([table[f"_mask_{h}"].to_numpy(dtype=np.int64) for h in horizons])
+        codes = codes_of(table, inputs, borders[coin])
+        score = np.zeros((layout.per_coin, len(table)))
+        packed = [part.tobytes() for part in (codes, y, masks, score)]
+        return pd.DataFrame([(coins.index(coin), block, len(table), *packed)], columns=BLOCK_NAMES)
+
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    known = rows.where(F.col("coin").isin(list(borders)))
+    return known.groupBy("coin", "_block").applyInPandas(pack, BLOCK).repartition(tasks, "coin", "block")
+
+
+# ---------------------------------------------------------------- jobs
+
+
+@dataclass(frozen=True)
+class Task:
+    """What a job does for one model: trees to add to the stored scores, the tree that grows, the place
+    of every node that waits, and the inputs to look at."""
+
+    trees: list[np.ndarray]
+    growing: np.ndarray | None = None
+    slots: np.ndarray | None = None
+    names: tuple[int, ...] = ()
+    columns: tuple[int, ...] = ()
+    measured: bool = False
+
+
+def unpacked(block: dict, horizons: int) -> tuple[np.ndarray, ...]:
+    n = block["rows"]
+    shapes = (("codes", np.uint8, -1), ("y", float, horizons), ("mask", np.int64, horizons), ("score", float, -1))
+    return tuple(np.frombuffer(block[c], dtype=t).reshape(lines, n) for c, t, lines in shapes)
+
+
+def block_sums(
+    block: dict, tasks: dict[int, Task], layout: Layout, bins: int, drawn: np.ndarray | None
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Model, node and its sums and counts per input and bin; node -1 has the validation error."""
+    codes, y, mask, score = unpacked(block, len(layout.horizons))
+    for place in range(layout.per_coin):
+        cell = block["coin"] * layout.per_coin + place
+        task = tasks.get(cell)
+        if task is None:
+            continue
+        h, bit = divmod(place, layout.per_horizon)
+        rows = np.flatnonzero(mask[h] >> (bit | 1) & 1)
+        if not len(rows):
+            continue
+        own = codes[:, rows]
+        pred = score[place, rows] + added(task.trees, own)
+        residual = y[h, rows] - pred
+        fitted = (mask[h, rows] >> bit & 1).astype(bool)
+        if task.measured and not fitted.all():
+            checked = ~fitted
+            squares, fixed = np.rint(residual[checked] ** 2 * UNIT), np.rint(pred[checked] * UNIT)
+            yield cell, -1, np.array([squares.sum(), checked.sum(), fixed.min(), fixed.max()], dtype=np.int64)
+        if task.growing is None:
+            continue
+        if drawn is not None:
+            fitted &= drawn[rows]
+        slot = task.slots[leaf_of(task.growing, own)]
+        kept = np.flatnonzero(fitted & (slot >= 0))
+        slot, change, width = slot[kept], np.rint(residual[kept] * UNIT), bins + 1
+        size = len(task.names) * width
+        found = np.zeros((len(task.names), 2, len(layout.inputs), width), dtype=np.int64)
+        for column in task.columns:
+            at = slot * width + own[column, kept]
+            found[:, 0, column] = np.bincount(at, change, size).reshape(-1, width)
+            found[:, 1, column] = np.bincount(at, minlength=size).reshape(-1, width)
+        for name, vector in zip(task.names, found, strict=True):
+            yield cell, name, vector.ravel()
+
+
+def combine(held: dict, key: tuple[int, int], vector: np.ndarray) -> None:
+    known = held.get(key)
+    if known is None:
+        held[key] = vector.copy()
+    elif key[1] < 0:
+        held[key] = np.array(
+            [known[0] + vector[0], known[1] + vector[1], min(known[2], vector[2]), max(known[3], vector[3])]
+        )
+    else:
+        known += vector
+
+
+SUMS = "cell int, node int, body binary"
+SUMS_ARROW = pa.schema([("cell", pa.int32()), ("node", pa.int32()), ("body", pa.binary())])
+FOUND = (
+    "cell int, node int, rows long, total double, gain double, column int, cut int, left_rows long,"
+    " left_sum double, low long, high long"
+)
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(",")]
+SPLIT_NAMES = ("gain", "column", "cut", "left_rows", "left_sum")
+
+
+class Booster:
+    """Trees of all models of one group of windows."""
+
+    def __init__(
+        self, scratch: Scratch, blocks: DataFrame, layout: Layout, settings: TreeSettings, seed: int
+    ):
+        self.scratch, self.layout, self.settings, self.seed = scratch, layout, settings, seed
+        self.state, self.path = scratch.replace(blocks, None)
+        self.models: dict[int, list[np.ndarray]] = {}
+        self.stored = 0  # trees that the stored scores hold
+        self.errors: dict[int, list[float]] = {}
+        self.spread: dict[int, list[int]] = {}
+
+    def least(self, cell: int) -> int:
+        return self.settings.rows_per_leaf_per_bar * self.layout.horizon(cell)
+
+    def run(self, tasks: dict[int, Task], drawn_in: int | None) -> list:
+        """Sums of one job, and the best split of every node where they meet."""
+        layout, settings, seed = self.layout, self.settings, self.seed
+        work = self.scratch.spark.sparkContext.broadcast(tasks)
+        least = {cell: self.least(cell) for cell in tasks}
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+
+            def handed_on() -> pa.RecordBatch:
+                rows = [(*key, vector.tobytes()) for key, vector in held.items()]
+                held.clear()
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SUMS_ARROW, strict=True)]
+                return pa.RecordBatch.from_arrays(columns, schema=SUMS_ARROW)
+
+            for batch in batches:
+                for block in batch.to_pylist():
+                    drawn = None
+                    if drawn_in is not None:
+                        keys = (seed, drawn_in, block["coin"], block["block"])
+                        drawn = np.random.default_rng(keys).random(block["rows"]) < settings.row_share
+                    for cell, node, vector in block_sums(block, work.value, layout, settings.bins, drawn):
+                        combine(held, (cell, node), vector)
+                        if len(held) >= HELD_SUMS:
+                            yield handed_on()
+            if held:
+                yield handed_on()
+
+        def splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for cell, node, body in zip(batch["cell"], batch["node"], batch["body"], strict=True):
+                    combine(held, (cell, node), np.frombuffer(body, dtype=np.int64))
+            rows = []
+            for (cell, node), vector in held.items():
+                if node < 0:
+                    rows.append((cell, node, vector[1], vector[0] / UNIT, None, None, None, None, None, *vector[2:]))
+                    continue
+                columns = list(work.value[cell].columns)
+                totals, counts = vector.reshape(2, len(layout.inputs), -1)[:, columns]
+                split = best_split(totals, counts, least[cell], settings.penalty)
+                found = (None,) * 5
+                if split:
+                    found = (split.gain, columns[split.column], split.cut, split.left_rows, split.left_sum)
+                rows.append((cell, node, counts[0].sum(), totals[0].sum() / UNIT, *found, None, None))
+            frame = pd.DataFrame(rows, columns=FOUND_NAMES)
+            yield frame.astype({c: "Int64" for c in ("column", "cut", "left_rows", "low", "high")})
+
+        partial = self.state.mapInArrow(sums, SUMS)
+        found = partial.repartition("cell", "node").mapInPandas(splits, FOUND).collect()
+        work.unpersist()
+        return found
+
+    def store(self) -> None:
+        """Write the scores with all trees so far, so that a job adds a few trees only."""
+        layout, since = self.layout, self.stored
+        recent = {cell: trees[since:] for cell, trees in self.models.items()}
+        work = self.scratch.spark.sparkContext.broadcast(recent)
+
+        def with_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = []
+                for block in batch.to_pylist():
+                    codes, _, _, score = unpacked(block, len(layout.horizons))
+                    score = score.copy()
+                    for place in range(layout.per_coin):
+                        for tree in work.value.get(block["coin"] * layout.per_coin + place, ()):
+                            score[place] += tree[4][leaf_of(tree, codes)]
+                    scores.append(score.tobytes())
+                at = batch.schema.get_field_index("score")
+                yield batch.set_column(at, batch.schema.field(at), pa.array(scores, batch.schema.field(at).type))
+
+        self.state, self.path = self.scratch.replace(self.state.mapInArrow(with_trees, BLOCK), self.path)
+        self.stored = max(map(len, self.models.values()))
+
+    def columns_of(self, cell: int, made: int) -> tuple[int, ...]:
+        size = len(self.layout.inputs)
+        drawn = np.random.default_rng((self.seed, made, cell)).permutation(size)
+        return tuple(sorted(drawn[: max(1, round(self.settings.column_share * size))].tolist()))
+
+    def start(self) -> set[int]:
+        """Every model begins with the mean label of its rows; returns the windows that have both."""
+        root = Growth(2, 1).table(lambda node: 0.0)[0]
+        every = {
+            cell + role: Task([], root, np.zeros(1, dtype=np.int64), (0,), (0,))
+            for cell in self.layout.inner_cells()
+            for role in (INNER, REFIT)
+        }
+        for row in self.run(every, None):
+            if row["rows"]:
+                table = root.copy()
+                table[4, 0] = row["total"] / row["rows"]
+                self.models[row["cell"]] = [table]
+        return {c for c in self.layout.inner_cells() if c in self.models and c + REFIT in self.models}
+
+    def train(self) -> None:
+        s = self.settings
+        going = self.start()
+        closed: set[int] = set()  # refit models that cannot be split any more
+        for made in range(s.rounds + 1):
+            if not going:
+                return
+            if made and made % s.state_rounds == 0:
+                self.store()
+            growing = {
+                cell: Growth(s.leaves, self.least(cell))
+                for c in going
+                for cell in (c, c + REFIT)
+                if cell not in closed
+            }
+            columns = {cell: self.columns_of(cell, made) for cell in growing}
+            first = True
+            while growing and any(g.waiting for g in growing.values()):
+                found = self.run(self.tasks(growing, columns, measured=first and made > 0, last=made == s.rounds), made)
+                if first:
+                    for cell in self.judged(going, found, made):
+                        going.discard(cell)
+                        growing.pop(cell, None)
+                        growing.pop(cell + REFIT, None)
+                    if made == s.rounds:
+                        return
+                first = False
+                for row in found:
+                    if row["node"] >= 0 and row["cell"] in growing:
+                        split = None if row["gain"] is None else Split(*(row[n] for n in SPLIT_NAMES))
+                        growing[row["cell"]].learn(row["node"], row["rows"], row["total"], split)
+                for growth in growing.values():
+                    growth.advance()
+            for cell, growth in growing.items():
+                table, order = growth.table(lambda node: s.step * node.total / (node.rows + s.penalty))
+                if len(order) > 1:
+                    self.models[cell].append(table)
+                elif cell % 2 == INNER:
+                    going.discard(cell)
+                else:
+                    closed.add(cell)
+
+    def tasks(self, growing: dict[int, Growth], columns: dict, measured: bool, last: bool) -> dict[int, Task]:
+        made = {}
+        for cell, growth in growing.items():
+            trees = self.models[cell][self.stored :]
+            inner = measured and cell % 2 == INNER
+            if last:
+                made[cell] = Task(trees, columns=columns[cell], measured=inner)
+            elif growth.waiting:
+                table, order = growth.table(lambda node: 0.0)
+                at = {place: i for i, place in enumerate(order)}
+                slots = np.full(len(order), -1, dtype=np.int64)
+                for i, place in enumerate(growth.waiting):
+                    slots[at[place]] = i
+                made[cell] = Task(trees, table, slots, tuple(growth.waiting), columns[cell], inner)
+        return made
+
+    def judged(self, going: set[int], found: Sequence, made: int) -> set[int]:
+        """Windows whose training ends: no validation row, or too many rounds without a better error."""
+        if not made:
+            return set()
+        measured = {row["cell"]: row for row in found if row["node"] < 0}
+        ended = going - set(measured)
+        for cell in going & set(measured):
+            row = measured[cell]
+            errors = self.errors.setdefault(cell, [])
+            errors.append(row["total"] / row["rows"])
+            self.spread.setdefault(cell, []).append(row["high"] - row["low"])
+            if len(errors) - best_round(errors, self.settings.patience) >= self.settings.patience:
+                ended.add(cell)
+        return ended
+
+    def result(self) -> dict[tuple[str, int, str], tuple[list[np.ndarray], list[np.ndarray], int]]:
+        """Per model key the trees of both models up to the best round, and its number: 0 where the inner
+        model predicts the same for all rows of the validation month."""
+        found = {}
+        for cell in self.layout.inner_cells():
+            if cell not in self.models or cell + REFIT not in self.models:
+                continue
+            errors = self.errors.get(cell, [])
+            best = best_round(errors, self.settings.patience) if errors else 0
+            if best and not self.spread[cell][best - 1]:
+                best = 0
+            inner, refit = (self.models[cell + role][: best + 1] for role in (INNER, REFIT))
+            found[self.layout.key(cell)] = (inner, refit, best)
+        return found
+
+
+# ---------------------------------------------------------------- predictions
+
+
 def trees_out_of_sample(
     frame: DataFrame,
     study: Study,
@@ -82,63 +609,69 @@ def trees_out_of_sample(
     settings: TreeSettings = TreeSettings(),
 ) -> DataFrame:
     """Predictions of the test months with the same columns as the other families."""
-    horizons = tuple(horizons or study.horizons)
-    rows = horizon_rows(frame, inputs, horizons)
+    horizons, coins, inputs = tuple(horizons or study.horizons), tuple(coins or study.targets), tuple(inputs)
+    frame = frame.where(F.col("coin").isin(list(coins)))
     folds = monthly_folds(months, study, policy)
-    assemble = VectorAssembler(inputCols=list(inputs), outputCol="_features").transform
-    fitting = settle(
-        assemble(window_rows(rows, folds, inputs, study)).select(
-            *MODEL_KEYS, "train", "valid", "refit", "threshold", "y", "fwd_logret", "_features"
-        ),
-        partition_by=MODEL_KEYS,
-    )
-    tested = settle(
-        assemble(test_rows(rows, folds, inputs, study, end)).select(
-            *MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month", "_features"
-        ),
-        partition_by=MODEL_KEYS,
-    )
+    groups = window_groups(folds)
+    early = early_rows(frame, [f for g in groups for f in g], inputs)
+    borders = bin_borders(early, inputs, settings.bins)
+    scales = label_scales(early, horizons)
+    models: dict = {}
+    with Scratch(frame.sparkSession) as scratch:
+        for windows in groups:
+            layout = Layout(coins, horizons, tuple(f.window for f in windows), inputs)
+            blocks = binned_blocks(frame, windows, layout, study, borders, scales, settings.rows_per_block)
+            booster = Booster(scratch, blocks, layout, settings, study.seed)
+            booster.train()
+            models |= booster.result()
+    return predicted(frame, study, inputs, folds, end, horizons, models, borders, scales)
 
-    def model_of(cell: tuple) -> tuple[DataFrame, DataFrame, tuple]:
-        """Threshold rows and test rows with predictions, and the number of trees."""
-        coin, horizon, window = cell
-        key = (F.col("coin") == coin) & (F.col("horizon") == horizon) & (F.col("window") == window)
-        part = fitting.where(key)
-        train, valid = part.where("train"), part.where("valid")
-        errors = booster(study, horizon, settings.rounds, settings).fit(train).evaluateEachIteration(valid, "squared")
-        best = best_round(errors, settings.patience)
-        # the same seed and rows give the same first trees
-        first = booster(study, horizon, best, settings).fit(train)
-        spread = first.transform(part.where("valid")).agg((F.max("pred") - F.min("pred")).alias("s")).first()["s"]
-        if not spread:
-            # no split at all: a constant stands for the month
-            mean = part.where("refit").agg(F.avg("y").alias("m")).first()["m"]
-            best, apply = 0, lambda df: df.withColumn("pred", F.lit(mean))
-        else:
-            apply = booster(study, horizon, best, settings).fit(part.where("refit")).transform
-        month = first.transform(part.where("threshold")).withColumn(
-            "inner_pred", F.when(F.col("valid"), F.col("pred"))
-        )
-        fitted = apply(month.drop("pred")).select(*MODEL_KEYS, "pred", "inner_pred", "fwd_logret")
-        return fitted, apply(tested.where(key)).drop("_features"), (*cell, f"trees={best}")
-
-    cells = [
-        (coin, horizon, fold.window)
-        for coin in coins or study.targets
-        for horizon in horizons
-        for fold in distinct_windows(folds)
-    ]
-    with ThreadPoolExecutor(settings.models_at_once) as pool:
-        threshold_parts, test_parts, notes = zip(*pool.map(model_of, cells), strict=True)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    setting = frame.sparkSession.createDataFrame(
-        notes, "coin string, horizon int, window string, setting string"
-    )
-    levels = settle(
-        prediction_scale(union(threshold_parts)).join(setting, MODEL_KEYS, "left")
-    )
-    return (
-        union(test_parts)
-        .join(levels, MODEL_KEYS)
-        .select("coin", "horizon", "pos", "open_time", *OUTPUT)
+
+def predicted(
+    frame: DataFrame,
+    study: Study,
+    inputs: tuple[str, ...],
+    folds: Sequence[Fold],
+    end: str,
+    horizons: tuple[int, ...],
+    models: dict,
+    borders: dict[str, list[np.ndarray]],
+    scales: dict[tuple[str, int], float],
+) -> DataFrame:
+    spark = frame.sparkSession
+    rows = horizon_rows(frame, inputs, horizons)
+    held = spark.sparkContext.broadcast(models)
+
+    def apply(table: DataFrame, kept: Sequence[str], names: Sequence[str]) -> DataFrame:
+        """``kept`` columns, and the predictions of the models ``names`` (both models are there)."""
+        fields = [table.schema[c] for c in kept]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, part in batch.groupby(MODEL_KEYS, sort=False):
+                    if key not in held.value:
+                        continue
+                    codes = codes_of(part, inputs, borders[key[0]])
+                    out = part[list(kept)].copy()
+                    for name in names:
+                        trees = held.value[key][("inner_pred", "pred").index(name)]
+                        out[name] = added(trees, codes) * scales[key[0], key[1]]
+                    yield out
+
+        schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], *[f"{n} double" for n in names]])
+        found = table.select(*kept, *[c for c in inputs if c not in kept]).mapInPandas(run, schema)
+        # pandas holds a missing return as NaN
+        return found.withColumn("fwd_logret", F.when(~F.isnan("fwd_logret"), F.col("fwd_logret")))
+
+    month = window_rows(rows, folds, inputs, study).where("threshold")
+    scored = apply(month, [*MODEL_KEYS, "valid", "fwd_logret"], ["pred", "inner_pred"])
+    scored = scored.withColumn("inner_pred", F.when(F.col("valid"), F.col("inner_pred")))
+    notes = [(*key, f"trees={best}") for key, (_, _, best) in models.items()]
+    setting = spark.createDataFrame(notes, "coin string, horizon int, window string, setting string")
+    levels = settle(prediction_scale(scored).join(setting, MODEL_KEYS, "left"))
+    tested = apply(
+        test_rows(rows, folds, inputs, study, end),
+        [*MODEL_KEYS, "pos", "open_time", "y", "fwd_logret", "test_month"],
+        ["pred"],
     )
+    return tested.join(levels, MODEL_KEYS).select("coin", "horizon", "pos", "open_time", *OUTPUT)

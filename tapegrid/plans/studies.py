@@ -100,7 +100,7 @@ def lines_lab(spark: SparkSession, folder: str) -> Lab:
             LINES,
             derived.line_bars(lines, LINES),
             derived.line_funding(lines, LINES),
-            TreeSettings(rounds=8, depth=3, step=0.1, rows_per_leaf_per_bar=20),
+            TreeSettings(rows_per_leaf_per_bar=20),
         )
 
     return _lab(spark, folder, "lines", build)

@@ -45,3 +45,36 @@ def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+class Scratch:
+    """Settled tables that live no longer than a run: ``with Scratch(spark) as scratch`` deletes what
+    ``scratch.settle`` wrote when the block ends, also on failure. ``replace`` writes a table and deletes
+    the one it follows, for state that goes on from step to step.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/tapegrid/run-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self._delete(self.folder)
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        return self.replace(df, None)[0]
+
+    def replace(self, df: DataFrame, former: str | None) -> tuple[DataFrame, str]:
+        """The settled table and its path; ``former`` is the path of the table that goes."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if former:
+            self._delete(former)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns), path
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -305,7 +305,7 @@ def test_importance_finds_the_group_that_matters(frame, study):
 
 
 def test_trees_find_a_planted_signal(frame, study):
-    settings = trees.TreeSettings(rounds=12, depth=3, step=0.2, rows_per_leaf_per_bar=5)
+    settings = trees.TreeSettings(rounds=12, leaves=8, step=0.2, rows_per_leaf_per_bar=5)
     found = trees.trees_out_of_sample(
         frame, study, INPUTS, "fixed", MONTHS, END, (H,), ["bb"], settings
     ).toPandas()
@@ -315,7 +315,7 @@ def test_trees_find_a_planted_signal(frame, study):
 
 
 def test_trees_that_never_split_predict_the_mean(frame, panel, study):
-    settings = trees.TreeSettings(rounds=2, depth=2, rows_per_leaf_per_bar=100_000)
+    settings = trees.TreeSettings(rounds=2, leaves=4, rows_per_leaf_per_bar=100_000)
     found = trees.trees_out_of_sample(
         frame, study, INPUTS, "fixed", MONTHS, END, (H,), ["aa"], settings
     ).toPandas()
@@ -345,3 +345,121 @@ def test_trees_go_on_after_a_noisy_round():
     assert trees.best_round(errors, 2) == 4
     assert trees.best_round(errors, 1) == 2
     assert trees.best_round([1.0], 100) == 1
+
+
+def plain_booster(x, y, borders, checked_x, checked_y, settings, least):
+    """Leaf-wise boosting on all rows and inputs, one split at a time: trees and validation errors."""
+    trees_made, errors = [], []
+    pred, checked = np.full(len(y), y.mean()), np.full(len(checked_y), y.mean())
+
+    def candidate(rows, residual):
+        best = (0.0, None)
+        total = residual[rows].sum()
+        for column in range(x.shape[1]):
+            for border in borders[column]:
+                left = rows[x[rows, column] <= border]
+                if len(left) < least or len(rows) - len(left) < least:
+                    continue
+                a, b = residual[left].sum(), total - residual[left].sum()
+                gain = a**2 / (len(left) + settings.penalty) + b**2 / (len(rows) - len(left) + settings.penalty)
+                gain -= total**2 / (len(rows) + settings.penalty)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (column, border))
+        return best
+
+    for _ in range(settings.rounds):
+        residual = y - pred
+        leaves = [(np.arange(len(y)), [])]
+        tests = [candidate(rows, residual) for rows, _ in leaves]
+        while len(leaves) < settings.leaves and max(g for g, _ in tests) > 0:
+            at = int(np.argmax([g for g, _ in tests]))
+            column, border = tests[at][1]
+            rows, path = leaves[at]
+            below = x[rows, column] <= border
+            parts = [(rows[below], [*path, (column, border, True)]), (rows[~below], [*path, (column, border, False)])]
+            leaves[at : at + 1] = parts
+            tests[at : at + 1] = [candidate(r, residual) for r, _ in parts]
+        if len(leaves) == 1:
+            break
+        made = [(path, settings.step * residual[rows].sum() / (len(rows) + settings.penalty)) for rows, path in leaves]
+        trees_made.append(made)
+        pred, checked = pred + worth(made, x), checked + worth(made, checked_x)
+        errors.append(((checked_y - checked) ** 2).mean())
+        if len(errors) - 1 - int(np.argmin(errors)) >= settings.patience:
+            break
+    return y.mean(), trees_made, errors
+
+
+def worth(tree, x):
+    total = np.zeros(len(x))
+    for path, value in tree:
+        inside = np.ones(len(x), dtype=bool)
+        for column, border, below in path:
+            inside &= (x[:, column] <= border) == below
+        total[inside] = value
+    return total
+
+
+def test_trees_equal_a_plain_booster(frame, panel, study):
+    """Same trees, rounds and predictions with several models per job and a stop in training."""
+    settings = trees.TreeSettings(
+        rounds=40, patience=3, leaves=5, step=0.3, row_share=1.0, column_share=1.0, bins=7,
+        rows_per_leaf_per_bar=20, rows_per_block=300, state_rounds=2,
+    )
+    found = trees.trees_out_of_sample(
+        frame, study, INPUTS, "expanding", MONTHS, END, (H,), settings=settings
+    ).toPandas()
+    stops = []
+    first = folds.monthly_folds(MONTHS, study, "expanding")[0]
+    for fold in folds.monthly_folds(MONTHS, study, "expanding"):
+        for coin in ("aa", "bb"):
+            early = panel[(panel["coin"] == coin) & (panel["open_time"] >= first.train_start)]
+            early = early[early["open_time"] < first.valid_start].dropna(subset=INPUTS)[INPUTS].to_numpy()
+            ends = [-(-k * len(early) // settings.bins) - 1 for k in range(1, settings.bins + 1)]
+            borders = [np.unique(np.sort(early[:, i])[ends]) for i in range(len(INPUTS))]
+            part = parts_of(panel, fold, coin)
+            data = {r: (part[r][INPUTS].to_numpy(), part[r][f"y_{H}"].to_numpy()) for r in ("train", "valid", "refit", "test")}
+            least = settings.rows_per_leaf_per_bar * H
+            _, _, errors = plain_booster(*data["train"], borders, *data["valid"], settings, least)
+            best = int(np.argmin(errors)) + 1
+            stops.append(len(errors) - best)
+            mean, made, _ = plain_booster(*data["refit"], borders, *data["valid"], settings, least)
+            expected = mean + sum(worth(tree, data["test"][0]) for tree in made[:best])
+            ours = found[(found["coin"] == coin) & (found["test_month"] == fold.test_month)].sort_values("pos")
+            assert set(ours["setting"]) == {f"trees={best}"}
+            assert ours["pred"].to_numpy() == pytest.approx(expected, abs=1e-5)
+    assert settings.patience in stops
+
+
+def test_best_leaf_first_needs_no_order_of_the_answers():
+    """Children that come late push known leaves out, never the other way round."""
+    split = lambda gain: trees.Split(gain, 0, 0, 50, 1.0)
+    growth = trees.Growth(leaves=4, least=10)
+    growth.learn(0, 100, 0.0, split(5.0))
+    growth.advance()
+    assert growth.waiting == [1, 2]
+    growth.learn(1, 50, 1.0, split(1.0))
+    growth.learn(2, 50, -1.0, split(2.0))
+    growth.advance()
+    assert growth.chosen() == [0, 2, 1]
+    late = growth.nodes[2].children[0]
+    growth.learn(late, 50, 0.0, split(9.0))
+    assert growth.chosen() == [0, 2, late]
+    growth.advance()
+    assert len(growth.table(lambda node: 0.0)[1]) == 7
+
+
+def test_runs_leave_nothing_behind(spark):
+    from pathlib import Path
+
+    from tapegrid.session import Scratch, shared_folder
+
+    base = Path(shared_folder(spark).removeprefix("file:")) / "tapegrid"
+    count = lambda: len(list(base.glob("*"))) if base.exists() else 0
+    before = count()
+    with pytest.raises(RuntimeError), Scratch(spark) as scratch:
+        kept, path = scratch.replace(spark.range(5).toDF("a"), None)
+        later, _ = scratch.replace(kept.selectExpr("a + 1 AS a"), path)
+        assert later.count() == 5 and count() == before + 1
+        raise RuntimeError
+    assert count() == before
