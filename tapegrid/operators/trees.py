@@ -3,8 +3,9 @@
 Rows are binned once and dealt by blocks of the time line; a block carries the bit set of the windows
 that use a row, and the scores of every model so far, so no row is copied per window. A job adds the
 residuals of every open node of every model per input and bin, and finds the best split of a node where
-its sums meet. Trees grow best leaf first up to a number of leaves. The driver holds trees only, whose
-number is that of the models times rounds.
+its sums meet. A node of few rows (``rows_in_task``) is not summed: its rows meet in one task, which grows
+all of the tree below it, so the small nodes of a round are one job. Trees grow best leaf first up to a
+number of leaves. The driver holds trees only, whose number is that of the models times rounds.
 
 Residuals are added as whole numbers (``UNIT`` per unit of the label's scale), so the sums, and with them
 the trees, do not depend on the order in which Spark adds them.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,7 @@ class TreeSettings:
     bins: int = 63  # at most 255: a code is one byte
     rows_per_leaf_per_bar: int = ROWS_PER_LEAF_PER_HORIZON_BAR
     rows_per_block: int = 16_384
+    rows_in_task: int = 8_192  # nodes up to this size are grown by one task
     state_rounds: int = 10  # rounds between two written states of the scores
 
 
@@ -99,12 +101,28 @@ class Growth:
 
     leaves: int
     least: int
-    nodes: list[Node] = field(default_factory=lambda: [Node(0, 0.0)])
+    rows: int = 0  # of the root, or more
+    nodes: list[Node] = field(default_factory=list)
     waiting: list[int] = field(default_factory=lambda: [0])
 
+    def __post_init__(self) -> None:
+        self.nodes.append(Node(self.rows, 0.0))
+
     def learn(self, place: int, rows: int, total: float, split: Split | None) -> None:
         self.nodes[place] = Node(rows, total, split)
 
+    def graft(self, place: int, below: Sequence[tuple[int, int, float, Split | None, int | None]]) -> None:
+        """A tree that a task grew at ``place``: per node its number, rows, sum, split and first child,
+        parents first."""
+        at = {0: place}
+        for number, rows, total, split, child in below:
+            self.learn(at[number], rows, total, split)
+            if child is not None:
+                first = len(self.nodes)
+                self.nodes[at[number]].children = (first, first + 1)
+                self.nodes += [Node(0, 0.0), Node(0, 0.0)]
+                at |= {child: first, child + 1: first + 1}
+
     def chosen(self) -> list[int]:
         """Nodes to split, best gain first among the leaves at hand.
 
@@ -191,6 +209,30 @@ def best_split(sums: np.ndarray, counts: np.ndarray, least: int, penalty: float)
     return Split(float(gain[place]), int(column), int(cut), int(left_rows[place]), float(left_sum[place]))
 
 
+def grown_below(codes: np.ndarray, change: np.ndarray, columns: Sequence[int], growth: Growth, penalty: float, bins: int) -> Growth:
+    """The whole tree below one node, from its rows."""
+    width, chosen = bins + 1, list(columns)
+    shifted = codes[chosen] + np.arange(len(chosen))[:, None] * width
+    inside = {0: np.arange(len(change))}
+    while growth.waiting:
+        for place in growth.waiting:
+            rows = inside[place]
+            at, weights = shifted[:, rows].ravel(), np.tile(change[rows], len(chosen))
+            sums = np.bincount(at, weights, len(chosen) * width).reshape(-1, width)
+            counts = np.bincount(at, minlength=len(chosen) * width).reshape(-1, width)
+            split = best_split(sums, counts, growth.least, penalty)
+            if split:
+                split = replace(split, column=chosen[split.column])
+            growth.learn(place, len(rows), float(change[rows].sum() / UNIT), split)
+        growth.advance()
+        for place in list(inside):
+            node = growth.nodes[place]
+            if node.children and node.children[0] not in inside:
+                below = codes[node.split.column, inside[place]] <= node.split.cut
+                inside[node.children[0]], inside[node.children[1]] = inside[place][below], inside[place][~below]
+    return growth
+
+
 # ---------------------------------------------------------------- rows
 
 
@@ -317,12 +359,13 @@ def binned_blocks(
 @dataclass(frozen=True)
 class Task:
     """What a job does for one model: trees to add to the stored scores, the tree that grows, the place
-    of every node that waits, and the inputs to look at."""
+    of every node that waits, those whose rows meet in one task, and the inputs to look at."""
 
     trees: list[np.ndarray]
     growing: np.ndarray | None = None
     slots: np.ndarray | None = None
     names: tuple[int, ...] = ()
+    small: frozenset[int] = frozenset()
     columns: tuple[int, ...] = ()
     measured: bool = False
 
@@ -335,8 +378,9 @@ def unpacked(block: dict, horizons: int) -> tuple[np.ndarray, ...]:
 
 def block_sums(
     block: dict, tasks: dict[int, Task], layout: Layout, bins: int, drawn: np.ndarray | None
-) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Model, node and its sums and counts per input and bin; node -1 has the validation error."""
+) -> Iterator[tuple[int, int, np.ndarray | bytes]]:
+    """Model, node and its sums and counts per input and bin, or for a small node the bytes of its rows;
+    node -1 has the validation error."""
     codes, y, mask, score = unpacked(block, len(layout.horizons))
     for place in range(layout.per_coin):
         cell = block["coin"] * layout.per_coin + place
@@ -362,6 +406,13 @@ def block_sums(
         slot = task.slots[leaf_of(task.growing, own)]
         kept = np.flatnonzero(fitted & (slot >= 0))
         slot, change, width = slot[kept], np.rint(residual[kept] * UNIT), bins + 1
+        for i, name in enumerate(task.names):
+            if name in task.small:
+                mine = slot == i
+                if mine.any():
+                    yield cell, name, own[:, kept[mine]].tobytes() + change[mine].tobytes()
+        if len(task.small) == len(task.names):
+            continue
         size = len(task.names) * width
         found = np.zeros((len(task.names), 2, len(layout.inputs), width), dtype=np.int64)
         for column in task.columns:
@@ -369,7 +420,15 @@ def block_sums(
             found[:, 0, column] = np.bincount(at, change, size).reshape(-1, width)
             found[:, 1, column] = np.bincount(at, minlength=size).reshape(-1, width)
         for name, vector in zip(task.names, found, strict=True):
-            yield cell, name, vector.ravel()
+            if name not in task.small:
+                yield cell, name, vector.ravel()
+
+
+def rows_of(body: bytes, inputs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and residuals of the rows a block sent for a small node."""
+    n = len(body) // (inputs + 8)
+    codes = np.frombuffer(body, dtype=np.uint8, count=inputs * n).reshape(inputs, n)
+    return codes, np.frombuffer(body, dtype=float, offset=inputs * n)
 
 
 def combine(held: dict, key: tuple[int, int], vector: np.ndarray) -> None:
@@ -388,7 +447,7 @@ SUMS = "cell int, node int, body binary"
 SUMS_ARROW = pa.schema([("cell", pa.int32()), ("node", pa.int32()), ("body", pa.binary())])
 FOUND = (
     "cell int, node int, rows long, total double, gain double, column int, cut int, left_rows long,"
-    " left_sum double, low long, high long"
+    " left_sum double, low long, high long, number int, child int"
 )
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(",")]
 SPLIT_NAMES = ("gain", "column", "cut", "left_rows", "left_sum")
@@ -406,6 +465,7 @@ class Booster:
         self.stored = 0  # trees that the stored scores hold
         self.errors: dict[int, list[float]] = {}
         self.spread: dict[int, list[int]] = {}
+        self.sizes: dict[int, int] = {}
 
     def least(self, cell: int) -> int:
         return self.settings.rows_per_leaf_per_bar * self.layout.horizon(cell)
@@ -418,10 +478,12 @@ class Booster:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, int], np.ndarray] = {}
+            pieces: list[tuple[int, int, bytes]] = []
 
             def handed_on() -> pa.RecordBatch:
-                rows = [(*key, vector.tobytes()) for key, vector in held.items()]
+                rows = [*pieces, *((*key, vector.tobytes()) for key, vector in held.items())]
                 held.clear()
+                pieces.clear()
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SUMS_ARROW, strict=True)]
                 return pa.RecordBatch.from_arrays(columns, schema=SUMS_ARROW)
 
@@ -432,21 +494,37 @@ class Booster:
                         keys = (seed, drawn_in, block["coin"], block["block"])
                         drawn = np.random.default_rng(keys).random(block["rows"]) < settings.row_share
                     for cell, node, vector in block_sums(block, work.value, layout, settings.bins, drawn):
-                        combine(held, (cell, node), vector)
-                        if len(held) >= HELD_SUMS:
+                        if isinstance(vector, bytes):
+                            pieces.append((cell, node, vector))
+                        else:
+                            combine(held, (cell, node), vector)
+                        if len(held) + len(pieces) >= HELD_SUMS:
                             yield handed_on()
-            if held:
+            if held or pieces:
                 yield handed_on()
 
         def splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[tuple[int, int], np.ndarray] = {}
+            pieces: dict[tuple[int, int], list[bytes]] = {}
             for batch in batches:
                 for cell, node, body in zip(batch["cell"], batch["node"], batch["body"], strict=True):
-                    combine(held, (cell, node), np.frombuffer(body, dtype=np.int64))
+                    if node in work.value[cell].small:
+                        pieces.setdefault((cell, node), []).append(body)
+                    else:
+                        combine(held, (cell, node), np.frombuffer(body, dtype=np.int64))
             rows = []
+            for (cell, node), bodies in pieces.items():
+                parts = [rows_of(body, len(layout.inputs)) for body in bodies]
+                codes, change = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
+                growth = Growth(settings.leaves, least[cell])
+                grown_below(codes, change, work.value[cell].columns, growth, settings.penalty, settings.bins)
+                for number, known in enumerate(growth.nodes):
+                    parts = astuple(known.split) if known.split else (None,) * 5
+                    child = known.children[0] if known.children else None
+                    rows.append((cell, node, known.rows, known.total, *parts, None, None, number, child))
             for (cell, node), vector in held.items():
                 if node < 0:
-                    rows.append((cell, node, vector[1], vector[0] / UNIT, None, None, None, None, None, *vector[2:]))
+                    rows.append((cell, node, vector[1], vector[0] / UNIT, *(None,) * 5, *vector[2:], None, None))
                     continue
                 columns = list(work.value[cell].columns)
                 totals, counts = vector.reshape(2, len(layout.inputs), -1)[:, columns]
@@ -454,12 +532,13 @@ class Booster:
                 found = (None,) * 5
                 if split:
                     found = (split.gain, columns[split.column], split.cut, split.left_rows, split.left_sum)
-                rows.append((cell, node, counts[0].sum(), totals[0].sum() / UNIT, *found, None, None))
+                rows.append((cell, node, counts[0].sum(), totals[0].sum() / UNIT, *found, *(None,) * 4))
             frame = pd.DataFrame(rows, columns=FOUND_NAMES)
-            yield frame.astype({c: "Int64" for c in ("column", "cut", "left_rows", "low", "high")})
+            yield frame.astype({c: "Int64" for c in ("column", "cut", "left_rows", "low", "high", "number", "child")})
 
         partial = self.state.mapInArrow(sums, SUMS)
-        found = partial.repartition("cell", "node").mapInPandas(splits, FOUND).collect()
+        meeting = partial.repartition(self.scratch.spark.sparkContext.defaultParallelism, "cell", "node")
+        found = meeting.mapInPandas(splits, FOUND).collect()
         work.unpersist()
         return found
 
@@ -494,7 +573,7 @@ class Booster:
         """Every model begins with the mean label of its rows; returns the windows that have both."""
         root = Growth(2, 1).table(lambda node: 0.0)[0]
         every = {
-            cell + role: Task([], root, np.zeros(1, dtype=np.int64), (0,), (0,))
+            cell + role: Task([], root, np.zeros(1, dtype=np.int64), (0,), columns=(0,))
             for cell in self.layout.inner_cells()
             for role in (INNER, REFIT)
         }
@@ -502,6 +581,7 @@ class Booster:
             if row["rows"]:
                 table = root.copy()
                 table[4, 0] = row["total"] / row["rows"]
+                self.sizes[row["cell"]] = row["rows"]
                 self.models[row["cell"]] = [table]
         return {c for c in self.layout.inner_cells() if c in self.models and c + REFIT in self.models}
 
@@ -515,7 +595,7 @@ class Booster:
             if made and made % s.state_rounds == 0:
                 self.store()
             growing = {
-                cell: Growth(s.leaves, self.least(cell))
+                cell: Growth(s.leaves, self.least(cell), self.sizes[cell])
                 for c in going
                 for cell in (c, c + REFIT)
                 if cell not in closed
@@ -532,10 +612,14 @@ class Booster:
                     if made == s.rounds:
                         return
                 first = False
+                below: dict[tuple[int, int], list] = {}
                 for row in found:
                     if row["node"] >= 0 and row["cell"] in growing:
                         split = None if row["gain"] is None else Split(*(row[n] for n in SPLIT_NAMES))
-                        growing[row["cell"]].learn(row["node"], row["rows"], row["total"], split)
+                        known = (row["number"] or 0, row["rows"], row["total"], split, row["child"])
+                        below.setdefault((row["cell"], row["node"]), []).append(known)
+                for (cell, node), known in below.items():
+                    growing[cell].graft(node, sorted(known, key=lambda k: k[0]))
                 for growth in growing.values():
                     growth.advance()
             for cell, growth in growing.items():
@@ -560,7 +644,8 @@ class Booster:
                 slots = np.full(len(order), -1, dtype=np.int64)
                 for i, place in enumerate(growth.waiting):
                     slots[at[place]] = i
-                made[cell] = Task(trees, table, slots, tuple(growth.waiting), columns[cell], inner)
+                small = frozenset(p for p in growth.waiting if growth.nodes[p].rows <= self.settings.rows_in_task)
+                made[cell] = Task(trees, table, slots, tuple(growth.waiting), small, columns[cell], inner)
         return made
 
     def judged(self, going: set[int], found: Sequence, made: int) -> set[int]:

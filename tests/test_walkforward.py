@@ -400,11 +400,13 @@ def worth(tree, x):
     return total
 
 
-def test_trees_equal_a_plain_booster(frame, panel, study):
-    """Same trees, rounds and predictions with several models per job and a stop in training."""
+@pytest.mark.parametrize("in_task", [8_192, 150])
+def test_trees_equal_a_plain_booster(frame, panel, study, in_task):
+    """Same trees, rounds and predictions with several models per job and a stop in training, whether a
+    task grows whole trees or only small nodes."""
     settings = trees.TreeSettings(
         rounds=40, patience=3, leaves=5, step=0.3, row_share=1.0, column_share=1.0, bins=7,
-        rows_per_leaf_per_bar=20, rows_per_block=300, state_rounds=2,
+        rows_per_leaf_per_bar=20, rows_per_block=300, rows_in_task=in_task, state_rounds=2,
     )
     found = trees.trees_out_of_sample(
         frame, study, INPUTS, "expanding", MONTHS, END, (H,), settings=settings
