@@ -31,6 +31,7 @@ from tapegrid.operators.folds import (
     has_bit,
     role_mask,
     window_groups,
+    window_rows,
 )
 from tapegrid.session import settle
 
@@ -596,3 +597,57 @@ FAMILIES: dict[str, Family] = {
 
 def register_family(name: str, family: Family) -> None:
     FAMILIES[name] = family
+
+
+def rows_family(
+    fit: Callable[[pd.DataFrame, pd.DataFrame, Sequence[str], int], tuple[dict, dict, str]],
+    predict: Callable[[dict, pd.DataFrame], np.ndarray],
+    parameters: str,
+    rows_limit: int = 1_000_000,
+) -> Family:
+    """A family from plain functions on pandas rows.
+
+    ``fit(train, valid, inputs, horizon)`` gets the rows of one window with the label ``y`` in order of
+    time; it returns the parameters of the model of the training rows, those of the model of both, and a
+    text for ``setting``. ``parameters`` is their schema. ``predict(parameters, rows)`` returns an array.
+    The rows of a window meet in one task, so a window of more than ``rows_limit`` rows is an error,
+    found by counting before any row is moved.
+    """
+
+    def fit_rows(
+        rows: DataFrame, folds: Sequence[Fold], inputs: Sequence[str], study: Study
+    ) -> DataFrame:
+        used = window_rows(rows, folds, inputs, study).where("refit")
+        largest = used.groupBy(*MODEL_KEYS).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if largest > rows_limit:
+            raise ValueError(f"a window has {largest:,} rows, more than the limit of {rows_limit:,}")
+
+        def models(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+            table = table.sort_values("pos", kind="stable")
+            train, valid = table[table["train"]], table[table["valid"]]
+            inner, refit, setting = fit(train, valid, list(inputs), int(key[1]))
+            found = [
+                (*key, role, setting, "|".join(map(str, (*key, role))), known)
+                for role, known in zip(ROLES, (inner, refit), strict=True)
+            ]
+            return pd.DataFrame(found, columns=[*MODEL_KEYS, "role", "setting", "_model", "_p"])
+
+        kept = used.select(*MODEL_KEYS, "pos", "open_time", "train", "valid", *inputs, "y")
+        schema = (
+            "coin string, horizon int, window string, role string, setting string, _model string,"
+            f" _p struct<{parameters}>"
+        )
+        return kept.groupBy(*MODEL_KEYS).applyInPandas(models, schema)
+
+    def predict_rows(inputs: Sequence[str]) -> Column:
+        @F.pandas_udf("double")
+        def run(model: pd.Series, known: pd.DataFrame, x: pd.DataFrame) -> pd.Series:
+            found = pd.Series(np.nan, index=model.index)
+            for _, part in model.groupby(model):
+                first = known.loc[part.index[0]].to_dict()
+                found.loc[part.index] = np.asarray(predict(first, x.loc[part.index]), dtype=float)
+            return found
+
+        return run(F.col("_model"), F.col("_p"), F.struct(*inputs))
+
+    return Family(fit_rows, predict_rows)

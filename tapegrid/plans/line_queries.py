@@ -260,7 +260,7 @@ prediction_query(
     inputs="own",
 )
 prediction_query("ridge_predictions", None, family="ridge")
-prediction_query("tree_predictions", None, family="trees", policy="fixed", horizons=(2,))
+prediction_query("tree_predictions", None, family="trees", policy="fixed")
 
 
 @query("stored_predictions", momentum().select(PRED, "predictions"))

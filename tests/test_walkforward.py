@@ -338,6 +338,38 @@ def test_users_add_families(frame, study):
         del fitting.FAMILIES["ones"]
 
 
+def test_users_fit_on_plain_rows(frame, study):
+    """A line fitted by a function on rows gives what the momentum family gives, inner and refit alike."""
+
+    def plain_line(train, valid, inputs, horizon):
+        def line(rows):
+            slope, intercept = np.polyfit(rows[f"x_trail_ret_{horizon}"], rows["y"], deg=1)
+            return {"intercept": intercept, "slope": slope}
+
+        refit = line(pd.concat([train, valid]))
+        return line(train), refit, f"slope={refit['slope']:+.3g}"
+
+    def predict(known, rows):
+        return known["intercept"] + known["slope"] * rows[f"x_trail_ret_{H}"].to_numpy()
+
+    schema = "intercept: double, slope: double"
+    walk = lambda name: walkforward.out_of_sample(
+        frame, study, name, INPUTS, "expanding", MONTHS, END, (H,)
+    ).toPandas().sort_values(["coin", "pos"])
+    fitting.register_family("plain", fitting.rows_family(plain_line, predict, schema))
+    fitting.register_family("tight", fitting.rows_family(plain_line, predict, schema, rows_limit=100))
+    try:
+        ours, known = walk("plain"), walk("momentum")
+        assert len(ours) == len(known) > 0
+        for column in ("pred", "q10", "q90", "valid_ic"):
+            assert ours[column].to_numpy() == pytest.approx(known[column].to_numpy(), abs=1e-9)
+        assert list(ours["setting"]) == list(known["setting"])
+        with pytest.raises(ValueError, match="more than the limit of 100"):
+            walk("tight")
+    finally:
+        del fitting.FAMILIES["plain"], fitting.FAMILIES["tight"]
+
+
 def test_trees_go_on_after_a_noisy_round():
     errors = [1.0, 0.9, 0.95, 0.8, 0.85, 0.86, 0.7]
     assert trees.best_round(errors, 100) == 7
