@@ -36,6 +36,23 @@ def between(time: Column | str, start: str | None, end: str | None) -> Column:
     return inside
 
 
+def pair_order(first: Column | str, second: Column | str, first_bits: int = 64, second_bits: int = 32) -> Column:
+    """One whole number that sorts like ``struct(first, second)``, nulls first.
+
+    Both are signed integers of so many bits, 120 together at most. A number has a fixed width in the
+    buffer of an aggregate, so ``min_by`` over it is a hash aggregate; over a struct all rows are sorted.
+    """
+
+    def whole(value: Column | str, bits: int) -> Column:
+        below = -(1 << bits - 1) - 1
+        kind = f"decimal({len(str(-below))},0)"
+        return F.coalesce(_col(value).cast(kind), F.lit(str(below)).cast(kind))
+
+    span = F.lit(str(1 << second_bits + 1))
+    span = span.cast(f"decimal({len(str(1 << second_bits + 1))},0)")
+    return whole(first, first_bits) * span + whole(second, second_bits)
+
+
 def month_of(time: Column | str) -> Column:
     return F.date_format(_col(time), "yyyy-MM")
 

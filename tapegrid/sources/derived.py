@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapegrid.config import Study
-from tapegrid.functions.columns import bar_position, bar_time
+from tapegrid.functions.columns import bar_position, bar_time, pair_order
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -17,6 +17,7 @@ def aggregate_bars(ticks: DataFrame, order: Column, bar_seconds: int) -> DataFra
     """Ticks ``asset, time, price, quantity, traded, bought`` to bars.
 
     One hash aggregate: ticks combine on the map side, so a hot asset never gathers in one task.
+    That needs an ``order`` of fixed width (``pair_order``): over a struct each task sorts its ticks.
     """
     bought = F.col("bought")
     value = F.col("quantity") * F.col("price")
@@ -49,7 +50,10 @@ def event_ticks(events: DataFrame) -> DataFrame:
 
 
 def event_bars(events: DataFrame, study: Study) -> DataFrame:
-    return aggregate_bars(event_ticks(events), F.struct("time", "event_id"), study.bar_seconds)
+    # Bars part by time, so the moment within the bar orders like the time.
+    moment = F.pmod(F.unix_micros("time"), F.lit(study.bar_seconds * 1_000_000))
+    order = pair_order(moment, "event_id", first_bits=56, second_bits=64)
+    return aggregate_bars(event_ticks(events), order, study.bar_seconds)
 
 
 def event_funding_text(events: DataFrame) -> DataFrame:
@@ -86,8 +90,7 @@ def line_ticks(lineitem: DataFrame) -> DataFrame:
 
 
 def line_bars(lineitem: DataFrame, study: Study) -> DataFrame:
-    order = F.struct("l_orderkey", "l_linenumber")
-    return aggregate_bars(line_ticks(lineitem), order, study.bar_seconds)
+    return aggregate_bars(line_ticks(lineitem), pair_order("l_orderkey", "l_linenumber"), study.bar_seconds)
 
 
 def line_funding(lineitem: DataFrame, study: Study) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import numpy as np
@@ -7,8 +8,10 @@ from helpers import BASE, close_or_both_null, gridded, make_bars
 from pyspark.sql import functions as F
 
 from tapegrid.config import Study
+from tapegrid.functions.columns import pair_order
 from tapegrid.operators import grid, returns
-from tapegrid.sources import files, store
+from tapegrid.plans.studies import EVENTS, LINES
+from tapegrid.sources import derived, files, store
 from tapegrid.streaming import ingest
 
 FIVE = Study(bar_seconds=300)
@@ -220,3 +223,28 @@ def test_choice_json_is_one_object(spark, tmp_path):
     [part] = list((tmp_path / "j").glob("part-*.json"))
     assert json.loads(part.read_text()) == {"rule": "outer10", "t": 0.123457}
     assert close_or_both_null(None, None)
+
+
+def test_bars_of_ticks_are_a_hash_aggregate_in_the_order_of_both_keys(spark):
+    """Order keys of any size and sign, nulls first; no task sorts its ticks."""
+    keys = [None, -(1 << 63), -1, 0, 1, (1 << 63) - 1]
+    numbers = [None, -(1 << 31), -1, 0, 1, (1 << 31) - 1]
+    rows = [(a, b, float(i * len(numbers) + j)) for i, a in enumerate(keys) for j, b in enumerate(numbers)]
+    table = spark.createDataFrame(rows[::-1], "a long, b int, v double")
+    for both in (("a", "b", 64, 32), ("b", "a", 56, 64)):
+        found = table.orderBy(pair_order(*both)).collect()
+        assert found == table.orderBy(F.struct(*both[:2])).collect()
+    day = dt.datetime(1996, 1, 1)
+    lines = [(k, n, 1.0, 1000.0 * i, 0.05, "A", "F", day) for i, (k, n, _) in enumerate(rows)]
+    lines = spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    bars = derived.line_bars(lines.repartition(3), LINES)
+    assert [r[:] for r in bars.select("open", "close", "count").collect()] == [(100.0, 135.0, 36.0)] * 2
+    hours = [(None, 3.0), (9, 1.0), (-(1 << 63), 2.0)]
+    events = [("view", day + dt.timedelta(hours=h, seconds=s), i, v, '{"k": 60}') for h in (0, 1) for s in (5, 7) for i, v in hours]
+    events = spark.createDataFrame(events, "event_type string, ts timestamp, event_id long, value double, props string")
+    timed = derived.event_bars(events, EVENTS)
+    assert [r[:] for r in timed.select("open", "close", "count").collect()] == [(103.0, 101.0, 6.0)] * 2
+    for made in (bars, timed):
+        assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
