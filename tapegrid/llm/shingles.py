@@ -23,6 +23,8 @@ ALIKE = (4, 5)
 BANDS, ROWS = 32, 8
 SEED = 42
 SLICE = 1 << 12
+# Words of 64 bits in the parity sketch of a set.
+SKETCH = 8
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 MASKS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
@@ -98,28 +100,48 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     have but a common passage in common hardly meet. Where many texts of one group hold a shingle,
     only the texts of other groups look up its holders: of two texts of different groups, one is
     outside the largest group.
+
+    A meeting counts only if the pair can still be alike, so that many texts with half their shingles
+    in common do not make all their pairs. At the first shared shingle all that is shared lies from
+    its places on. And the sketch of a set has a bit per hash value, set where an odd number of its
+    shingles have it: sketches of two sets differ in no more bits than the sets do in shingles.
     """
     rows = sets.select("doc_id", "group", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    word = F.shiftright("shingle", 6).bitwiseAND(F.lit(SKETCH - 1))
     ordered = (
         rows.join(held, "shingle")
         .groupBy("doc_id", "group", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("line"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("line"),
+            *[F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0)).alias(f"s{i}") for i in range(SKETCH)],
+        )
     )
     first = F.col("size") - F.ceil(F.col("size") * ALIKE[0] / ALIKE[1]).cast("int") + 1
+    sketch = [f"s{i}" for i in range(SKETCH)]
     postings = settle(
-        ordered.select("doc_id", "group", "size", F.explode(F.slice("line", F.lit(1), first)).alias("s"))
-        .where("s.n > 1")
-        .select("doc_id", "group", "size", F.col("s.shingle").alias("shingle"))
+        ordered.select("doc_id", "group", "size", *sketch, F.posexplode(F.slice("line", F.lit(1), first)))
+        .where("col.n > 1")
+        .select("doc_id", "group", "size", "pos", *sketch, F.col("col.shingle").alias("shingle"))
     )
     per_group = postings.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"))
     largest = per_group.groupBy("shingle").agg(
         F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("groups")
     )
     asking = postings.join(largest.where("groups > 1"), "shingle").where("group <> largest")
-    asking = asking.select("shingle", F.col("doc_id").alias("a"), F.col("group").alias("g"), F.col("size").alias("m"))
+    asking = asking.select(
+        "shingle", F.col("doc_id").alias("a"), F.col("group").alias("g"), F.col("size").alias("m"),
+        F.col("pos").alias("at"), *[F.col(n).alias(f"a{n}") for n in sketch],
+    )
     near = F.least("size", "m") * ALIKE[1] >= F.greatest("size", "m") * ALIKE[0]
-    met = asking.join(postings, "shingle").where((F.col("group") != F.col("g")) & near)
+    both = F.col("size") + F.col("m")
+    # Of sets alike, what is shared is this part of both sizes at least.
+    needed = F.ceil(both * ALIKE[0] / sum(ALIKE))
+    ahead = F.least(F.col("size") - F.col("pos"), F.col("m") - F.col("at")) >= needed
+    unlike = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"a{n}"))) for n in sketch), F.lit(0))
+    alike = near & ahead & (unlike <= both - 2 * needed)
+    met = asking.join(postings, "shingle").where((F.col("group") != F.col("g")) & alike)
     return settle(met.select(F.least("a", "doc_id").alias("u"), F.greatest("a", "doc_id").alias("v")).distinct())
 
 

@@ -158,3 +158,19 @@ def test_edge_rows(spark):
     assert found == [1, 3, 4, 4, None]
     assert shingles.keep_first(docs).columns == docs.columns
     assert shingles.keep_first(docs.limit(0)).count() == 0
+
+
+def test_texts_of_a_hot_group_below_the_threshold_do_not_meet(spark):
+    """Three hundred variants of a text, most at a similarity of one half: only the alike pairs are candidates."""
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(i, " ".join(w if draw.random() > 0.035 else f"x{draw.randrange(40)}" for w in base)) for i in range(300)]
+    sets = shingles._per_text(spark.createDataFrame(texts, "doc_id long, text string"), "shingles")
+    found = {(r["u"], r["v"]) for r in shingles.prefix_pairs(sets.withColumn("group", sets["doc_id"])).collect()}
+    values = [set(shingles.shingle_set(t.encode()).tolist()) for _, t in texts]
+    alike = {
+        (a, b) for a in range(300) for b in range(a + 1, 300)
+        if len(values[a] & values[b]) * 5 >= len(values[a] | values[b]) * 4
+    }
+    assert 0 < len(alike) < 3_000 and alike <= found
+    assert len(found) < 2 * len(alike) + 300
