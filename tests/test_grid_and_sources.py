@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapegrid.config import Study
 from tapegrid.functions.columns import pair_order
 from tapegrid.operators import grid, returns
+from tapegrid.plans import studies
 from tapegrid.plans.studies import EVENTS, LINES
 from tapegrid.sources import derived, files, store
 from tapegrid.streaming import ingest
@@ -248,3 +249,31 @@ def test_bars_of_ticks_are_a_hash_aggregate_in_the_order_of_both_keys(spark):
     assert [r[:] for r in timed.select("open", "close", "count").collect()] == [(103.0, 101.0, 6.0)] * 2
     for made in (bars, timed):
         assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_order_lines_of_the_same_days_make_no_more_bars(spark, tmp_path):
+    """All that follows the bars is bounded by the calendar, and nothing before them sorts the lines."""
+    days = [dt.datetime(1996, 1, 1) + dt.timedelta(days=d) for d in range(20)]
+    rows = [
+        (k, 1, float(1 + k % 5), 1000.0 * (k % 97), (k % 11) / 100, (k % 9) / 100, "ANR"[k % 3], "FO"[k % 2], days[k % 20])
+        for k in range(400)
+    ]
+    names = ("l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+             "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    once = spark.createDataFrame(rows, names)
+    found = []
+    for copies in (1, 5):
+        many = once.crossJoin(spark.range(copies)).withColumn("l_orderkey", F.col("l_orderkey") + 400 * F.col("id"))
+        many.drop("id").repartition(3).write.parquet(str(tmp_path / f"{copies}" / "lineitem.parquet"))
+        lab = studies.lines_lab(spark, str(tmp_path / f"{copies}"))
+        for made in (lab._raw, lab._funding):
+            assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+        bars = lab.raw.orderBy("asset", "pos").collect()
+        found.append((bars, lab.funding.count()))
+    (bars, settled), (more, settled_more) = found
+    assert len(bars) == len(more) and settled == settled_more
+    for a, b in zip(bars, more, strict=True):
+        assert [a[c] for c in ("asset", "pos", "open", "high", "low", "close")] == [
+            b[c] for c in ("asset", "pos", "open", "high", "low", "close")
+        ]
+        assert b["volume"] == 5 * a["volume"] and b["count"] == 5 * a["count"]
