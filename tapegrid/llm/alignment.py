@@ -13,6 +13,8 @@ import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from tapegrid.llm.subwords import byte_level, plain, quick_units, safe_units, wo
 from tapegrid.llm.text import arrow_rows
 from tapegrid.session import settle
 
-# Bytes of a range of a long document, fragments joined at once, pairs of a block, units remembered.
+# Bytes of a range of a long document, fragments joined at once, pairs of a block.
 RANGE_BYTES = 1 << 15
 FAN_IN = 16
 BLOCK_PAIRS = 1 << 19
-CACHED_UNITS = 80_000
-UNITS_AT_ONCE = 1 << 13
+# Units remembered, bytes of their groups and links, and characters aligned at once.
+CACHED_UNITS = 30_000
+CACHED_BYTES = 1 << 24
+LETTERS_AT_ONCE = 1 << 16
 # Rows of a batch of texts, and of long texts or their fragments.
 SHORT_ROWS, LONG_ROWS = 64, 4
 NO_IDS = np.array([], dtype=np.int64)
@@ -139,73 +143,122 @@ def fragment_of(
     )
 
 
+def flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists in a row, and the length of each list."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def stretches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` with the given starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Spelling:
+    """Decimal numbers, each with the sign that follows it, as stretches of one array of bytes."""
+
+    SIGNS = (b",", b"|", b";")
+
+    def __init__(self, size: int):
+        words = [b"%d" % i + sign for i in range(size) for sign in self.SIGNS]
+        self.letters = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, ids: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The letters of all numbers in a row and where each number ends."""
+        words = ids * len(self.SIGNS) + signs
+        return stretches(self.letters, self.starts[words], self.sizes[words]), np.cumsum(self.sizes[words])
+
+
 class Aligner:
-    """Aligns units of two vocabularies and remembers a bounded number of them."""
+    """Aligns units of two vocabularies and remembers a bounded number of them.
+
+    What is known of all units stands in a few flat arrays, so that a worker holds no object per unit
+    but its key and its number.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = byte_level(a_path), word_pieces(b_path)
         self.a_bytes = np.array([len(s) for s in self.a.spelled], dtype=np.int64)
         self.b_bytes = np.array([len(s) for s in self.b.spelled], dtype=np.int64)
-        # Unit -> text of its groups, codes of its links, and counts (a, b, groups, links, trouble);
-        # units with more white space than one leading character stand apart.
-        self.known: dict[str, tuple[str, bytes, bytes]] = {}
-        self.odd: dict[str, tuple[str, bytes, bytes]] = {}
-
-    def _tokens(self, units: Sequence[str], joined: bool) -> tuple[list, list, np.ndarray]:
-        """Ids of both sides and whether the pieces fail to spell a unit; byte-level tokens never do.
+        self.spelling = Spelling(max(self.a.size, self.b.size))
+        # Unit -> its number; units with more white space than one leading character stand apart.
+        self.known: dict[str, int] = {}
+        self.odd: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.odd.clear()
+        # Per unit: counts (a, b, groups, links, trouble), where its groups and its links end.
+        self.facts = np.empty((0, 5), dtype=np.uint32)
+        self.shown, self.shown_ends = np.empty(0, dtype=np.uint8), NO_IDS
+        self.codes, self.code_ends = NO_IDS, NO_IDS
+
+    def _tokens(
+        self, units: Sequence[str], joined: bool
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides in a row and how many are of each unit, none where the pieces fail to spell
+        the unit (the last array); byte-level tokens never do.
 
         ``joined``: all units are plain, so the byte-level side reads them in a row.
         """
         if joined:
-            ids, stops = self.a.encode_plain(units)
-            ids, stops = ids.tolist(), stops.tolist()
-            a = [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+            a, stops = self.a.encode_plain(units)
+            n_a = np.diff(stops, prepend=0)
         else:
-            a = [self.a.encode(u) for u in units]
-        b = self.b.encode_all(units)
-        spell = self.b.spelled.__getitem__
-        broken = [u.encode() != b"".join(map(spell, ids)) for u, ids in zip(units, b, strict=True)]
-        return a, b, np.array(broken, dtype=bool)
+            a, n_a = flat([self.a.encode(u) for u in units])
+        b, n_b = flat(self.b.encode_all(units))
+        broken = self._broken(units, b, n_b)
+        if broken.any():
+            a, b = a[np.repeat(~broken, n_a)], b[np.repeat(~broken, n_b)]
+            n_a, n_b = np.where(broken, 0, n_a), np.where(broken, 0, n_b)
+        return a, n_a, b, n_b, broken
+
+    def _broken(self, units: Sequence[str], b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether the pieces fail to spell a unit: first for all in a row, then one by one."""
+        read = [u.encode() for u in units]
+        pieces = list(map(self.b.spelled.__getitem__, b.tolist()))
+        ends = np.cumsum(n_b)
+        found = np.concatenate([[0], np.cumsum(self.b_bytes[b])])[ends]
+        if b"".join(pieces) == b"".join(read) and (found == np.cumsum([*map(len, read)])).all():
+            return np.zeros(len(units), dtype=bool)
+        return np.array([r != b"".join(pieces[i:j]) for r, i, j in zip(read, ends - n_b, ends, strict=True)])
 
     def learn(self, units: Sequence[str], table: dict, joined: bool) -> None:
         """Align many units at once: a unit's end is a common end, so all stand in one line of bytes."""
-        a, b, broken = self._tokens(units, joined)
-        for i in np.flatnonzero(broken):
-            a[i], b[i] = [], []
-        a_flat = np.fromiter((i for ids in a for i in ids), np.int64)
-        b_flat = np.fromiter((i for ids in b for i in ids), np.int64)
-        cuts, a_at, b_at = np.intersect1d(
-            np.cumsum(self.a_bytes[a_flat]), np.cumsum(self.b_bytes[b_flat]),
-            assume_unique=True, return_indices=True,
-        )
-        n_a, n_b = np.diff(a_at + 1, prepend=0), np.diff(b_at + 1, prepend=0)
-        links = n_a * n_b
+        a, n_a, b, n_b, broken = self._tokens(units, joined)
+        a_ends, b_ends = np.cumsum(self.a_bytes[a]), np.cumsum(self.b_bytes[b])
+        a_at = np.searchsorted(a_ends, b_ends)
+        b_at = np.flatnonzero(a_ends[a_at] == b_ends)
+        a_at = a_at[b_at]
+        # Tokens of each group, and where those of both sides end.
+        group_a, group_b = np.diff(a_at + 1, prepend=0), np.diff(b_at + 1, prepend=0)
+        links = group_a * group_b
         # Links of all groups: every a token repeats over the b tokens of its group.
-        times = np.repeat(n_b, n_a)
-        left = np.repeat(a_flat, times)
-        first = np.repeat(np.repeat(b_at + 1 - n_b, n_a), times)
-        run = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-        codes = left << 32 | b_flat[first + run]
+        times = np.repeat(group_b, group_a)
+        codes = np.repeat(a, times) << 32 | stretches(b, np.repeat(b_at + 1 - group_b, group_a), times)
+        # Spelled, the a tokens of a group stand before its b tokens, and after the tokens of all groups before.
+        order = np.concatenate(
+            [np.arange(len(a)) + np.repeat(b_at + 1 - group_b, group_a), np.arange(len(b)) + np.repeat(a_at + 1, group_b)]
+        )
+        signs = np.zeros(len(a) + len(b), dtype=np.int64)
+        signs[a_at], signs[len(a) + b_at] = 1, 2
+        ids, signs_in_order = np.empty_like(signs), np.empty_like(signs)
+        ids[order], signs_in_order[order] = np.concatenate([a, b]), signs
+        shown, word_ends = self.spelling.of(ids, signs_in_order)
         # The unit of a group is told by the place of its last a token.
-        sizes_a = np.fromiter(map(len, a), np.int64, len(a))
-        sizes_b = np.fromiter(map(len, b), np.int64, len(b))
-        borders = np.searchsorted(a_at, np.cumsum(sizes_a) - 1, side="right")
-        n_groups = np.diff(borders, prepend=0)
+        borders = np.searchsorted(a_at, np.cumsum(n_a) - 1, side="right")
         link_ends = np.concatenate([[0], np.cumsum(links)])[borders]
-        n_links = np.diff(link_ends, prepend=0)
-        facts = np.stack([sizes_a, sizes_b, n_groups, n_links, broken], axis=1).astype(np.uint32)
-        a_word, b_word = list(map(str, a_flat.tolist())), list(map(str, b_flat.tolist()))
-        a_stop, b_stop = (a_at + 1).tolist(), (b_at + 1).tolist()
-        shown = [
-            (a_word[j - 1] if j - i == 1 else ",".join(a_word[i:j]))
-            + "|"
-            + (b_word[m - 1] if m - k == 1 else ",".join(b_word[k:m]))
-            for i, j, k, m in zip([0, *a_stop], a_stop, [0, *b_stop], b_stop)
-        ]
-        group, link = 0, 0
-        for number, (unit, stop, end) in enumerate(zip(units, borders.tolist(), link_ends.tolist(), strict=True)):
-            table[unit] = (";".join(shown[group:stop]), codes[link:end].tobytes(), facts[number].tobytes())
-            group, link = stop, end
+        shown_ends = np.concatenate([[0], word_ends])[np.cumsum(n_a + n_b)]
+        facts = np.stack([n_a, n_b, np.diff(borders, prepend=0), np.diff(link_ends, prepend=0), broken], axis=1)
+        table.update(zip(units, range(len(self.facts), len(self.facts) + len(units)), strict=True))
+        self.facts = np.concatenate([self.facts, facts.astype(np.uint32)])
+        self.shown_ends = np.concatenate([self.shown_ends, len(self.shown) + shown_ends])
+        self.code_ends = np.concatenate([self.code_ends, len(self.codes) + link_ends])
+        self.shown, self.codes = np.concatenate([self.shown, shown]), np.concatenate([self.codes, codes])
 
     def units_of(self, texts: Sequence[str]) -> list[list[str]]:
         """The units of each text with its leading blank, all of them known afterwards."""
@@ -225,9 +278,8 @@ class Aligner:
         return found
 
     def make_room(self) -> None:
-        if len(self.known) + len(self.odd) > CACHED_UNITS:
-            self.known.clear()
-            self.odd.clear()
+        if len(self.facts) > CACHED_UNITS or self.shown.nbytes + self.codes.nbytes > CACHED_BYTES:
+            self.forget()
 
     def learn_new(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known and u not in self.odd]
@@ -236,35 +288,40 @@ class Aligner:
         self.learn_all([u for u in new if u not in joined], self.odd, False)
 
     def learn_all(self, units: list[str], table: dict, joined: bool) -> None:
-        for start in range(0, len(units), UNITS_AT_ONCE):
-            self.learn(units[start : start + UNITS_AT_ONCE], table, joined)
+        shares = np.cumsum([*map(len, units)]) // LETTERS_AT_ONCE
+        borders = [0, *(np.flatnonzero(np.diff(shares)) + 1).tolist(), len(units)]
+        for start, stop in zip(borders, borders[1:]):
+            if stop > start:
+                self.learn(units[start:stop], table, joined)
 
     def of_units(self, units: Sequence[str]) -> Fragment:
         """The closed fragment of known whole units."""
         try:
-            facts = list(map(self.known.__getitem__, units))
+            at = np.array(list(map(self.known.__getitem__, units)))
         except KeyError:
-            facts = [self.known.get(u) or self.odd[u] for u in units]
-        texts, codes, counts = zip(*facts, strict=True)
-        totals = np.frombuffer(b"".join(counts), dtype=np.uint32).reshape(-1, 5).sum(axis=0, dtype=np.int64).tolist()
+            at = np.array([self.known[u] if u in self.known else self.odd[u] for u in units])
+        facts = self.facts[at].astype(np.int64)
+        n_a, n_b, groups, links, broken = facts.sum(axis=0).tolist()
+        shown_ends, code_ends = self.shown_ends[at], self.code_ends[at]
+        shown_starts = np.where(at > 0, self.shown_ends[at - 1], 0)
+        text = stretches(self.shown, shown_starts, shown_ends - shown_starts)
         return Fragment(
             cut=True,
-            groups=totals[2],
-            links=totals[3],
-            text=";".join(texts),
-            pairs=np.frombuffer(b"".join(codes), dtype=np.int64),
-            counts=(totals[0], totals[1]),
-            broken=totals[4] > 0,
+            groups=groups,
+            links=links,
+            text=text[:-1].tobytes().decode(),
+            pairs=stretches(self.codes, code_ends - facts[:, 3], facts[:, 3]),
+            counts=(n_a, n_b),
+            broken=broken > 0,
         )
 
     def ranged(self, unit: str, start: int, low: int, high: int) -> Fragment:
         """The tokens of the unit at offset ``start`` that end above ``low`` and not above ``high``."""
-        (a,), (b,), broken = self._tokens([unit], False)
+        a, _, b, _, broken = self._tokens([unit], False)
         if broken[0]:
             return Fragment(broken=True)
         ids = []
         for side, size in ((a, self.a_bytes), (b, self.b_bytes)):
-            side = np.array(side, dtype=np.int64)
             ends = start + np.cumsum(size[side])
             inside = (ends > low) & (ends <= high)
             ids += [side[inside], ends[inside]]
@@ -365,7 +422,12 @@ def _schema(kind: T.StructType) -> pa.Schema:
 
 
 def long_fragments(docs: DataFrame, a_path: str, b_path: str, range_bytes: int) -> DataFrame:
-    """One fragment per long document from ``doc_id, text``: cut, tokenise the ranges, reduce as a tree."""
+    """At most ``FAN_IN`` fragments per long document from ``doc_id, text``, in order and next to each other:
+    cut, tokenise the ranges, reduce as a tree.
+
+    The last join is left to the caller's task, so no stage runs two Python functions one after the
+    other: each would hold a worker of its own per task, and workers keep the tables they have loaded.
+    """
     kind = fragment_type(docs.schema["doc_id"])
     range_type = T.StructType(
         [
@@ -391,6 +453,7 @@ def long_fragments(docs: DataFrame, a_path: str, b_path: str, range_bytes: int)
             for r in batch.to_pylist():
                 part = aligner.of_range(r["window"], r["start"], r["low"], r["high"])
                 yield pa.RecordBatch.from_pylist([packed(part, r["row"], r["doc_id"], r["place"])], schema=schema)
+        aligner.forget()
 
     def reduce(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["place"])
@@ -402,10 +465,10 @@ def long_fragments(docs: DataFrame, a_path: str, b_path: str, range_bytes: int)
     with arrow_rows(docs.sparkSession, LONG_ROWS):
         parts = settle(ranges.mapInArrow(tokenise, kind))
     last = parts.agg(F.max("place")).first()[0] or 0
-    while last > 0:
+    while last >= FAN_IN:
         parts = parts.groupBy("row", F.floor(F.col("place") / FAN_IN)).applyInArrow(reduce, kind)
         last //= FAN_IN
-    return parts
+    return parts.repartition("row").sortWithinPartitions("row", "place")
 
 
 DOC_FIELDS = ("n_a", "n_b", "n_groups", "n_links")
@@ -518,12 +581,14 @@ def aligned(
             for doc_id, text, units in zip(ids, texts, aligner.units_of([t or "" for t in texts]), strict=True):
                 yield from blocks.add(doc_id, aligner.of_units(units) if text else None)
         yield from blocks.flush()
+        aligner.forget()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(kind, f"l{TaskContext.get().partitionId()}", keep_groups)
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from blocks.add(row["doc_id"], closed(unpacked(row)))
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, parts in groupby(rows, key=itemgetter("row")):
+            ids, fragments = zip(*((row["doc_id"], unpacked(row)) for row in parts), strict=True)
+            yield from blocks.add(ids[0], closed(join(fragments)))
         yield from blocks.flush()
 
     parts = long_fragments(source.where(over), a_path, b_path, range_bytes)
@@ -536,10 +601,10 @@ def aligned(
 
 def _counted(table: DataFrame, kind: T.StructType) -> DataFrame:
     """The documents of the blocks with ``n_best`` and ``count_sum``."""
-    entries = table.where("codes is not null").select(
-        F.col("block").alias("of"), F.posexplode("codes").alias("place", "code")
-    )
-    held = table.where("codes is not null").select(F.explode(F.arrays_zip("codes", "docs")).alias("p"))
+    # A null count marks the row of a block's list, so that its documents are told without reading the lists.
+    lists, rows = table.where("n_a is null"), table.where("n_a is not null").drop("codes", "docs")
+    entries = lists.select(F.col("block").alias("of"), F.posexplode("codes").alias("place", "code"))
+    held = lists.select(F.explode(F.arrays_zip("codes", "docs")).alias("p"))
     counts = held.groupBy(F.col("p.codes").alias("code")).agg(F.sum("p.docs").alias("count"))
     counts = settle(counts.withColumn("a", F.shiftright("code", 32)))
     # One row per id of the first vocabulary: its size bounds what is broadcast.
@@ -548,7 +613,6 @@ def _counted(table: DataFrame, kind: T.StructType) -> DataFrame:
         "code", F.when(F.col("count") == F.col("top"), -F.col("count")).otherwise(F.col("count")).alias("count")
     )
     looked = entries.join(judged, "code").select("of", "place", "count")
-    rows = table.where("codes is null").drop("codes", "docs")
     out = T.StructType(
         [kind["doc_id"], *[T.StructField(n, T.LongType()) for n in (*DOC_FIELDS, "n_best", "count_sum")],
          T.StructField("groups", T.StringType())]

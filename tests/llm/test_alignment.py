@@ -3,6 +3,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from tokenizers import Tokenizer
 
 from tapegrid.llm import alignment, subwords
 from tapegrid.llm.queries import byte_level_path, model_path
+from tapegrid.session import settle
 
 LETTERS = ["a", "b", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", "é", "日本", "<|endoftext|>", "<s>", "'s",
            "'ll", "🙂", ".", "1", "\r", "\x0b", "\0", "tion", "the", " ", " "]
@@ -132,3 +135,38 @@ def test_units_do_not_cut_tokens(library):
             units = subwords.safe_units(" " + text)
         assert [i for u in units for i in a.encode(u)] == library[0].encode(" " + text, add_special_tokens=False).ids
         assert [i for ids in b.encode_all(units) for i in ids] == library[1].encode(text)
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    """No stage chains two Python functions: a worker each would stay with the tables it has loaded."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(alignment, "settle", noted)
+    rows = [(1, "a long text " * 900), (2, "short"), (2, "b c " * 30), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    noted(alignment.aligned(docs, byte_level_path(), model_path(), range_bytes=30))
+    assert any("FlatMapGroupsInArrow" in plan for plan in plans)
+    for plan in plans:
+        functions = 0
+        for line in plan.splitlines():
+            functions = 0 if "Exchange" in line else functions + bool(re.search(r"(Map|Groups)InArrow", line))
+            assert functions <= 1, plan
+
+
+def test_remembered_units_are_small_and_bounded(monkeypatch):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(12_000)]
+    aligner = alignment.Aligner(byte_level_path(), model_path())
+    aligner.units_of(["warm up"])
+    tracemalloc.start()
+    aligner.units_of([" ".join(words)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(aligner.known) > 11_000 and held < 330 * len(aligner.known)
+    monkeypatch.setattr(alignment, "CACHED_BYTES", 1_000)
+    aligner.units_of(["few words"])
+    assert set(aligner.known) == {" few", " words"}
