@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapegrid.llm.subwords import byte_level, plain, quick_units, safe_units, word_pieces
-from tapegrid.llm.text import arrow_rows
+from tapegrid.llm.text import arrow_rows, read_rows
 from tapegrid.session import settle
 
 # Bytes of a range of a long document, fragments joined at once, pairs of a block.
@@ -36,8 +36,14 @@ BLOCK_PAIRS = 1 << 19
 CACHED_UNITS = 30_000
 CACHED_BYTES = 1 << 24
 LETTERS_AT_ONCE = 1 << 16
-# Rows of a batch of texts, and of long texts or their fragments.
-SHORT_ROWS, LONG_ROWS = 64, 4
+# Rows of a batch of texts, of long texts or their fragments, and rows of both read from a file at once.
+SHORT_ROWS, LONG_ROWS, READ_ROWS = 64, 4, 64
+# A fragment has several times the size of its range, so a writer looks often how much it holds.
+LARGE_ROWS = {
+    "parquet.block.size": 1 << 24,
+    "parquet.block.size.row.check.min": 8,
+    "parquet.page.size.row.check.min": 8,
+}
 NO_IDS = np.array([], dtype=np.int64)
 
 
@@ -463,7 +469,7 @@ def long_fragments(docs: DataFrame, a_path: str, b_path: str, range_bytes: int)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     ranges = numbered.mapInArrow(cut, range_type).repartition("row", "place")
     with arrow_rows(docs.sparkSession, LONG_ROWS):
-        parts = settle(ranges.mapInArrow(tokenise, kind))
+        parts = settle(ranges.mapInArrow(tokenise, kind), options=LARGE_ROWS)
     last = parts.agg(F.max("place")).first()[0] or 0
     while last >= FAN_IN:
         parts = parts.groupBy("row", F.floor(F.col("place") / FAN_IN)).applyInArrow(reduce, kind)
@@ -591,12 +597,13 @@ def aligned(
             yield from blocks.add(ids[0], closed(join(fragments)))
         yield from blocks.flush()
 
-    parts = long_fragments(source.where(over), a_path, b_path, range_bytes)
-    with arrow_rows(docs.sparkSession, LONG_ROWS):
-        finished = settle(parts.mapInArrow(whole, kind))
-    with arrow_rows(docs.sparkSession, SHORT_ROWS):
-        table = settle(source.where(~over).mapInArrow(short, kind)).unionByName(finished)
-    return _counted(table, kind)
+    with read_rows(docs.sparkSession, READ_ROWS):
+        parts = long_fragments(source.where(over), a_path, b_path, range_bytes)
+        with arrow_rows(docs.sparkSession, LONG_ROWS):
+            finished = settle(parts.mapInArrow(whole, kind))
+        with arrow_rows(docs.sparkSession, SHORT_ROWS):
+            table = settle(source.where(~over).mapInArrow(short, kind)).unionByName(finished)
+        return _counted(table, kind)
 
 
 def _counted(table: DataFrame, kind: T.StructType) -> DataFrame:

@@ -24,9 +24,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of at most so many rows for the plans run inside: rows of long texts are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _held(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield
+
+
+@contextmanager
+def read_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The same for what a task reads of a columnar file at once."""
+    with _held(spark, "spark.sql.parquet.columnarReaderBatchSize", rows):
+        yield
+
+
+@contextmanager
+def _held(spark: SparkSession, name: str, value: int) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def settle(
+    df: DataFrame, partition_by: Sequence[str] = (), options: Mapping[str, str | int] | None = None
+) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     Later stages and retries then see the same rows whatever executor is lost, and a columnar table
     lets each reader open only the columns it needs, and only the folders of the keys it filters.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tapegrid/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

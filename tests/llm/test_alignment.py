@@ -138,18 +138,24 @@ def test_units_do_not_cut_tokens(library):
 
 
 def test_a_task_holds_one_python_worker(spark, monkeypatch):
-    """No stage chains two Python functions: a worker each would stay with the tables it has loaded."""
-    plans = []
+    """No stage chains two Python functions: a worker each would stay with the tables it has loaded. Tables
+    of large rows are read a few rows at once, and fragments are written in small row groups."""
+    plans, large = [], []
 
-    def noted(df):
+    def noted(df, options=None):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return settle(df)
+        if df.columns[-1] in ("text", "docs"):
+            large.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        if df.columns[-1] == "text":
+            assert options["parquet.block.size"] <= 1 << 24
+        return settle(df, options=options)
 
     monkeypatch.setattr(alignment, "settle", noted)
     rows = [(1, "a long text " * 900), (2, "short"), (2, "b c " * 30), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     noted(alignment.aligned(docs, byte_level_path(), model_path(), range_bytes=30))
     assert any("FlatMapGroupsInArrow" in plan for plan in plans)
+    assert len(large) == 3 and max(large) <= 64 < int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
     for plan in plans:
         functions = 0
         for line in plan.splitlines():
